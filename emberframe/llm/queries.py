@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import bpe, decontaminate, license, simhash, tokens, topk
+from emberframe.llm import bpe, decontaminate, license, simhash, tokens, topk, toxicity
 from emberframe.llm.common import read
 
 
@@ -33,6 +33,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(read(spark, sf_dir, "documents")).drop("detections")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
     return tokens.suffix_sums(tokens.histogram(tokens.token_lengths(read(spark, sf_dir, "documents"), path, pattern)))
@@ -43,7 +47,7 @@ def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op4_decontaminate, op5_license_scan, op8_token_counts, op9_pivot_topk)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op4_decontaminate, op5_license_scan, op6_toxicity, op8_token_counts, op9_pivot_topk)}
 
 
 OP9_SQL = """
