@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import bpe, decontaminate, license, simhash, tokens, topk, toxicity
+from emberframe.llm import bpe, decontaminate, license, pii, simhash, tokens, topk, toxicity
 from emberframe.llm.common import read
 
 
@@ -46,8 +46,13 @@ def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op4_decontaminate, op5_license_scan, op6_toxicity, op8_token_counts, op9_pivot_topk)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op4_decontaminate, op5_license_scan, op6_toxicity, op8_token_counts, op9_pivot_topk, op10_pii)}
 
 
 OP9_SQL = """
