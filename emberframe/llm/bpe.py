@@ -12,8 +12,8 @@ so the result has as many rows as the input. Other columns of the input are not
 from __future__ import annotations
 
 import base64
-import hashlib
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,9 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import block_number, blocks, pack, pack_words, partitions, pick, ragged, unpack, unpack_words
+from emberframe.llm.common import block_number, blocks, pack, pack_lists, pack_words, partitions, pick, ragged, unpack, unpack_lists, unpack_words
 
-PACKED = "block long, bucket int, ids array<long>, counts array<int>, words binary, places binary"
+#: Characters of a block: the larger, the fewer blocks repeat a word.
+BLOCK = 16 << 20
+PACKED = "block long, bucket int, ids array<long>, counts array<int>, words binary, places binary, owners binary"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,7 +38,7 @@ def cut_blocks(split: Callable[[str], list], buckets: int, hashed: Callable[[obj
     """Pre-tokens of documents by block: one row with the places, and one for each bucket with the words it deals with."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for n, pdf in enumerate(blocks(batches)):
+        for n, pdf in enumerate(blocks(batches, limit=BLOCK)):
             block, number, places, counts = block_number(n), {}, [], []
             for text in pdf["text"]:
                 found = split(text) if isinstance(text, str) else []
@@ -45,30 +47,32 @@ def cut_blocks(split: Callable[[str], list], buckets: int, hashed: Callable[[obj
             flat = np.concatenate(places) if places else np.zeros(0, np.uint32)
             words = list(number)
             bucket = np.fromiter((hashed(w) % buckets for w in words), np.int64, len(words))
-            # Words are renumbered by bucket, and by falling count within it: small numbers compress well.
-            order = np.lexsort((-np.bincount(flat, minlength=len(words)), bucket))
+            # Words are numbered by falling count: small numbers compress well. Each bucket has its words in that order.
+            by_count = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.uint32)
-            rank[order] = np.arange(len(words), dtype=np.uint32)
-            flat = rank[flat]
+            rank[by_count] = np.arange(len(words), dtype=np.uint32)
+            order = by_count[np.argsort(bucket[by_count], kind="stable")]
             ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-            rows = [(block, zlib.crc32(str(block).encode()) % buckets, ids, counts, None, pack(flat))]
+            rows = [(block, zlib.crc32(str(block).encode()) % buckets, ids, counts, None, pack(rank[flat]), pack(bucket[by_count]))]
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 own = [words[i] for i in order[edges[b] : edges[b + 1]]]
-                rows.append((block, int(b), None, None, pack_words([w if isinstance(w, bytes) else w.encode() for w in own]), None))
-            yield pd.DataFrame(rows, columns=["block", "bucket", "ids", "counts", "words", "places"])
+                rows.append((block, int(b), None, None, pack_words([w if isinstance(w, bytes) else w.encode() for w in own]), None, None))
+            yield pd.DataFrame(rows, columns=["block", "bucket", "ids", "counts", "words", "places", "owners"])
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_bytes: bool = False) -> DataFrame:
     """(doc_id, n_tokens, token_ids): each match of `pattern` encoded by the ranks in the file `vocabulary`.
 
     token_ids holds little-endian unsigned 32-bit integers. The vocabulary (a file of bounded size) is broadcast.
+    `with_bytes` decodes the ids in the same pass, as `decode` does, into the column `decoded`.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
+    lookup = byte_lookup(ranks)
 
     def split(t: str, cache: list = []) -> list[str]:  # noqa: B006  compiled once a worker
         if not cache:
@@ -82,7 +86,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
 
         # One pre-token is one match of this pattern, so it isn't cut again.
         encoder = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks.value, special_tokens={})
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
         for pdf in batches:
             out = []
             for words in pdf["words"]:
@@ -92,39 +96,56 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
                 ids = []
                 for w in unpack_words(words):
                     if (x := known.get(w)) is None:
-                        known[w] = x = encoder.encode_ordinary(w.decode())
+                        known[w] = x = array("I", encoder.encode_ordinary(w.decode())).tobytes()
                     ids.append(x)
-                out.append(pack_words([np.array(x, dtype=np.uint32).tobytes() for x in ids]))
-                if len(known) > 2_000_000:  # bounds memory; a word seen again later is encoded again
+                lengths = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+                out.append(pack_lists(lengths, pack(np.frombuffer(b"".join(ids), np.uint32))))
+                if len(known) > 1_000_000:  # bounds memory; a word seen again later is encoded again
                     known.clear()
             yield pdf.assign(words=out)
 
-    def reassemble(batches_of_block: pd.DataFrame) -> pd.DataFrame:
-        head = batches_of_block[batches_of_block["places"].notna()].iloc[0]
-        parts = [x for w in batches_of_block[batches_of_block["words"].notna()].sort_values("bucket")["words"] for x in unpack_words(w)]
+    def reassemble(rows: pd.DataFrame) -> pd.DataFrame:
+        head = rows[rows["places"].notna()].iloc[0]
+        parts = [unpack_lists(x) for x in rows[rows["words"].notna()].sort_values("bucket")["words"]]
         places, counts = unpack(head["places"]), np.asarray(head["counts"], dtype=np.int64)
-        lengths = np.fromiter((len(x) // 4 for x in parts), np.int64, len(parts))
-        table, starts = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(lengths) - lengths
-        out, at = [], 0
+        lengths = np.concatenate([n for n, _ in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        table, starts = np.concatenate([unpack(x) for _, x in parts] or [np.zeros(0, np.uint32)]), np.cumsum(lengths) - lengths
+        numbers = np.argsort(unpack(head["owners"]), kind="stable")  # of the words in bucket order
+        starts[numbers], lengths[numbers] = starts.copy(), lengths.copy()
+        ids, texts, at = [], [], 0
         for n in counts:
             own = places[at : at + n]
             at += n
-            out.append(table[ragged(starts[own], lengths[own])].astype("<u4").tobytes())
-        return pd.DataFrame({"doc_id": pd.array(list(head["ids"]), dtype="Int64"), "n_tokens": [len(x) // 4 for x in out], "token_ids": out})
+            x = table[ragged(starts[own], lengths[own])].astype("<u4")
+            ids.append(x.tobytes())
+            if with_bytes:
+                texts.append(lookup(x))
+        out = pd.DataFrame({"doc_id": pd.array(list(head["ids"]), dtype="Int64"), "n_tokens": [len(x) // 4 for x in ids], "token_ids": ids})
+        return out.assign(decoded=texts) if with_bytes else out
 
     cut = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(cut_blocks(split, buckets, lambda w: zlib.crc32(w.encode())), PACKED)
     coded = cut.repartition(buckets, "bucket").mapInPandas(encode_words, PACKED)
-    return coded.groupBy("block").applyInPandas(reassemble, "doc_id long, n_tokens long, token_ids binary")
+    return coded.groupBy("block").applyInPandas(reassemble, "doc_id long, n_tokens long, token_ids binary" + ", decoded binary" * with_bytes)
+
+
+def byte_lookup(ranks) -> Callable[[np.ndarray], bytes]:
+    """Bytes of ids by the token-byte table, which a worker makes once of the broadcast ranks."""
+
+    def run(ids: np.ndarray, table: list = []) -> bytes:  # noqa: B006
+        if not table:
+            table.append({v: k for k, v in ranks.value.items()})
+        return b"".join(map(table[0].__getitem__, ids.tolist()))
+
+    return run
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataFrame:
     """Adds `decoded` (the bytes of the ids in column `ids`) by lookup in the token-byte table, which is broadcast."""
-    table = encoded.sparkSession.sparkContext.broadcast({v: k for k, v in load_ranks(vocabulary).items()})
+    lookup = byte_lookup(encoded.sparkSession.sparkContext.broadcast(load_ranks(vocabulary)))
 
     @F.pandas_udf("binary")
     def to_bytes(column: pd.Series) -> pd.Series:
-        get = table.value.__getitem__
-        return column.map(lambda x: None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())))
+        return column.map(lambda x: None if x is None else lookup(np.frombuffer(x, "<u4")))
 
     return encoded.withColumn("decoded", to_bytes(F.col(ids)))
 
@@ -132,11 +153,3 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataF
 def digest(encoded: DataFrame) -> DataFrame:
     """The ids and the decoded bytes as sha256."""
     return encoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def text_of(data: bytes) -> str:
-    return data.decode("utf-8", "replace")
-
-
-def sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -69,34 +69,63 @@ def blocks(batches: Iterator[pd.DataFrame], column: str = "text", limit: int = B
         yield pd.concat(held, ignore_index=True)
 
 
-def pack(a: np.ndarray, kind: type = np.uint32) -> bytes:
-    """Integers as byte planes under zstd."""
-    planes = np.ascontiguousarray(a, dtype=kind).view(np.uint8).reshape(len(a), np.dtype(kind).itemsize).T.copy()
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(data: bytes, kind: type = np.uint32) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T.copy().view(kind).ravel()
+#: First bytes below ONE are values; those below TWO and THREE take one and two more bytes, the last one four.
+ONE, TWO, THREE = 176, 240, 255
+AT_TWO, AT_THREE = ONE, ONE + ((TWO - ONE) << 8)
+AT_RAW = AT_THREE + ((THREE - TWO) << 16)
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Unsigned integers of up to 32 bits, small ones in fewer bytes, all first bytes before all second ones, under zstd."""
+    a = np.ascontiguousarray(a, dtype=np.uint32)
+    two, three, raw = (a >= AT_TWO) & (a < AT_THREE), (a >= AT_THREE) & (a < AT_RAW), a >= AT_RAW
+    first = a.astype(np.uint8)
+    first[two] = ONE + ((a[two] - AT_TWO) >> 8)
+    first[three] = TWO + ((a[three] - AT_THREE) >> 16)
+    first[raw] = THREE
+    mid, low = (a[two] - AT_TWO).astype(np.uint8), a[three] - AT_THREE
+    body = (first, mid, (low >> 8).astype(np.uint8), low.astype(np.uint8), a[raw])
+    return zstandard.ZstdCompressor(level=6).compress(len(a).to_bytes(4, "little") + b"".join(x.tobytes() for x in body))
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n = int.from_bytes(raw[:4].tobytes(), "little")
+    first, rest = raw[4 : 4 + n], raw[4 + n :]
+    two, three, whole = (first >= ONE) & (first < TWO), (first >= TWO) & (first < THREE), first == THREE
+    n2, n3 = int(two.sum()), int(three.sum())
+    out = first.astype(np.uint32)
+    out[two] = AT_TWO + ((out[two] - ONE) << 8) + rest[:n2]
+    out[three] = AT_THREE + ((out[three] - TWO) << 16) + (rest[n2 : n2 + n3].astype(np.uint32) << 8) + rest[n2 + n3 : n2 + 2 * n3]
+    out[whole] = np.frombuffer(rest[n2 + 2 * n3 :].tobytes(), np.uint32)
+    return out
 
 
 def pack_words(words: list[bytes]) -> bytes:
-    lengths = np.fromiter(map(len, words), np.uint32, len(words)).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(len(words).to_bytes(4, "little") + lengths + b"".join(words))
+    return pack_lists(np.fromiter(map(len, words), np.uint32, len(words)), zstandard.ZstdCompressor(level=3).compress(b"".join(words)))
 
 
 def unpack_words(data: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
-    out, a = [], 4 + 4 * n
-    for b in ends.tolist():
+    lengths, body = unpack_lists(data)
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    out, a = [], 0
+    for b in np.cumsum(lengths, dtype=np.int64).tolist():
         out.append(raw[a:b])
         a = b
     return out
 
 
+def pack_lists(lengths: np.ndarray, body: bytes) -> bytes:
+    """Lengths of lists before their packed contents."""
+    head = pack(lengths)
+    return len(head).to_bytes(4, "little") + head + body
+
+
+def unpack_lists(data: bytes) -> tuple[np.ndarray, bytes]:
+    n = 4 + int.from_bytes(data[:4], "little")
+    return unpack(data[4:n]), data[n:]
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes of the slices [starts, starts + lengths), one after another."""
     lengths = lengths.astype(np.int64)

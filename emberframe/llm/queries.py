@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import bpe, decontaminate, license, pii, simhash, tokens, topk, toxicity
+from emberframe.llm import bpe, decontaminate, hmm, license, pii, simhash, tokens, topk, toxicity
 from emberframe.llm.common import read
 
 
@@ -16,9 +16,13 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir, "documents"), hmm.held_out())
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    return bpe.digest(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path, pattern), path))
+    return bpe.digest(bpe.encode(read(spark, sf_dir, "documents"), path, pattern, with_bytes=True))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op4_decontaminate, op5_license_scan, op6_toxicity, op8_token_counts, op9_pivot_topk, op10_pii)}
+    return {f.__name__: f for f in (op1_hmm_score, op2_byte_bpe, op3_simhash, op4_decontaminate, op5_license_scan, op6_toxicity, op8_token_counts, op9_pivot_topk, op10_pii)}
 
 
 OP9_SQL = """
