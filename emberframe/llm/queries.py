@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import bpe, decontaminate, hmm, license, pii, simhash, tokens, topk, toxicity
+from emberframe.llm import bpe, decontaminate, hmm, license, pii, simhash, suffix, tokens, topk, toxicity
 from emberframe.llm.common import read
 
 
@@ -41,6 +41,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.deduplicated(read(spark, sf_dir, "documents")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
     return tokens.suffix_sums(tokens.histogram(tokens.token_lengths(read(spark, sf_dir, "documents"), path, pattern)))
@@ -56,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hmm_score, op2_byte_bpe, op3_simhash, op4_decontaminate, op5_license_scan, op6_toxicity, op8_token_counts, op9_pivot_topk, op10_pii)}
+    return {f.__name__: f for f in (op1_hmm_score, op2_byte_bpe, op3_simhash, op4_decontaminate, op5_license_scan, op6_toxicity, op7_suffix_dedup, op8_token_counts, op9_pivot_topk, op10_pii)}
 
 
 OP9_SQL = """
