@@ -1,4 +1,70 @@
-STAGES = []
+"""The corpus pipeline: five stages, each over all that its predecessor kept.
+
+run() writes each stage's result to the shared folder as Parquet and reads it again for the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from emberframe.llm import bpe, decontaminate, pii, simhash, toxicity
+from emberframe.llm.common import crc_mod, read, stored
+from emberframe.llm.queries import vocabulary
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose calibrated probability of being toxic is below one half."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return toxicity.scored(docs, model, into="__toxic").filter(F.col("__toxic") < 0.5).drop("__toxic")
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component the document with the smallest id; rows without an id come last, by their text."""
+    own = F.when(F.col("doc_id").isNotNull(), F.format_string("%020d", F.col("doc_id").cast("long"))).otherwise(F.concat(F.lit("~"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keyed = docs.withColumn("__key", own)
+    classes = simhash.near_duplicates(keyed, doc_id="__key")
+    kept = keyed.join(classes.select(F.col("component_id").alias("__key")).distinct(), "__key", "left_semi")
+    first = Window.partitionBy("__key").orderBy("text")  # rows that repeat an id
+    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, less the passages that hold a window of a benchmark item."""
+    return _counted(decontaminate.decontaminated(docs, read(spark, sf_dir, "benchmark")))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark of its kind in place of each piece of personal data."""
+    return _counted(pii.redacted(docs, pii.fit(docs)))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, decoded_sha256): token ids of each document, and the digest of what they decode to."""
+    path, pattern = vocabulary()
+    out = bpe.encode(docs, path, pattern, with_bytes=True)
+    return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", one_of_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("personal_data", without_personal_data),
+    ("byte_bpe", encoded),
+]
+
+#: No stage but the second could be put in SQL (models, an FM-index's spans, a tokenizer); tests/llm compares each stage
+#: with a brute-force version instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
