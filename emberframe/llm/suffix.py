@@ -10,7 +10,7 @@ the 16-byte strings that start in its first WINDOW bytes. So only suffixes at an
 3. Runs are cut at splitters, exchanged, and merged by loser trees that keep the common prefix of every loser with the
    last winner, so no byte known to be equal is compared again. The merged common prefixes give groups of equal cores.
 4. Within a group, strings at equal offsets from the anchor are compared by two prime-modulus hashes. Groups that a
-   splitter may cut, and groups over GROUP entries, send their strings' hashes through one more shuffle instead.
+   splitter cuts, and groups over GROUP entries, send the hashes of their different strings through one more shuffle.
 5. Blocks mark the bytes of all repeated strings and cut them out.
 
 Nulls count as empty texts. Repeated rows are documents of their own (so a long one loses all its bytes, as both copies
@@ -295,6 +295,12 @@ def sorted_run(length: int, window: int):
     return run
 
 
+def cut_points(keys: list[bytes], core: int) -> list[bytes]:
+    """Splitters of sorted keys. A lone one is cut to its core, which no group of equal cores straddles; of several with
+    one core, those after the first cut the group that is so large."""
+    return sorted({k if i and keys[i - 1][:core] == k[:core] else k[:core] for i, k in enumerate(keys)})
+
+
 def cut_run(splitters: list[bytes]):
     import bisect
 
@@ -358,17 +364,17 @@ def merged(length: int, window: int, splitters: list[bytes]):
             size = np.diff(np.append(begin, len(keys)))
             group = np.repeat(np.arange(len(begin)), size)
             weight = np.add.reduceat(field["weight"], begin)
-            open_ = np.array([any(keys[b][:core] == s[:core] for s in edge) for b in begin]) | (size > GROUP)
+            open_ = np.array([any(len(s) > core and keys[b][:core] == s[:core] for s in edge) for b in begin]) | (size > GROUP)
             for own, shut in batched(begin, size, (weight > 1) & ~open_, open_, hasher.room // (length + window) - 1):
                 entry, number, h, where = resolve([keys[j] for j in own], field["right"][own], group[own], hasher)
-                if shut:
-                    _, back = np.unique(h * C1 ^ mixed(where.astype(np.uint64), C2), return_inverse=True)
-                    twice = np.bincount(back, field["weight"][own][entry])[back] > 1
-                    if twice.any():
-                        yield spans(block[own], field["first"][own], entry[twice], number[twice])
-                else:
-                    start = field["first"][own][entry] + number
-                    yield pd.DataFrame({"block": block[own][entry], "start": start, "stop": start + length, "weight": field["weight"][own][entry], "key1": h.view(np.int64), "key2": where % 1024})
+                _, back = np.unique(h * C1 ^ mixed(where.astype(np.uint64), C2), return_inverse=True)
+                twice = np.bincount(back, field["weight"][own][entry])[back] > 1
+                if twice.any():
+                    yield spans(block[own], field["first"][own], entry[twice], number[twice])
+                if not shut:  # strings met once ask the other parts; of those met twice, one tells them
+                    _, lead = np.unique(back, return_index=True)
+                    start, known = field["first"][own][entry[lead]] + number[lead], twice[lead]
+                    yield pd.DataFrame({"block": np.where(known, -1, block[own][entry[lead]]), "start": start, "stop": start + length, "weight": 1 + known, "key1": h[lead].view(np.int64), "key2": where[lead] % 1024})
 
     return run
 
@@ -424,12 +430,12 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     runs = stored(table.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(sorted_run(length, window), RUN), "suffix-runs")
     sample = runs.select("block", "sample").orderBy(F.xxhash64("block"), "block").limit(SPLIT_BLOCKS)
     keys = sorted(bytes(k) for r in sample.collect() for k in r["sample"])
-    splitters = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
+    splitters = cut_points([keys[len(keys) * i // n] for i in range(1, n)] if keys else [], length - window)
     pieces = runs.select("block", "run").mapInPandas(cut_run(splitters), PIECE).repartition(n, "part")
     found = stored(pieces.mapInPandas(merged(length, window, splitters), FOUND), "suffix-found")
     open_ = found.filter("weight > 0")
     twice = open_.groupBy("key1", "key2").agg(F.sum("weight").alias("n")).filter("n > 1").select("key1", "key2")
-    spans = found.filter("weight = 0").select("block", "start", "stop").unionByName(open_.join(twice, ["key1", "key2"]).select("block", "start", "stop"))
+    spans = found.filter("weight = 0").select("block", "start", "stop").unionByName(open_.filter("block >= 0").join(twice, ["key1", "key2"]).select("block", "start", "stop"))
     marked = table.join(runs.select("block", "whole"), "block", "left")
     return marked.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(removed(length), "doc_id long, n_bytes long, n_removed long, edges array<int>, kept binary")
 
