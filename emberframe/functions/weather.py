@@ -13,7 +13,8 @@ def rel_humidity(t: Column, d: Column) -> Column:
     def vapour(c: Column) -> Column:
         return F.lit(6.112) * F.exp(F.lit(17.67) * c / (c + 243.5))
 
-    return F.greatest(F.least(F.lit(100.0) * vapour(d - 273.15) / vapour(t - 273.15), F.lit(100.0)), F.lit(0.0))
+    pct = F.lit(100.0) * vapour(d - 273.15) / vapour(t - 273.15)
+    return F.when(pct > 100.0, 100.0).when(pct < 0.0, 0.0).otherwise(pct)  # least and greatest would turn null into a bound
 
 
 def vpd(t: Column, d: Column) -> Column:

@@ -40,7 +40,7 @@ def hillshade(pix: DataFrame, dx: float, dy: float, azimuth: float = 315.0, alti
     zenith, light = F.radians(F.lit(90.0 - altitude)), F.radians(F.lit(450.0 - azimuth))
     slope = F.atan(F.sqrt(x * x + y * y))
     shade = F.cos(zenith) * F.cos(slope) + F.sin(zenith) * F.sin(slope) * F.cos(light - F.atan2(x, -y))
-    return g.withColumn("hillshade", F.when(F.col(value).isNotNull(), F.greatest(F.least(shade * 255.0, F.lit(255.0)), F.lit(0.0)))).drop("dz_dx", "dz_dy")
+    return g.withColumn("hillshade", F.when(F.col(value).isNotNull() & shade.isNotNull(), F.greatest(F.least(shade * 255.0, F.lit(255.0)), F.lit(0.0)))).drop("dz_dx", "dz_dy")
 
 
 def tri(pix: DataFrame, height: int, width: int, edge: str = "wrap", value: str = "value", row: str = "row", col: str = "col") -> DataFrame:

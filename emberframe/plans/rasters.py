@@ -83,7 +83,7 @@ def back_patches(s, d):
 
 QUERIES = {
     "r1_slope_aspect": (lambda s, d: raster.slope_aspect(pixels(s, d), DX, DY).select("row", "col", "slope", "aspect"), f"WITH {GRAD} SELECT row, col, CASE WHEN value IS NOT NULL THEN round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) END AS slope, CASE WHEN value IS NOT NULL THEN round((360 + degrees(atan2(dx, -dy))) % 360, 6) END AS aspect FROM g"),
-    "r2_hillshade": (lambda s, d: raster.hillshade(pixels(s, d), DX, DY).select("row", "col", "hillshade"), f"WITH {GRAD} SELECT row, col, CASE WHEN value IS NOT NULL THEN round(greatest(least(255 * (cos(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + sin(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(135) - atan2(dx, -dy))), 255), 0), 6) END AS hillshade FROM g"),
+    "r2_hillshade": (lambda s, d: raster.hillshade(pixels(s, d), DX, DY).select("row", "col", "hillshade"), f"WITH {GRAD} SELECT row, col, CASE WHEN value IS NOT NULL AND dx IS NOT NULL AND dy IS NOT NULL THEN round(greatest(least(255 * (cos(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + sin(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(135) - atan2(dx, -dy))), 255), 0), 6) END AS hillshade FROM g"),
     "r3_tri_wrap": (lambda s, d: raster.tri(pixels(s, d), height(s, d), 100), f"WITH o AS (SELECT a, b FROM range(-1, 2) x(a), range(-1, 2) y(b) WHERE a <> 0 OR b <> 0) SELECT p.row, p.col, round(sqrt(sum((p.value - coalesce(q.value, 0)) * (p.value - coalesce(q.value, 0))) / 8), 6) AS tri FROM v_ras p, o JOIN v_ras q ON q.row = (p.row + a + {H}) % {H} AND q.col = (p.col + b + 100) % 100 WHERE p.value IS NOT NULL GROUP BY p.row, p.col"),
     "r3_tri_drop": (lambda s, d: raster.tri(pixels(s, d), height(s, d), 100, edge="drop"), "WITH o AS (SELECT a, b FROM range(-1, 2) x(a), range(-1, 2) y(b) WHERE a <> 0 OR b <> 0) SELECT p.row, p.col, round(sqrt(avg((p.value - q.value) * (p.value - q.value))), 6) AS tri FROM v_ras p, o JOIN v_ras q ON q.row = p.row + a AND q.col = p.col + b WHERE p.value IS NOT NULL GROUP BY p.row, p.col"),
     "r4_tpi": (lambda s, d: raster.tpi(pixels(s, d), 2).select("row", "col", "tpi"), f"WITH o AS (SELECT a, b FROM range(-2, 3) x(a), range(-2, 3) y(b)) SELECT p.row, p.col, CASE WHEN p.value IS NOT NULL THEN round(p.value - sum(q.value) / count(q.value), 6) + 0 END AS tpi FROM v_ras p, o JOIN v_ras q ON q.row = least(greatest(p.row + a, 0), {H} - 1) AND q.col = least(greatest(p.col + b, 0), 99) GROUP BY p.row, p.col, p.value"),
