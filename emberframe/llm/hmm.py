@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import block_number, blocks, crc_mod, pack, pack_words, partitions, ragged, stored, unpack, unpack_words
+from emberframe.llm.common import block_number, blocks, bounded_batches, crc_mod, pack, pack_words, partitions, ragged, stored, unpack, unpack_words
 
 CLASSES, STATES, ROUNDS, STRETCH, AFFIX = 4096, 8, 5, 64, 3
 END = CLASSES
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 CUT = "block long, bucket int, ids array<long>, held array<boolean>, counts array<int>, words binary, learned binary, places binary"
-TALLIED = "block long, bucket int, ids array<long>, held array<boolean>, counts array<int>, known binary, classes binary, places binary, tokens long, distinct long, class_tokens array<long>, class_words array<long>"
+TALLIED = "block long, bucket int, ids array<long>, held array<boolean>, counts array<int>, known binary, classes binary, places binary, sums binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -99,7 +99,7 @@ def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = {"block": [block], "bucket": [bucket], "known": [zlib.compress(known.tobytes(), 1)], "classes": [pack(np.fromiter(map(class_of, own), np.uint32, len(own)))]}
         yield shaped(pd.DataFrame(row))
     if counts:
-        row = {"block": [-1], "bucket": [0], "tokens": [int(class_tokens.sum())], "distinct": [int(class_words.sum())], "class_tokens": [class_tokens], "class_words": [class_words]}
+        row = {"block": [-1], "bucket": [0], "sums": [np.concatenate([class_tokens, class_words]).astype(float).tobytes()]}
         yield shaped(pd.DataFrame(row))
 
 
@@ -280,16 +280,14 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; `held_out` is over doc_id."""
     spark = docs.sparkSession
     n = partitions(spark)
+    bounded_batches(spark)
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("text")).select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
     tallied = stored(rows.mapInPandas(cut(n), CUT).repartition(n, "bucket").mapInPandas(tally, TALLIED), "hmm-counts")
-    sizes = [r for r in tallied.filter("block = -1").agg(F.sum("tokens"), F.sum("distinct")).collect()][0]
-    sums = tallied.filter("block = -1").select(F.posexplode(F.arrays_zip("class_tokens", "class_words")).alias("k", "x")).groupBy("k").agg(F.sum("x.class_tokens").alias("t"), F.sum("x.class_words").alias("w")).collect()
+    sums = added(tallied.filter("block = -1").select("sums"))
+    class_tokens, class_words = np.zeros((2, CLASSES + 1), np.int64) if sums is None else sums.round().astype(np.int64).reshape(2, -1)
     ends = tallied.filter("held is not null").select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
-    class_tokens, class_words = np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64)
-    for r in sums:
-        class_tokens[r["k"]], class_words[r["k"]] = r["t"], r["w"]
     class_tokens[END], class_words[END] = ends, int(ends > 0)
-    corpus = Corpus((sizes[0] or 0) + ends, (sizes[1] or 0) + int(ends > 0), ends, class_tokens, class_words)
+    corpus = Corpus(int(class_tokens.sum()), int(class_words.sum()), ends, class_tokens, class_words)
     overall = (class_tokens + 1) / (class_tokens + 1).sum()
 
     texts = stored(tallied.filter("block >= 0").select("block", "bucket", "ids", "held", "counts", "known", "classes", "places").groupBy("block").applyInPandas(coded(corpus), BLOCKS), "hmm-texts")
