@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberframe.llm import bpe, decontaminate, pii, simhash, toxicity
-from emberframe.llm.common import crc_mod, read, stored
+from emberframe.llm.common import bounded_batches, crc_mod, read, stored
 from emberframe.llm.queries import vocabulary
 
 
@@ -23,6 +23,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of each SimHash component the document with the smallest id; rows without an id come last, by their text."""
     own = F.when(F.col("doc_id").isNotNull(), F.format_string("%020d", F.col("doc_id").cast("long"))).otherwise(F.concat(F.lit("~"), F.sha2(F.coalesce("text", F.lit("")), 256)))
     keyed = docs.withColumn("__key", own)
+    bounded_batches(spark)
     classes = simhash.near_duplicates(keyed, doc_id="__key")
     kept = keyed.join(classes.select(F.col("component_id").alias("__key")).distinct(), "__key", "left_semi")
     first = Window.partitionBy("__key").orderBy("text")  # rows that repeat an id
@@ -40,13 +41,15 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark of its kind in place of each piece of personal data."""
+    bounded_batches(spark)
     return _counted(pii.redacted(docs, pii.fit(docs)))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, decoded_sha256): token ids of each document, and the digest of what they decode to."""
     path, pattern = vocabulary()
-    out = bpe.encode(docs, path, pattern, with_bytes=True)
+    bounded_batches(spark)
+    out = bpe.encode(docs, path, pattern, with_bytes=True, block=6 << 20)
     return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

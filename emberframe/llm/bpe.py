@@ -34,11 +34,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def cut_blocks(split: Callable[[str], list], buckets: int, hashed: Callable[[object], int]):
+def cut_blocks(split: Callable[[str], list], buckets: int, hashed: Callable[[object], int], size: int = BLOCK):
     """Pre-tokens of documents by block: one row with the places, and one for each bucket with the words it deals with."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for n, pdf in enumerate(blocks(batches, limit=BLOCK)):
+        for n, pdf in enumerate(blocks(batches, limit=size)):
             block, number, places, counts = block_number(n), {}, [], []
             for text in pdf["text"]:
                 found = split(text) if isinstance(text, str) else []
@@ -63,11 +63,12 @@ def cut_blocks(split: Callable[[str], list], buckets: int, hashed: Callable[[obj
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_bytes: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_bytes: bool = False, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_tokens, token_ids): each match of `pattern` encoded by the ranks in the file `vocabulary`.
 
     token_ids holds little-endian unsigned 32-bit integers. The vocabulary (a file of bounded size) is broadcast.
     `with_bytes` decodes the ids in the same pass, as `decode` does, into the column `decoded`.
+    A smaller `block` (characters) takes less memory and shuffles more.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
@@ -123,7 +124,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
         out = pd.DataFrame({"doc_id": pd.array(list(head["ids"]), dtype="Int64"), "n_tokens": [len(x) // 4 for x in ids], "token_ids": ids})
         return out.assign(decoded=texts) if with_bytes else out
 
-    cut = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(cut_blocks(split, buckets, lambda w: zlib.crc32(w.encode())), PACKED)
+    cut = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(cut_blocks(split, buckets, lambda w: zlib.crc32(w.encode()), block), PACKED)
     coded = cut.repartition(buckets, "bucket").mapInPandas(encode_words, PACKED)
     return coded.groupBy("block").applyInPandas(reassemble, "doc_id long, n_tokens long, token_ids binary" + ", decoded binary" * with_bytes)
 

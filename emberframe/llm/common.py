@@ -18,9 +18,25 @@ BLOCK_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Limits what one Arrow batch of long texts takes in a Python worker, for this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def sampled(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """About n rows of df (all, if there are no more), by the hash of `columns`: the same rows each time. At most 2n,
+    and no task sorts or keeps more than its own share of them."""
+    total = df.count()
+    if total > n:
+        df = df.filter(F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < int((1 << 40) * n / total))
+    return df.limit(2 * n)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under names of our own, so that other columns can't clash."""
     return df.select(*(df[f"`{src}`"].alias(name) for name, src in columns.items()))

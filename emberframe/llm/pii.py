@@ -6,7 +6,7 @@ windows of WINDOW characters that start every STRIDE characters; each character
 is nearest, so spans that windows cut are put together over the whole text. A span needs a digit or an @, therefore
 windows without either can't hold one and are skipped; no other text is.
 
-The network learns from the format-level spans of at most SAMPLE texts (those of smallest hash that hold a digit or @)
+The network learns from the format-level spans of about SAMPLE texts that hold a digit or @, chosen by hash (never over twice as many)
 and from made-up ones, which alone remain when the table is empty. Nulls count as empty texts and have no spans. Repeated
 rows are scanned each. Only id and text are read by `find`; `redacted` keeps all rows and all other columns.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import pick
+from emberframe.llm.common import pick, sampled
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, SAMPLE, HIDDEN, WIDTH, EPOCHS, BATCH = 96, 48, 400, 16, 8, 6, 64
@@ -264,12 +264,12 @@ def training_set(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Tagger:
-    """The network, from at most `sample` texts of the table."""
-    rows = pick(docs, text=text).filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(sample)
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Tagger:
+    """The network, from about `sample` texts of the table."""
+    rows = sampled(pick(docs, doc_id=doc_id, text=text).filter(F.col("text").rlike("[0-9@]")), sample, "doc_id", "text")
     tagger = Tagger()
     # A long text teaches through its first windows only where spans may be; scoring reads all of it.
-    tagger.train(*training_set([r["text"] for r in rows.collect()]))
+    tagger.train(*training_set(sorted(r["text"] for r in rows.collect())))
     return tagger
 
 

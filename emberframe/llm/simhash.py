@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, fp, component_id) for each row of docs."""
     each = stored(fingerprints(docs, doc_id, text), "simhash")
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = components(near_links(distinct.select("fp"), limit))
+    rooted = components(stored(near_links(distinct.select("fp"), limit), "simhash-links"))
     classes = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return each.join(ids, "fp").select("doc_id", "fp", "component_id")

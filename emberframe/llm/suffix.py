@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import block_number, blocks, pack, pack_lists, partitions, pick, ragged, stored, unpack, unpack_lists
+from emberframe.llm.common import block_number, blocks, pack, pack_lists, partitions, pick, ragged, sampled, stored, unpack, unpack_lists
 
 LENGTH, WINDOW, GRAM = 400, 200, 16
 GROUP, SPLIT_BLOCKS, SPLIT_KEYS = 1500, 2048, 32
@@ -428,7 +428,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     table = stored(pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(to_blocks, BLOCKS), "suffix-blocks")
     known = table.mapInPandas(hash_rows(length, window, n), HASHES).repartition(n, "bucket").mapInPandas(met_elsewhere, HASHES)
     runs = stored(table.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(sorted_run(length, window), RUN), "suffix-runs")
-    sample = runs.select("block", "sample").orderBy(F.xxhash64("block"), "block").limit(SPLIT_BLOCKS)
+    sample = sampled(runs.select("block", "sample"), SPLIT_BLOCKS, "block")
     keys = sorted(bytes(k) for r in sample.collect() for k in r["sample"])
     splitters = cut_points([keys[len(keys) * i // n] for i in range(1, n)] if keys else [], length - window)
     pieces = runs.select("block", "run").mapInPandas(cut_run(splitters), PIECE).repartition(n, "part")

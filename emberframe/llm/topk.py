@@ -6,7 +6,7 @@ product is the smallest distance, and the triangle inequality holds: a vector at
 of at most ANNULUS rows. Queries are held in blocks of QUERY_BLOCK; a task walks its annuli, computes products only for
 queries whose bound can still reach their k-th best score, and returns its own best k for each query.
 
-Pivots, and each query's first bound, come from a sample of SAMPLE rows (those of smallest hash); the answer is exact.
+Pivots, and each query's first bound, come from a sample of about SAMPLE rows, chosen by hash; the answer is exact.
 
 Rows with a null id, or a vector that is null or holds null or non-finite components, take no part. Shorter vectors
 count as padded with zeros. Ties go to the smaller id. Rows that repeat an id are candidates each, but never of a query
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import partitions, pick, stored
+from emberframe.llm.common import partitions, pick, sampled, stored
 
 SAMPLE, PIVOTS, ANNULUS, QUERY_BLOCK = 2048, 32, 1024, 16_384
 
@@ -68,7 +68,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     def lifted(m: np.ndarray) -> np.ndarray:
         return np.hstack([m, np.sqrt(np.maximum(longest - (m * m).sum(1), 0))[:, None]])
 
-    picked = ints.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    picked = sorted(sampled(ints, SAMPLE, "id").collect(), key=lambda r: r["id"])
     sample_ids, sample = np.array([r["id"] for r in picked], np.int64), matrix([r["v"] for r in picked], width)
     pivots = choose_pivots(lifted(sample), PIVOTS)
 

@@ -2,8 +2,8 @@
 
 Features of a text: densities of a fixed insult lexicon and of a lexicon learned from labelled texts (word beginnings
 that toxic texts hold far more often), lexicon words near second-person words, capitals, punctuation, obfuscated
-words, lengths. The model is fitted on at most SAMPLE labelled rows (those of smallest hash among the rows to learn
-from); a fifth of them is kept for the calibration. Every text is scored whole.
+words, lengths. The model is fitted on about SAMPLE labelled rows, chosen by hash among the rows to learn from (never
+over twice as many); a fifth of them is kept for the calibration. Every text is scored whole.
 
 Nulls count as empty texts, which are scored like any other. Labels that are null, or belong to no document, teach
 nothing; an id with several labels counts as toxic if one of them is. Repeated rows are scored each. If there are no
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import crc_mod, pick
+from emberframe.llm.common import crc_mod, pick, sampled
 
 SAMPLE, TREES, DEPTH, RATE, BINS, LEXICON = 20_000, 40, 3, 0.2, 32, 2000
 #: Insults, fixed values.
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     spark = docs.sparkSession
     given = pick(labels, doc_id=doc_id, toxic=label).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(learn)
     given = given.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
+    given = sampled(given, sample, "doc_id")  # bounded, so it may be broadcast
     rows = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(given), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)).cast("int"))
     counts = {r["toxic"]: r["count"] for r in rows.filter("part <> 0").groupBy("toxic").count().collect()}
     learned = learned_lexicon(rows.filter("part > 1"), counts.get(1, 0), counts.get(0, 0)) if len(counts) == 2 else {}
