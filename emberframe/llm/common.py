@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberframe.sources.shared import stored  # noqa: F401  used by the operators through this module
+
 #: Text bytes that one block of documents holds, but for a single longer document.
 BLOCK_BYTES = 8 << 20
 
@@ -42,23 +42,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[f"`{src}`"].alias(name) for name, src in columns.items()))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; only where none is configured, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="emberframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

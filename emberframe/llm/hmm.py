@@ -291,7 +291,8 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     overall = (class_tokens + 1) / (class_tokens + 1).sum()
 
     texts = stored(tallied.filter("block >= 0").select("block", "bucket", "ids", "held", "counts", "known", "classes", "places").groupBy("block").applyInPandas(coded(corpus), BLOCKS), "hmm-texts")
-    some = texts.orderBy("block").limit(1).collect()  # one block of bounded size
+    least = texts.agg(F.min("block")).first()[0]
+    some = [] if least is None else texts.filter(F.col("block") == least).collect()  # one block of bounded size
     examples = []
     for r in some:
         at, classes = np.concatenate([[0], np.cumsum(r["counts"])]), unpack(r["classes"])

@@ -7,7 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from emberframe.llm import components, queries, simhash, topk
+from emberframe.llm import queries, simhash, topk
+from emberframe.operators import graph
 
 
 def slow_fingerprint(text):
@@ -90,7 +91,7 @@ def test_gray_rank_orders_the_gray_sequence():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7), (200, 250), (250, 201), (None, 3)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100, 200: 200, 201: 200, 250: 200}
 
 
