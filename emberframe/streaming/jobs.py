@@ -39,16 +39,14 @@ class LastReading(StatefulProcessor):
         self.last = handle.getValueState("last", "value double, at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            kept = self.last.get() if self.last.exists() else None
-            filled = pdf["value"].astype(float).ffill()
-            if kept is not None:
-                filled = filled.fillna(kept[0])
-            known = filled.dropna()
-            if len(known):
-                self.last.update((float(known.iloc[-1]), pdf["ts"].iloc[-1].to_pydatetime()))
-            yield pd.DataFrame({"event_id": pdf["event_id"], "cell_id": key[0], "ts": pdf["ts"], "carried": filled})
+        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])  # a cell's readings of one batch
+        filled = pdf["value"].astype(float).ffill()
+        if self.last.exists():
+            filled = filled.fillna(self.last.get()[0])
+        known = filled.dropna()
+        if len(known):
+            self.last.update((float(known.iloc[-1]), pdf["ts"].iloc[-1].to_pydatetime()))
+        yield pd.DataFrame({"event_id": pdf["event_id"], "cell_id": key[0], "ts": pdf["ts"], "carried": filled})
 
     def close(self) -> None:
         pass
