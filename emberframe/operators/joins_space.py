@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberframe.functions import cell_id, snap
 
 #: Where the mosaic's tiles meet, and the offset of the far ones, fixed values.
-LAT_SPLIT, LON_SPLIT, FAR_OFFSET = 33.616754, -115.901536, 9472
+LAT_SPLIT, LON_SPLIT, FAR_OFFSET = 33.616754562320736, -115.90153627238479, 9472
 
 
 def snap_cell(df: DataFrame, res: float = 0.25, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -54,7 +54,7 @@ def tile_pick(s, d):
     return joins_space.pick_tile(p, tiles(s, d)).select("pt_id", "filename")
 
 
-TILES = "t AS (SELECT concat('t', CAST(m AS VARCHAR(2)), '_', CAST(k AS VARCHAR(2))) AS filename, m, k, -116.0 + k AS east FROM range(1, 3) a(m), range(0, 4) b(k) WHERE NOT (m = 1 AND k = 3)), p AS (SELECT pt_id, lat, lon, pt_id % 3 + 1 AS m, CASE WHEN lat >= 33.616754 THEN 0 ELSE 2 END + CASE WHEN lon < -115.901536 THEN 0 ELSE 1 END AS q FROM v_pts)"
+TILES = "t AS (SELECT concat('t', CAST(m AS VARCHAR(2)), '_', CAST(k AS VARCHAR(2))) AS filename, m, k, -116.0 + k AS east FROM range(1, 3) a(m), range(0, 4) b(k) WHERE NOT (m = 1 AND k = 3)), p AS (SELECT pt_id, lat, lon, pt_id % 3 + 1 AS m, CASE WHEN lat >= 33.616754562320736 THEN 0 ELSE 2 END + CASE WHEN lon < -115.90153627238479 THEN 0 ELSE 1 END AS q FROM v_pts)"
 
 
 def seqs(s, d):

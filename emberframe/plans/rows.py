@@ -79,8 +79,8 @@ def balanced_sql(hard):
 _RANKED = "r AS (SELECT day, row_number() OVER (ORDER BY day) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM v_day) x)"
 
 QUERIES = {
-    "s2_path_keys": (lambda s, d: tables.with_path_keys(paths(s, d), "optical"), "SELECT id, path, TRY_CAST(regexp_extract(path, 's2_(\\d{4})_(\\d{2})(\\d{10})-(\\d{10})', 1) AS INT) AS year, TRY_CAST(regexp_extract(path, 's2_(\\d{4})_(\\d{2})(\\d{10})-(\\d{10})', 2) AS INT) AS month, TRY_CAST(regexp_extract(path, 's2_(\\d{4})_(\\d{2})(\\d{10})-(\\d{10})', 3) AS INT) AS y_offset, TRY_CAST(regexp_extract(path, 's2_(\\d{4})_(\\d{2})(\\d{10})-(\\d{10})', 4) AS INT) AS x_offset FROM (" + PATHS.format("orders") + ") p"),
-    "s3_tile_index": (lambda s, d: tables.tile_index(paths(s, d).select("path").distinct(), "optical"), "SELECT DISTINCT path, split_part(path, '/', 2) AS filename, CAST(substr(path, 6, 4) AS INT) AS year, CAST(substr(path, 11, 2) AS INT) AS month, CAST(substr(path, 13, 10) AS INT) AS y_offset, CAST(substr(path, 24, 10) AS INT) AS x_offset FROM (" + PATHS.format("orders") + ") p"),
+    "s2_path_keys": (lambda s, d: tables.with_path_keys(paths(s, d), "optical"), "SELECT id, path, TRY_CAST(regexp_extract(path, 's2_(\\d{4})_(\\d{2})(\\d+)-(\\d+)\\.tif$', 1) AS INT) AS year, TRY_CAST(regexp_extract(path, 's2_(\\d{4})_(\\d{2})(\\d+)-(\\d+)\\.tif$', 2) AS INT) AS month, TRY_CAST(regexp_extract(path, 's2_(\\d{4})_(\\d{2})(\\d+)-(\\d+)\\.tif$', 3) AS INT) AS y_offset, TRY_CAST(regexp_extract(path, 's2_(\\d{4})_(\\d{2})(\\d+)-(\\d+)\\.tif$', 4) AS INT) AS x_offset FROM (" + PATHS.format("orders") + ") p"),
+    "s3_tile_index": (lambda s, d: tables.tile_index(paths(s, d).select("path").distinct(), "optical"), "SELECT DISTINCT path, split_part(path, '/', 2) AS filename, CAST(substr(path, 6, 4) AS INT) AS year, CAST(substr(path, 11, 2) AS INT) AS month, CAST(substr(path, 13, 10) AS INT) AS y_offset, CAST(substr(path, 24, 10) AS INT) AS x_offset FROM (" + PATHS.format("orders") + ") p WHERE path LIKE '%.tif'"),
     "s4_merge_members": (lambda s, d: quality.merge_members(view(s, d, "v_obs").filter("event_id % 10 <> 0").select("event_id", "cell_id", F.col("value").alias("instant")), view(s, d, "v_obs").filter("event_id % 8 <> 0").select("event_id", "cell_id", (F.col("value") * 2).alias("total")), ["event_id", "cell_id"], "outer"), "SELECT event_id, cell_id, CASE WHEN event_id % 10 <> 0 THEN round(value, 6) END AS instant, CASE WHEN event_id % 8 <> 0 THEN round(value * 2, 6) END AS total FROM v_obs WHERE event_id % 10 <> 0 OR event_id % 8 <> 0"),
     "s4_merge_exact": (lambda s, d: quality.merge_members(view(s, d, "v_obs").select("event_id", F.col("value").alias("instant")), view(s, d, "v_obs").select("event_id", "cell_id"), ["event_id"], "exact"), "SELECT event_id, round(value, 6) AS instant, cell_id FROM v_obs"),
     "s8_perimeters": (perimeters, "SELECT iv_id, s AS alarm, CASE WHEN iv_id % 7 = 0 THEN s ELSE coalesce(e, s) END AS cont FROM v_iv"),

@@ -28,10 +28,10 @@ def read_feature_windows(spark: SparkSession, path: str, values: list[str], year
 
 #: Patterns of the name-derived keys, fixed values.
 PATH_KEYS = {
-    "day": (r"(\d{4}-\d{2}-\d{2})\.tif", ("date",)),
-    "weather": (r"era5_(\d{4})_(\d{2})", ("year", "month")),
-    "optical": (r"s2_(\d{4})_(\d{2})(\d{10})-(\d{10})", ("year", "month", "y_offset", "x_offset")),
-    "aerosol": (r"s5p_(\d{4})_(\d{2})", ("year", "month")),
+    "day": (r"(?:^|/)(\d{4}-\d{2}-\d{2})\.tif$", ("date",)),
+    "weather": (r"era5_(\d{4})_(\d{2})\.nc$", ("year", "month")),
+    "optical": (r"s2_(\d{4})_(\d{2})(\d+)-(\d+)\.tif$", ("year", "month", "y_offset", "x_offset")),
+    "aerosol": (r"s5p_(\d{4})_(\d{2})\.tif$", ("year", "month")),
 }
 
 
