@@ -147,3 +147,11 @@ def test_token_counts(spark, odd, encoder):
         assert tokens.truncated_total(sums, limit).collect()[0][0] == sum(min(x, limit) for x in n)
     assert tokens.quantile(sums, 0.5).collect()[0][0] == n[len(n) // 2 - 1]
     assert tokens.suffix_sums(tokens.histogram(odd.limit(0).select(F.lit(1).alias("length")))).count() == 0
+
+
+def test_license_gate_holds_for_every_rule():
+    """What each rule's pattern must hold holds a gate's substring: its literal words, or the verbs of its template."""
+    for template in license.TEMPLATES.strip().splitlines():
+        assert any(x in template for x in ("licen", "spdx", ") under ("))
+    for notice in license.NOTICES.strip().splitlines():
+        assert any(g in notice.split("|", 4)[4].lower() for g in license.GATE)
