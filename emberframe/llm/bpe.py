@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import block_number, blocks, pack, pack_lists, pack_words, partitions, pick, ragged, unpack, unpack_lists, unpack_words
+from emberframe.llm.common import block_number, blocks, even_keys, pack, pack_lists, pack_words, partitions, pick, ragged, unpack, unpack_lists, unpack_words
 
 #: Characters of a block: the larger, the fewer blocks repeat a word.
 BLOCK = 16 << 20
@@ -34,8 +34,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def cut_blocks(split: Callable[[str], list], buckets: int, hashed: Callable[[object], int], size: int = BLOCK):
-    """Pre-tokens of documents by block: one row with the places, and one for each bucket with the words it deals with."""
+def cut_blocks(split: Callable[[str], list], keys: list[int], hashed: Callable[[object], int], size: int = BLOCK):
+    """Pre-tokens of documents by block: one row with the places, and one for each bucket (named by its key) with the
+    words it deals with."""
+    buckets = len(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for n, pdf in enumerate(blocks(batches, limit=size)):
@@ -53,11 +55,11 @@ def cut_blocks(split: Callable[[str], list], buckets: int, hashed: Callable[[obj
             rank[by_count] = np.arange(len(words), dtype=np.uint32)
             order = by_count[np.argsort(bucket[by_count], kind="stable")]
             ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-            rows = [(block, zlib.crc32(str(block).encode()) % buckets, ids, counts, None, pack(rank[flat]), pack(bucket[by_count]))]
+            rows = [(block, keys[zlib.crc32(str(block).encode()) % buckets], ids, counts, None, pack(rank[flat]), pack(bucket[by_count]))]
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 own = [words[i] for i in order[edges[b] : edges[b + 1]]]
-                rows.append((block, int(b), None, None, pack_words([w if isinstance(w, bytes) else w.encode() for w in own]), None, None))
+                rows.append((block, keys[b], None, None, pack_words([w if isinstance(w, bytes) else w.encode() for w in own]), None, None))
             yield pd.DataFrame(rows, columns=["block", "bucket", "ids", "counts", "words", "places", "owners"])
 
     return run
@@ -124,7 +126,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
         out = pd.DataFrame({"doc_id": pd.array(list(head["ids"]), dtype="Int64"), "n_tokens": [len(x) // 4 for x in ids], "token_ids": ids})
         return out.assign(decoded=texts) if with_bytes else out
 
-    cut = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(cut_blocks(split, buckets, lambda w: zlib.crc32(w.encode()), block), PACKED)
+    cut = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(cut_blocks(split, even_keys(spark, buckets), lambda w: zlib.crc32(w.encode()), block), PACKED)
     coded = cut.repartition(buckets, "bucket").mapInPandas(encode_words, PACKED)
     return coded.groupBy("block").applyInPandas(reassemble, "doc_id long, n_tokens long, token_ids binary" + ", decoded binary" * with_bytes)
 

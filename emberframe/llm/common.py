@@ -46,6 +46,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n rising integers of which a hash exchange into n partitions puts one in each."""
+    ids = spark.range(n * 40 + 400).select(F.col("id").cast("int").alias("id"))
+    got = {r["p"]: r["id"] for r in ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()}
+    return sorted(got.values()) if len(got) == n else list(range(n))
+
+
 def block_number(n: int) -> int:
     """Number of this task's n-th block: the same when the task runs again."""
     return (TaskContext.get().partitionId() << 32) | n

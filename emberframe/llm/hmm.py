@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import block_number, blocks, bounded_batches, crc_mod, pack, pack_words, partitions, ragged, stored, unpack, unpack_words
+from emberframe.llm.common import block_number, blocks, bounded_batches, crc_mod, even_keys, pack, pack_words, partitions, ragged, stored, unpack, unpack_words
 
 CLASSES, STATES, ROUNDS, STRETCH, AFFIX = 4096, 8, 5, 64, 3
 END = CLASSES
@@ -42,8 +42,9 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[:AFFIX] + b" " + word[-AFFIX:]) % CLASSES
 
 
-def cut(buckets: int):
+def cut(keys: list[int]):
     """Words of documents by block: one row with the places, and one a bucket with its words and their training counts."""
+    buckets = len(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for n, pdf in enumerate(blocks(batches, limit=BLOCK)):
@@ -60,11 +61,11 @@ def cut(buckets: int):
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
             ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-            rows = [(block, zlib.crc32(str(block).encode()) % buckets, ids, held.tolist(), counts.tolist(), None, None, pack(rank[flat]))]
+            rows = [(block, keys[zlib.crc32(str(block).encode()) % buckets], ids, held.tolist(), counts.tolist(), None, None, pack(rank[flat]))]
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 own = order[edges[b] : edges[b + 1]]
-                rows.append((block, int(b), None, None, None, pack_words([words[i] for i in own]), pack(learned[own]), None))
+                rows.append((block, keys[b], None, None, None, pack_words([words[i] for i in own]), pack(learned[own]), None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CUT.split(", ")])
 
     return run
@@ -282,7 +283,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     n = partitions(spark)
     bounded_batches(spark)
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("text")).select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
-    tallied = stored(rows.mapInPandas(cut(n), CUT).repartition(n, "bucket").mapInPandas(tally, TALLIED), "hmm-counts")
+    tallied = stored(rows.mapInPandas(cut(even_keys(spark, n)), CUT).repartition(n, "bucket").mapInPandas(tally, TALLIED), "hmm-counts")
     sums = added(tallied.filter("block = -1").select("sums"))
     class_tokens, class_words = np.zeros((2, CLASSES + 1), np.int64) if sums is None else sums.round().astype(np.int64).reshape(2, -1)
     ends = tallied.filter("held is not null").select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0

@@ -28,9 +28,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import block_number, blocks, pack, pack_lists, partitions, pick, ragged, sampled, stored, unpack, unpack_lists
+from emberframe.llm.common import block_number, blocks, even_keys, pack, pack_lists, partitions, pick, ragged, sampled, stored, unpack, unpack_lists
 
-LENGTH, WINDOW, GRAM = 400, 200, 16
+LENGTH, WINDOW, GRAM, BLOCK = 400, 200, 16, 4 << 20
 GROUP, SPLIT_BLOCKS, SPLIT_KEYS = 1500, 2048, 32
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 P1, P2, B1, B2 = (1 << 31) - 1, (1 << 31) - 19, 911382323, 972663749
@@ -38,12 +38,12 @@ P1, P2, B1, B2 = (1 << 31) - 1, (1 << 31) - 19, 911382323, 972663749
 BLOCKS = "block long, ids array<long>, lengths array<int>, data binary"
 HASHES = "block long, bucket int, hashes binary"
 RUN = "block long, run binary, sample array<binary>, whole binary"
-PIECE = "part int, block long, run binary"
+PIECE = "part int, key int, block long, run binary"
 FOUND = "block long, start long, stop long, weight int, key1 long, key2 long"
 
 
 def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for n, pdf in enumerate(blocks(batches)):
+    for n, pdf in enumerate(blocks(batches, limit=BLOCK)):
         texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
         data = zstandard.ZstdCompressor(level=6).compress(b"".join(texts))
         yield pd.DataFrame({"block": [block_number(n)], "ids": [[None if pd.isna(x) else int(x) for x in pdf["doc_id"]]], "lengths": [[len(t) for t in texts]], "data": [data]})
@@ -236,10 +236,10 @@ class Hasher:
         return out
 
 
-def hash_rows(length: int, window: int, buckets: int):
+def hash_rows(length: int, window: int, keys: list[int]):
     """Core hashes of each block by bucket. Those that a block has twice go under its negative: they count twice there,
     and the block needs no answer."""
-    core = length - window
+    core, buckets, names = length - window, len(keys), np.array(keys, np.int32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -252,7 +252,7 @@ def hash_rows(length: int, window: int, buckets: int):
                     order = np.argsort(bucket, kind="stable")
                     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                     used = np.flatnonzero(np.diff(edges))
-                    yield pd.DataFrame({"block": sender, "bucket": used.astype(np.int32), "hashes": [h[order[edges[b] : edges[b + 1]]].tobytes() for b in used]})
+                    yield pd.DataFrame({"block": sender, "bucket": names[used], "hashes": [h[order[edges[b] : edges[b + 1]]].tobytes() for b in used]})
 
     return run
 
@@ -301,7 +301,7 @@ def cut_points(keys: list[bytes], core: int) -> list[bytes]:
     return sorted({k if i and keys[i - 1][:core] == k[:core] else k[:core] for i, k in enumerate(keys)})
 
 
-def cut_run(splitters: list[bytes]):
+def cut_run(splitters: list[bytes], names: list[int]):
     import bisect
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,7 +311,7 @@ def cut_run(splitters: list[bytes]):
                 edges = [0, *(bisect.bisect_left(keys, s) for s in splitters), len(keys)]
                 for part, (a, b) in enumerate(zip(edges, edges[1:])):
                     if b > a:
-                        yield pd.DataFrame({"part": [part], "block": [block], "run": [front_coded(keys[a:b], {k: v[a:b] for k, v in meta.items()})]})
+                        yield pd.DataFrame({"part": [part], "key": [names[part]], "block": [block], "run": [front_coded(keys[a:b], {k: v[a:b] for k, v in meta.items()})]})
 
     return run
 
@@ -425,13 +425,14 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     if length - window < 8 or window + GRAM > length:
         raise ValueError("length must leave room for the anchor window and the core")
     n = partitions(spark)
+    keys = even_keys(spark, n)
     table = stored(pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(to_blocks, BLOCKS), "suffix-blocks")
-    known = table.mapInPandas(hash_rows(length, window, n), HASHES).repartition(n, "bucket").mapInPandas(met_elsewhere, HASHES)
+    known = table.mapInPandas(hash_rows(length, window, keys), HASHES).repartition(n, "bucket").mapInPandas(met_elsewhere, HASHES)
     runs = stored(table.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(sorted_run(length, window), RUN), "suffix-runs")
     sample = sampled(runs.select("block", "sample"), SPLIT_BLOCKS, "block")
-    keys = sorted(bytes(k) for r in sample.collect() for k in r["sample"])
-    splitters = cut_points([keys[len(keys) * i // n] for i in range(1, n)] if keys else [], length - window)
-    pieces = runs.select("block", "run").mapInPandas(cut_run(splitters), PIECE).repartition(n, "part")
+    seen = sorted(bytes(k) for r in sample.collect() for k in r["sample"])
+    splitters = cut_points([seen[len(seen) * i // n] for i in range(1, n)] if seen else [], length - window)
+    pieces = runs.select("block", "run").mapInPandas(cut_run(splitters, keys), PIECE).repartition(n, "key").drop("key")
     found = stored(pieces.mapInPandas(merged(length, window, splitters), FOUND), "suffix-found")
     open_ = found.filter("weight > 0")
     twice = open_.groupBy("key1", "key2").agg(F.sum("weight").alias("n")).filter("n > 1").select("key1", "key2")
