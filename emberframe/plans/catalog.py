@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.plans import joins, measures, rasters, rows, streams
+from emberframe.plans import joins, measures, rasters, rows, stores, streams
 from emberframe.plans.views import rounded, sql
 
-MODULES = (rows, measures, joins, rasters, streams)
+MODULES = (rows, stores, measures, joins, rasters, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
