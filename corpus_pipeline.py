@@ -49,7 +49,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, decoded_sha256): token ids of each document, and the digest of what they decode to."""
     path, pattern = vocabulary()
     bounded_batches(spark)
-    out = bpe.encode(docs, path, pattern, with_bytes=True, block=6 << 20)
+    out = bpe.encode(docs, path, pattern, with_bytes=True, block=3 << 20)
     return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
