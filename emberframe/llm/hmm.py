@@ -9,6 +9,11 @@ Baum-Welch runs over all training texts: each task sums its expected counts, the
 reach the driver. For training, token streams are cut into stretches of STRETCH tokens whose first state follows the
 mean occupation. Scores come from the scaled forward recursion over the whole text, without cuts.
 
+The first model leans each state towards the class shares of one training text. It is chosen among START_TEXTS distinct
+ones (by their classes) that come first by hash over all training rows of all blocks, those of over LONG tokens before
+shorter ones; texts without words are left out. Each state gets a small fixed perturbation of its own, so that states
+differ even when there are fewer distinct texts than states.
+
 Nulls count as empty texts, which hold only the end. Repeated rows and ids are counted and scored row by row. A table
 without training rows gives every token the probability of an unseen one. Other columns are not read.
 """
@@ -16,8 +21,10 @@ without training rows gives every token the probability of an unseen one. Other
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -30,6 +37,8 @@ from emberframe.llm.common import block_number, blocks, bounded_batches, crc_mod
 CLASSES, STATES, ROUNDS, STRETCH, AFFIX = 4096, 8, 5, 64, 3
 END = CLASSES
 BLOCK = 6 << 20
+#: Distinct training texts the first model chooses from; tokens of a text that counts as long; how far a start is perturbed.
+START_TEXTS, LONG, PERTURBED = 512, 50, 0.1
 CUT = "block long, bucket int, ids array<long>, held array<boolean>, counts array<int>, words binary, learned binary, places binary"
 TALLIED = "block long, bucket int, ids array<long>, held array<boolean>, counts array<int>, known binary, classes binary, places binary, sums binary"
 
@@ -122,7 +131,22 @@ class Corpus:
         return np.log10((c + 1) / (self.class_tokens[k] + self.class_words[k] + 1))
 
 
-BLOCKS = "block long, ids array<long>, held array<boolean>, counts array<int>, known array<long>, base array<double>, within array<double>, classes binary"
+def start_keys(held: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Of each text: a hash of its classes, larger for short texts than for any long one; infinite if it can't be a start."""
+    at = np.concatenate([[0], np.cumsum(counts)])
+    out = np.full(len(counts), np.inf)
+    for i in np.flatnonzero(~held & (counts > 1)).tolist():
+        h = int.from_bytes(blake2b(classes[at[i] : at[i + 1]].tobytes(), digest_size=8).digest(), "little") >> 12
+        out[i] = h + (0 if counts[i] > LONG else 1 << 52)  # below 2^53, exact as a double
+    return out
+
+
+def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest START_TEXTS distinct keys of both."""
+    return np.union1d(a, b)[:START_TEXTS]
+
+
+BLOCKS = "block long, ids array<long>, held array<boolean>, counts array<int>, known array<long>, base array<double>, within array<double>, classes binary, starts binary"
 
 
 def coded(corpus: Corpus):
@@ -141,9 +165,11 @@ def coded(corpus: Corpus):
         inside = np.ones(len(classes), bool)
         inside[ends + np.arange(len(ends))] = False
         classes[inside] = k[places]
+        keys = start_keys(np.asarray(head["held"], dtype=bool), counts + 1, classes)
         return pd.DataFrame({
             "block": [head["block"]], "ids": [head["ids"]], "held": [head["held"]], "counts": [counts + 1],
             "known": [sums[0].round().astype(np.int64) + int(corpus.ends > 0)], "base": [sums[1] + corpus.base(end)], "within": [sums[2] + corpus.within(end, np.array([END]))], "classes": [pack(classes)],
+            "starts": [least(keys[np.isfinite(keys)], np.zeros(0)).tobytes()],
         })
 
     return run
@@ -158,7 +184,7 @@ class Model:
 
 
 def first_model(overall: np.ndarray, texts: list[np.ndarray], states: int = STATES) -> Model:
-    """States that lean towards the class shares of texts as unlike each other as can be found among `texts`."""
+    """States that lean towards the class shares of texts as unlike each other as can be found among `texts`, each perturbed."""
     shares = np.array([0.5 * overall + 0.5 * np.bincount(x, minlength=len(overall)) / len(x) for x in texts if len(x)] or [overall])
     roots = np.sqrt(shares)
     picked = [int((roots @ np.sqrt(overall)).argmin())]
@@ -166,7 +192,8 @@ def first_model(overall: np.ndarray, texts: list[np.ndarray], states: int = STAT
         near = (roots @ roots[picked].T).max(1)
         picked.append(int(near.argmin()) if len(picked) < len(shares) else picked[len(picked) % len(shares)])
     even = np.full(states, 1 / states)
-    return Model(even, even, 0.9 * np.eye(states) + 0.1 / states, shares[picked].T.copy())
+    emit = shares[picked].T * (1 + PERTURBED * np.random.default_rng(1).uniform(-1, 1, (len(overall), states)))
+    return Model(even, even, 0.9 * np.eye(states) + 0.1 / states, emit / emit.sum(0))
 
 
 def expected_counts(stream: np.ndarray, m: Model) -> np.ndarray:
@@ -217,14 +244,14 @@ def improved(m: Model, sums: np.ndarray, overall: np.ndarray) -> Model:
     return Model((start + 0.1) / (start.sum() + 0.1 * k), (used + 0.1) / (used.sum() + 0.1 * k), (move + 0.1) / (move.sum(1, keepdims=True) + 0.1 * k), emit)
 
 
-def added(sums: DataFrame) -> np.ndarray | None:
-    """Sum of the arrays in column `sums`, in a tree of at most 64 leaves to the driver."""
+def added(sums: DataFrame, join: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> np.ndarray | None:
+    """Sum (or another `join`) of the arrays in column `sums`, in a tree of at most 64 leaves to the driver."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
             for x in pdf["sums"]:
-                total = np.frombuffer(x).copy() if total is None else total + np.frombuffer(x)
+                total = np.frombuffer(x).copy() if total is None else join(total, np.frombuffer(x))
         if total is not None:
             yield pd.DataFrame({"sums": [total.tobytes()]})
 
@@ -233,7 +260,36 @@ def added(sums: DataFrame) -> np.ndarray | None:
         n = max(4, int(n**0.5)) if n > 64 else 4
         sums = sums.repartition(n).mapInPandas(add, "sums binary")
     got = [np.frombuffer(r["sums"]) for r in sums.collect()]
-    return np.sum(got, axis=0) if got else None
+    return reduce(join, got) if got else None
+
+
+def start_texts(texts: DataFrame) -> list[np.ndarray]:
+    """Class sequences, sorted, of the START_TEXTS training texts whose keys are the smallest of all blocks."""
+    keys = added(texts.select(F.col("starts").alias("sums")), least)
+    if keys is None or not len(keys):
+        return []
+    chosen = texts.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[float] = set()
+        for pdf in batches:
+            for held, counts, packed, starts in pdf.itertuples(index=False):
+                own = set(np.intersect1d(np.frombuffer(starts), chosen.value).tolist()) - seen
+                if not own:
+                    continue
+                counts, classes = np.asarray(counts, dtype=np.int64), unpack(packed)
+                at, rows = np.concatenate([[0], np.cumsum(counts)]), []
+                for i, key in enumerate(start_keys(np.asarray(held, dtype=bool), counts, classes).tolist()):
+                    if key in own:
+                        own.remove(key)
+                        seen.add(key)
+                        c, n = np.unique(classes[at[i] : at[i + 1]], return_counts=True)
+                        rows.append((key, pack(c), pack(n)))
+                yield pd.DataFrame(rows, columns=["key", "classes", "n"])
+
+    found = texts.select("held", "counts", "classes", "starts").mapInPandas(run, "key double, classes binary, n binary")
+    rows = found.groupBy("key").agg(F.first(F.struct("classes", "n")).alias("x")).collect()  # equal for equal keys
+    return [np.repeat(unpack(r["x"]["classes"]), unpack(r["x"]["n"])) for r in sorted(rows, key=lambda r: r["key"])]
 
 
 def baum_welch(texts: DataFrame, m: Model, overall: np.ndarray, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
@@ -292,13 +348,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     overall = (class_tokens + 1) / (class_tokens + 1).sum()
 
     texts = stored(tallied.filter("block >= 0").select("block", "bucket", "ids", "held", "counts", "known", "classes", "places").groupBy("block").applyInPandas(coded(corpus), BLOCKS), "hmm-texts")
-    least = texts.agg(F.min("block")).first()[0]
-    some = [] if least is None else texts.filter(F.col("block") == least).collect()  # one block of bounded size
-    examples = []
-    for r in some:
-        at, classes = np.concatenate([[0], np.cumsum(r["counts"])]), unpack(r["classes"])
-        examples = [classes[at[i] : at[i + 1]] for i in range(len(r["counts"])) if not r["held"][i] and r["counts"][i] > 50][:512]
-    model, _ = baum_welch(texts, first_model(overall, examples), overall, rounds)
+    model, _ = baum_welch(texts, first_model(overall, start_texts(texts)), overall, rounds)
     shared = spark.sparkContext.broadcast(model)
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

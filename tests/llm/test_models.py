@@ -180,3 +180,31 @@ def test_packed_integers_round_trip():
         assert unpack(pack(np.array(a, dtype=np.uint64))).tolist() == [int(x) for x in a]
     for words in ([], [b""], [b"a", b"", b"b" * 70_000, "é".encode()]):
         assert unpack_words(pack_words(words)) == words
+
+
+def columns_differ(m):
+    return all(np.abs(m.emit[:, i] - m.emit[:, j]).sum() > 1e-3 for i in range(m.emit.shape[1]) for j in range(i))
+
+
+def test_first_model_has_no_equal_states():
+    overall = np.full(5, 0.2)
+    for texts in ([], [np.array([1, 2, 2])], [np.array([1, 2, 2])] * 20, [np.array([0]), np.array([4])]):
+        m = hmm.first_model(overall, texts)
+        assert m.emit.sum(0) == pytest.approx(np.ones(hmm.STATES)) and columns_differ(m)
+
+
+@pytest.mark.parametrize("first", ["long", "held out", "short", "copies"])
+def test_hmm_starts_come_from_all_blocks(spark, monkeypatch, first):
+    learn = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(200) if i not in learn)
+    block = {"long": [(learn[0], "same words again " * 3000)], "held out": [(held, "held out words " * 300)], "short": [(learn[0], "a b")], "copies": [(i, "hot text " * 60) for i in learn[:40]]}[first]
+    rest = [(i, f"topic{i} of{i} its{i} own{i} " * 20) for i in learn[50:70]]
+    sc = spark.sparkContext
+    df = spark.createDataFrame(sc.union([sc.parallelize(block, 1), sc.parallelize(rest, 2)]), "doc_id long, text string")
+    seen, plain = [], hmm.first_model
+    monkeypatch.setattr(hmm, "first_model", lambda overall, texts, *a: seen.append((texts, m := plain(overall, texts, *a))) or m)
+    assert len(hmm.score(df, hmm.held_out(), rounds=1).collect()) == len(block) + len(rest)
+    texts, m = seen[0]
+    assert len(texts) == len({t.tobytes() for t in texts}) == len(rest) + (first != "held out") and columns_differ(m)
+    monkeypatch.setattr(hmm, "START_TEXTS", 5)
+    assert len(hmm.least(np.arange(9.0), np.arange(3.0))) == 5
