@@ -1,7 +1,8 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
-A rule is a label, a keyword, a regex, a priority and a weight. A few plain substrings, one of which every match holds,
-decide whether a text is looked at; then only rules whose keyword the text holds are run. Detections inside a longer one are dropped, of two
+A rule is a label, keywords, a regex, a priority and a weight. A few plain substrings, one of which every match holds,
+decide whether a text is looked at; then only rules are run of which the text holds a keyword: every match of a rule holds
+at least one. Detections inside a longer one are dropped, of two
 at the same place the better priority stays, and of two that overlap otherwise the better priority stays as well.
 Everything happens within a row, so nothing is shuffled and no key can be hot.
 
@@ -25,7 +26,7 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 #: Every base phrase holds one of the first, and every rule's match one of the second, whatever the case.
 BASE_GATE = ("license", "cc")
 GATE = ("licen", "spdx", "permission", "redistribution", "copyright", "rights reserved", "public domain", "as-is", "free software", "source code form", "unencumbered", "neither the name", "do what the", " under ")
-#: label | keyword | name as a regex | SPDX identifier as a regex
+#: label | keywords, one of which every name holds | name as a regex | SPDX identifier as a regex
 LICENSES = r"""
 mit|mit|(?:the )?mit(?:/x11)?|mit(?:-0|-feh)?
 x11|x11|(?:the )?x11|x11
@@ -67,13 +68,13 @@ ofl-1.1|open font|(?:the )?sil open font license,? ?(?:version |v)?1\.1|ofl-1\.1
 ms-pl|microsoft|(?:the )?microsoft public license|ms-pl
 ms-rl|microsoft|(?:the )?microsoft reciprocal license|ms-rl
 odbl-1|open database|(?:the )?open database license(?: \(odbl\))?,? ?(?:version |v)?1?(?:\.0)?|odbl-1\.0
-cc0|cc0|(?:creative commons )?(?:zero|cc0)(?: 1\.0)?(?: universal)?|cc0-1\.0
-cc-by-nc-sa|nc|(?:creative commons attribution-noncommercial-sharealike|cc[ -]by[ -]nc[ -]sa)(?: [1-4]\.0)?|cc-by-nc-sa-[1-4]\.0
-cc-by-nc-nd|nc|(?:creative commons attribution-noncommercial-noderiv(?:ative)?s|cc[ -]by[ -]nc[ -]nd)(?: [1-4]\.0)?|cc-by-nc-nd-[1-4]\.0
-cc-by-nc|nc|(?:creative commons attribution-noncommercial|cc[ -]by[ -]nc)(?![ -](?:sa|nd))(?: [1-4]\.0)?|cc-by-nc-[1-4]\.0
-cc-by-sa|sa|(?:creative commons attribution-sharealike|cc[ -]by[ -]sa)(?: [1-4]\.0)?|cc-by-sa-[1-4]\.0
-cc-by-nd|nd|(?:creative commons attribution-noderiv(?:ative)?s|cc[ -]by[ -]nd)(?: [1-4]\.0)?|cc-by-nd-[1-4]\.0
-cc-by|cc|(?:creative commons attribution|cc[ -]by)(?![ -](?:nc|sa|nd))(?: [1-4]\.0)?|cc-by-[1-4]\.0
+cc0|zero,cc0|(?:creative commons )?(?:zero|cc0)(?: 1\.0)?(?: universal)?|cc0-1\.0
+cc-by-nc-sa|creative commons,cc by,cc-by|(?:creative commons attribution-noncommercial-sharealike|cc[ -]by[ -]nc[ -]sa)(?: [1-4]\.0)?|cc-by-nc-sa-[1-4]\.0
+cc-by-nc-nd|creative commons,cc by,cc-by|(?:creative commons attribution-noncommercial-noderiv(?:ative)?s|cc[ -]by[ -]nc[ -]nd)(?: [1-4]\.0)?|cc-by-nc-nd-[1-4]\.0
+cc-by-nc|creative commons,cc by,cc-by|(?:creative commons attribution-noncommercial|cc[ -]by[ -]nc)(?![ -](?:sa|nd))(?: [1-4]\.0)?|cc-by-nc-[1-4]\.0
+cc-by-sa|creative commons,cc by,cc-by|(?:creative commons attribution-sharealike|cc[ -]by[ -]sa)(?: [1-4]\.0)?|cc-by-sa-[1-4]\.0
+cc-by-nd|creative commons,cc by,cc-by|(?:creative commons attribution-noderiv(?:ative)?s|cc[ -]by[ -]nd)(?: [1-4]\.0)?|cc-by-nd-[1-4]\.0
+cc-by|creative commons,cc by,cc-by|(?:creative commons attribution|cc[ -]by)(?![ -](?:nc|sa|nd))(?: [1-4]\.0)?|cc-by-[1-4]\.0
 """
 #: priority | weight | pattern around {name} or {spdx}
 TEMPLATES = r"""
@@ -84,7 +85,7 @@ TEMPLATES = r"""
 5|0.8|licen[cs]e\s*[:=]\s*['"]?{name}(?: licen[cs]e)?(?![0-9a-z])
 6|0.6|(?<![0-9a-z]){name} licen[cs]e(?![0-9a-z])
 """
-#: Full notices: priority | weight | label | keyword | regex
+#: Full notices: priority | weight | label | keywords | regex
 NOTICES = r"""
 2|0.95|mit|permission is hereby|permission is hereby granted, free of charge, to any person obtaining a copy
 2|0.95|isc|permission to use|permission to use, copy, modify, and(?:/or)? distribute this software for any purpose
@@ -109,11 +110,11 @@ def rules() -> list[dict]:
     """All signature rules, best priority first."""
     out = []
     for priority, weight, template in _lines(TEMPLATES, 3):
-        for label, keyword, name, spdx in map(_split_license, LICENSES.strip().splitlines()):
+        for label, keywords, name, spdx in map(_split_license, LICENSES.strip().splitlines()):
             by_id = "{spdx}" in template
-            out.append({"priority": int(priority), "weight": float(weight), "label": label, "keyword": "spdx" if by_id else keyword, "pattern": "(?i)" + template.replace("{name}", f"(?:{name})").replace("{spdx}", f"(?:{spdx})")})
-    for priority, weight, label, keyword, pattern in _lines(NOTICES, 5):
-        out.append({"priority": int(priority), "weight": float(weight), "label": label, "keyword": keyword, "pattern": "(?i)" + pattern})
+            out.append({"priority": int(priority), "weight": float(weight), "label": label, "keywords": ["spdx"] if by_id else keywords.split(","), "pattern": "(?i)" + template.replace("{name}", f"(?:{name})").replace("{spdx}", f"(?:{spdx})")})
+    for priority, weight, label, keywords, pattern in _lines(NOTICES, 5):
+        out.append({"priority": int(priority), "weight": float(weight), "label": label, "keywords": keywords.split(","), "pattern": "(?i)" + pattern})
     return sorted(out, key=lambda r: r["priority"])
 
 
@@ -145,14 +146,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """
     base = "(?i)" + "|".join(phrase_pattern(p) for p, _ in BASE)
     table = rules()
-    kind = "array<struct<priority:int,weight:double,label:string,keyword:string,pattern:string>>"
+    kind = "array<struct<priority:int,weight:double,label:string,keywords:array<string>,pattern:string>>"
     df = pick(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     low = F.lower("t")
     gated = reduce(Column.__or__, (F.contains(low, F.lit(x)) for x in GATE))
     may_hold_base = reduce(Column.__or__, (F.contains(low, F.lit(x)) for x in BASE_GATE))
     df = df.select("doc_id", "t", count_words(F.col("t")).alias("n_words"), (may_hold_base & F.col("t").rlike(base)).alias("has_base"), gated.alias("gated"))
     df = df.withColumn("lower_t", F.when(F.col("gated"), F.lower("t")))
-    near = F.filter(F.from_json(F.lit(json.dumps(table)), kind), lambda r: F.contains(F.col("lower_t"), r["keyword"]))
+    near = F.filter(F.from_json(F.lit(json.dumps(table)), kind), lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("lower_t"), k)))
     active = F.filter(near, lambda r: F.regexp_like(F.col("t"), r["pattern"]))
     none = F.array().cast("array<struct<start:int,nend:int,priority:int,label:string,weight:double>>")
 

@@ -155,3 +155,54 @@ def test_license_gate_holds_for_every_rule():
         assert any(x in template for x in ("licen", "spdx", ") under ("))
     for notice in license.NOTICES.strip().splitlines():
         assert any(g in notice.split("|", 4)[4].lower() for g in license.GATE)
+
+
+def alternatives(parsed):
+    """Strings that a parsed regex matches: every branch, optional parts with and without, other repeats at their least."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            new = [chr(arg)]
+        elif name == "BRANCH":
+            new = [x for branch in arg[1] for x in alternatives(branch)]
+        elif name == "SUBPATTERN":
+            new = alternatives(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            new = [x * n for n in sorted({arg[0], 1}) for x in alternatives(arg[2])]
+        elif name == "IN":
+            new = {"LITERAL": lambda a: [chr(a)], "RANGE": lambda a: [chr(a[0])], "CATEGORY": lambda a: [" "]}[str(arg[0][0])](arg[0][1])
+            new += [chr(x) for k, x in arg[1:] if str(k) == "LITERAL"]
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            new = [""]
+        elif name == "ANY":
+            new = ["x"]
+        else:
+            raise ValueError(name)
+        out = list(dict.fromkeys(a + b for a in out for b in new))
+    return out
+
+
+def test_license_keywords_hold_for_every_alternative():
+    for label, keywords, name, _ in map(license._split_license, license.LICENSES.strip().splitlines()):
+        for text in alternatives(re._parser.parse(name)):
+            assert any(k in text.lower() for k in keywords.split(",")), (label, text)
+    for r in license.rules():
+        if r["pattern"].startswith("(?i)spdx"):
+            assert r["keywords"] == ["spdx"]
+    for _, _, label, keywords, pattern in license._lines(license.NOTICES, 5):
+        for text in alternatives(re._parser.parse(pattern)):
+            assert any(k in text for k in keywords.split(",")), (label, text)
+
+
+def test_license_names_without_short_forms(spark):
+    cases = [
+        ("Licensed under Creative Commons Zero 1.0 Universal.", "cc0"),
+        ("Licensed under zero.", "cc0"),
+        ("This work is licensed under Creative Commons Attribution-ShareAlike 4.0.", "cc-by-sa"),
+        ("licence: Creative Commons Attribution-NoDerivatives", "cc-by-nd"),
+        ("Licence: Creative Commons Attribution", "cc-by"),
+        ("Licensed Under CC-BY-SA 4.0", "cc-by-sa"),
+    ]
+    got = license.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert [r["labels"] for r in sorted(got, key=lambda r: r["doc_id"])] == [x for _, x in cases]
