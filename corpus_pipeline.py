@@ -20,13 +20,16 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id; rows without an id come last, by their text."""
-    own = F.when(F.col("doc_id").isNotNull(), F.format_string("%020d", F.col("doc_id").cast("long"))).otherwise(F.concat(F.lit("~"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    """Of each SimHash component the row with the smallest id, and of its texts that repeat the id the one with the
+    smallest hash; rows without an id come last, by their text. An id may stand on several texts: id and text are the key,
+    so rows that repeat both count as one."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    own = F.when(F.col("doc_id").isNotNull(), F.concat(F.format_string("%020d", F.col("doc_id").cast("long")), F.lit(":"), digest)).otherwise(F.concat(F.lit("~"), digest))
     keyed = docs.withColumn("__key", own)
     bounded_batches(spark)
     classes = simhash.near_duplicates(keyed, doc_id="__key")
     kept = keyed.join(classes.select(F.col("component_id").alias("__key")).distinct(), "__key", "left_semi")
-    first = Window.partitionBy("__key").orderBy("text")  # rows that repeat an id
+    first = Window.partitionBy("__key").orderBy("text")  # rows that repeat id and text
     return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)
 
 

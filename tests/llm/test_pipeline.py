@@ -82,3 +82,11 @@ def test_odd_rows_and_empty(spark, small):
         for _, f in corpus_pipeline.STAGES:
             d = f(spark, d, small)
         assert d.count() == n
+
+
+def test_one_id_on_two_texts(spark, small):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("sea", "oak"))
+    kept = lambda rows: sorted(tuple(r) for r in corpus_pipeline.one_of_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), small).collect())
+    assert kept([(5, a), (5, b)]) == [(5, b), (5, a)]
+    assert kept([(3, a), (5, a), (5, b), (5, b)]) == [(3, a), (5, b)]
+    assert kept([(3, b), (5, a), (5, b), (7, a)]) == [(3, b), (5, a)]
