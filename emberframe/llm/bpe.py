@@ -6,7 +6,9 @@ word that any number of blocks hold is encoded once; its ids travel back to the
 sequences. Rows that cross the network are one per (block, bucket), so a frequent word costs at most one entry a block.
 
 Nulls count as empty texts. A document without text has no ids. Repeated rows and repeated ids are encoded row by row,
-so the result has as many rows as the input. Other columns of the input are not read.
+so the result has as many rows as the input; ids may be any long. Other columns of the input are not read. Blocks are
+named by what they hold: documents that change while a task runs again (no table of files does) fail the job instead of
+mixing blocks.
 """
 
 from __future__ import annotations
@@ -18,14 +20,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import block_number, blocks, even_keys, pack, pack_lists, pack_words, partitions, pick, ragged, unpack, unpack_lists, unpack_words
+from emberframe.llm.common import block_number, blocks, even_keys, id_and_text, id_list, pack, pack_lists, pack_words, partitions, ragged, unpack, unpack_lists, unpack_words
 
 #: Characters of a block: the larger, the fewer blocks repeat a word.
 BLOCK = 16 << 20
-PACKED = "block long, bucket int, ids array<long>, counts array<int>, words binary, places binary, owners binary"
+PACKED = "block long, bucket int, ids array<string>, counts array<int>, words binary, places binary, owners binary"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,6 +37,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def block_name(number: int, pdf: pd.DataFrame) -> int:
+    """A block's name holds its rows: a task that runs again over other rows gives other names, so its parts can't be
+    taken for those of the first run."""
+    h = xxhash.xxh64(seed=number)
+    for x in (*pdf["doc_id"], *pdf["text"]):
+        h.update(b"\1" + x.encode("utf-8", "surrogatepass") if isinstance(x, str) else b"\0")
+    return h.intdigest() >> 1
+
+
 def cut_blocks(split: Callable[[str], list], keys: list[int], hashed: Callable[[object], int], size: int = BLOCK):
     """Pre-tokens of documents by block: one row with the places, and one for each bucket (named by its key) with the
     words it deals with."""
@@ -41,7 +53,7 @@ def cut_blocks(split: Callable[[str], list], keys: list[int], hashed: Callable[[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for n, pdf in enumerate(blocks(batches, limit=size)):
-            block, number, places, counts = block_number(n), {}, [], []
+            block, number, places, counts = block_name(block_number(n), pdf), {}, [], []
             for text in pdf["text"]:
                 found = split(text) if isinstance(text, str) else []
                 counts.append(len(found))
@@ -54,7 +66,7 @@ def cut_blocks(split: Callable[[str], list], keys: list[int], hashed: Callable[[
             rank = np.empty(len(words), np.uint32)
             rank[by_count] = np.arange(len(words), dtype=np.uint32)
             order = by_count[np.argsort(bucket[by_count], kind="stable")]
-            ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
+            ids = id_list(pdf["doc_id"])
             rows = [(block, keys[zlib.crc32(str(block).encode()) % buckets], ids, counts, None, pack(rank[flat]), pack(bucket[by_count]))]
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
@@ -108,12 +120,14 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
             yield pdf.assign(words=out)
 
     def reassemble(rows: pd.DataFrame) -> pd.DataFrame:
-        head = rows[rows["places"].notna()].iloc[0]
-        parts = [unpack_lists(x) for x in rows[rows["words"].notna()].sort_values("bucket")["words"]]
+        heads, parts = rows[rows["places"].notna()], [unpack_lists(x) for x in rows[rows["words"].notna()].sort_values("bucket")["words"]]
+        head = heads.iloc[0] if len(heads) == 1 else None
+        if head is None or sum(len(n) for n, _ in parts) != len(owners := unpack(head["owners"])):
+            raise RuntimeError("the documents changed while they were encoded; store them first")
         places, counts = unpack(head["places"]), np.asarray(head["counts"], dtype=np.int64)
         lengths = np.concatenate([n for n, _ in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
         table, starts = np.concatenate([unpack(x) for _, x in parts] or [np.zeros(0, np.uint32)]), np.cumsum(lengths) - lengths
-        numbers = np.argsort(unpack(head["owners"]), kind="stable")  # of the words in bucket order
+        numbers = np.argsort(owners, kind="stable")  # of the words in bucket order
         starts[numbers], lengths[numbers] = starts.copy(), lengths.copy()
         ids, texts, at = [], [], 0
         for n in counts:
@@ -123,12 +137,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
             ids.append(x.tobytes())
             if with_bytes:
                 texts.append(lookup(x))
-        out = pd.DataFrame({"doc_id": pd.array(list(head["ids"]), dtype="Int64"), "n_tokens": [len(x) // 4 for x in ids], "token_ids": ids})
+        out = pd.DataFrame({"doc_id": id_list(head["ids"]), "n_tokens": [len(x) // 4 for x in ids], "token_ids": ids})
         return out.assign(decoded=texts) if with_bytes else out
 
-    cut = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(cut_blocks(split, even_keys(spark, buckets), lambda w: zlib.crc32(w.encode()), block), PACKED)
+    cut = id_and_text(docs, doc_id, text).mapInPandas(cut_blocks(split, even_keys(spark, buckets), lambda w: zlib.crc32(w.encode()), block), PACKED)
     coded = cut.repartition(buckets, "bucket").mapInPandas(encode_words, PACKED)
-    return coded.groupBy("block").applyInPandas(reassemble, "doc_id long, n_tokens long, token_ids binary" + ", decoded binary" * with_bytes)
+    out = coded.groupBy("block").applyInPandas(reassemble, "doc_id string, n_tokens long, token_ids binary" + ", decoded binary" * with_bytes)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def byte_lookup(ranks) -> Callable[[np.ndarray], bytes]:

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[f"`{src}`"].alias(name) for name, src in columns.items()))
 
 
+def id_and_text(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text), the id as text on its way through Python: pandas makes doubles of integers next to nulls."""
+    return pick(df, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def id_list(ids) -> list:
+    return [x if isinstance(x, str) else None for x in ids]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -58,6 +69,22 @@ def block_number(n: int) -> int:
     return (TaskContext.get().partitionId() << 32) | n
 
 
+def arrow_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
+    """As `blocks`, over Arrow batches, whose other columns stay as they are."""
+    held, size = [], 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = 0
+        for i, n in enumerate(lengths):
+            if size and size + n > limit:
+                yield pa.Table.from_batches([*held, batch.slice(start, i - start)])
+                held, size, start = [], 0, i
+            size += n
+        held.append(batch.slice(start))
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def blocks(batches: Iterator[pd.DataFrame], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pd.DataFrame]:
     """Regroups a task's batches into blocks of about `limit` characters."""
     held, size = [], 0

@@ -9,7 +9,8 @@ The benchmark is held in memory by blocks of PHRASE_BLOCK phrases: a larger one
 
 Nulls have no words: such documents are clean and such items have no phrase. An item without words never occurs.
 Repeated items, ids and rows are kept: each row gets its own result and each item_id counts once a document. A null
-item_id is not listed. Other columns of the input pass through untouched, whatever their names.
+item_id is not listed. Other columns of the input pass through untouched, of any type (ids may be any long), but for
+those named as the result's own (FOUND), which it replaces.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import blocks, pick, ragged
+from emberframe.llm.common import arrow_blocks, pick, ragged
 
 #: Words are runs of ASCII letters and digits, lower-cased, and of everything beyond ASCII.
 TABLE = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 WINDOW = 10
+#: Columns that `contamination` adds, and the text on its way.
+FOUND, TEXT = ("n_words", "word_spans", "item_ids"), "text"
 PHRASE_BLOCK = 500_000
 SAMPLE = 8
 
@@ -140,7 +144,7 @@ def phrase_table(items: list[tuple[object, str | None]], window: int) -> dict[tu
 
 
 def scan(table: dict[tuple[bytes, ...], list], window: int):
-    """Function over batches with `__text`: adds word counts, merged spans of hit words [start, end) and item ids."""
+    """Function over Arrow batches with column TEXT: adds word counts, merged spans of hit words [start, end) and item ids."""
     alphabet = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for k in table for w in k))}
     keys, shortest = list(table), min(map(len, table), default=1)
     phrases = np.zeros((len(keys), window), np.int32)
@@ -148,10 +152,10 @@ def scan(table: dict[tuple[bytes, ...], list], window: int):
         phrases[i, window - len(k) :] = [alphabet[w] for w in k]
     sizes = np.array([len(k) for k in keys], np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = alphabet.get
-        for pdf in blocks(batches, "__text"):
-            coded = [np.array([get(w, 0) for w in words_of(t)], np.int32) for t in pdf["__text"]]
+        for block in arrow_blocks(batches, TEXT):
+            coded = [np.array([get(w, 0) for w in words_of(t)], np.int32) for t in block[TEXT].to_pylist()]
             counts = np.array([len(x) for x in coded], np.int64)
             # A zero after each document keeps runs apart.
             flat = np.concatenate([y for x in coded for y in (x, np.zeros(1, np.int32))] or [np.zeros(0, np.int32)])
@@ -185,12 +189,15 @@ def scan(table: dict[tuple[bytes, ...], list], window: int):
             spans: dict[int, list] = defaultdict(list)
             for d, a, b in zip(owner.tolist(), span_starts.tolist(), span_ends.tolist(), strict=True):
                 spans[d].append({"start": a - int(offsets[d]), "end": b - int(offsets[d])})
-            old_spans, old_items = pdf["word_spans"], pdf["item_ids"]
-            yield pdf.assign(
-                n_words=counts,
-                word_spans=[merge([*s, *spans[i]]) if len(s) else spans[i] for i, s in enumerate(old_spans)],
-                item_ids=[sorted({*o, *(str(x) for x in found[i] if x is not None)}) for i, o in enumerate(old_items)],
-            )
+            new = {
+                "n_words": counts,
+                "word_spans": [merge([*s, *spans[i]]) if s else spans[i] for i, s in enumerate(block["word_spans"].to_pylist())],
+                "item_ids": [sorted({*o, *(str(x) for x in found[i] if x is not None)}) for i, o in enumerate(block["item_ids"].to_pylist())],
+            }
+            for name, values in new.items():
+                at = block.schema.get_field_index(name)
+                block = block.set_column(at, block.schema.field(at), pa.chunked_array([pa.array(values, block.schema.field(at).type)]))
+            yield from block.combine_chunks().to_batches()
 
     return run
 
@@ -207,13 +214,16 @@ def merge(spans: list) -> list[dict]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, phrase_block: int = PHRASE_BLOCK) -> DataFrame:
-    """docs with n_words, word_spans (merged hit words, [start, end) by word) and item_ids (sorted as strings)."""
+    """docs with n_words, word_spans (merged hit words, [start, end) by word) and item_ids (sorted as strings), which take
+    the place of columns of docs with these names."""
     items = pick(benchmark, item=item_id, text=item_text)
-    out = docs.withColumns({"__text": docs[f"`{text}`"].cast("string"), "n_words": F.lit(0).cast("long"), "word_spans": F.array().cast("array<struct<start:long,end:long>>"), "item_ids": F.array().cast("array<string>")})
+    own = {f"c{i}": c for i, c in enumerate(docs.columns) if c not in FOUND}  # numbered on the way: no name can clash
+    fresh = {TEXT: docs[f"`{text}`"].cast("string"), "n_words": F.lit(0).cast("long"), "word_spans": F.array().cast("array<struct<start:long,end:long>>"), "item_ids": F.array().cast("array<string>")}
+    out = docs.select(*(docs[f"`{c}`"].alias(k) for k, c in own.items()), *(x.alias(k) for k, x in fresh.items()))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
 
     def apply(df: DataFrame, held: list) -> DataFrame:
-        return df.mapInPandas(scan(phrase_table(held, window), window), schema)
+        return df.mapInArrow(scan(phrase_table(held, window), window), schema)
 
     held, size, passes = [], 0, 0
     for row in items.toLocalIterator():  # by partitions; no more than one block of phrases is held
@@ -223,7 +233,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             out, held, size, passes = apply(out, held), [], 0, passes + 1
     if held or not passes:
         out = apply(out, held)
-    return out.drop("__text")
+    return out.select(*(F.col(k).alias(c) for k, c in own.items()), *FOUND)
 
 
 def remove_spans(text: str | None, spans: list) -> str | None:

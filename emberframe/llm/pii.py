@@ -6,8 +6,9 @@ windows of WINDOW characters that start every STRIDE characters; each character
 is nearest, so spans that windows cut are put together over the whole text. A span needs a digit or an @, therefore
 windows without either can't hold one and are skipped; no other text is.
 
-The network learns from the format-level spans of about SAMPLE texts that hold a digit or @, chosen by hash (never over twice as many)
-and from made-up ones, which alone remain when the table is empty. Nulls count as empty texts and have no spans. Repeated
+The network learns from the format-level spans of about SAMPLE texts that hold a digit or @, chosen by hash (never over
+twice as many), of each at most WINDOWS_PER_TEXT windows, chosen by hash over the whole text, and from made-up ones, which
+alone remain when the table is empty. Nulls count as empty texts and have no spans. Repeated
 rows are scanned each. Only id and text are read by `find`; `redacted` keeps all rows and all other columns.
 """
 
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -26,11 +29,12 @@ from pyspark.sql import types as T
 from emberframe.llm.common import pick, sampled
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, SAMPLE, HIDDEN, WIDTH, EPOCHS, BATCH = 96, 48, 400, 16, 8, 6, 64
+WINDOW, STRIDE, SAMPLE, WINDOWS_PER_TEXT, HIDDEN, WIDTH, EPOCHS, BATCH = 96, 48, 400, 40, 16, 8, 6, 64
 MAY_HOLD = re.compile("[0-9@]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Runs of digits with single dots between them; four of them in a row are one match of the pattern for addresses.
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
@@ -57,11 +61,25 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             at = m.end()
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """As the pattern digits.digits.digits.digits finds them from left to right, parts at most 255, in time linear in the text."""
+    for m in DOTTED.finditer(text):
+        if m[0].count(".") < 3:
+            continue
+        parts, at = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p) < 4 and int(p) <= 255 or len(q := p.lstrip("0")) < 4 and int(q or 0) <= 255 for p in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str, check_digit: bool = True) -> list[tuple[str, int, int]]:
     if not MAY_HOLD.search(text):
         return []
     out = [("email", a, b) for a, b in emails(text)]
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split("."))]
+    out += [("ip", a, b) for a, b in addresses(text)]
     out += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(d := digits_of(m[0])) <= 19 and (not check_digit or luhn(d))]
     return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
 
@@ -255,21 +273,38 @@ def made_up(n: int = 500, seed: int = 11) -> list[tuple[str, list[tuple[str, int
     return out
 
 
-def training_set(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    xs, ys = [], []
-    for text, spans in [*((t, base_spans(t, check_digit=False)) for t in texts), *made_up()]:
-        starts = window_starts(text)[:40]  # of one text; the rest of the sample counts as well
-        xs.append(cut(classes(text), starts, PAD))
-        ys.append(cut(tags_of(len(text), spans), starts, 0))
-    return np.concatenate(xs), np.concatenate(ys)
+def mixed(places: np.ndarray) -> np.ndarray:
+    x = (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
 
+def training_windows(text: str, spans: list[tuple[str, int, int]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and tags of windows of a text that hold a digit or an @: all, or of more than `most` those whose places
+    come first by hash, from anywhere in the text."""
+    starts = window_starts(text)
+    if len(starts) > most:
+        starts = np.sort(starts[np.argsort(mixed(starts), kind="stable")[:most]])
+    return cut(classes(text), starts, PAD), cut(tags_of(len(text), spans), starts, 0)
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Tagger:
-    """The network, from about `sample` texts of the table."""
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, windows: int = WINDOWS_PER_TEXT) -> Tagger:
+    """The network, from about `sample` texts of the table (at most twice as many) and at most `windows` windows of each,
+    which bounds what reaches the driver."""
     rows = sampled(pick(docs, doc_id=doc_id, text=text).filter(F.col("text").rlike("[0-9@]")), sample, "doc_id", "text")
+
+    @F.pandas_udf("binary")
+    def windows_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.hstack(training_windows(t, base_spans(t, check_digit=False), windows)).astype(np.uint8).tobytes() for t in texts])
+
+    own = [np.frombuffer(x, np.uint8).reshape(-1, 2 * WINDOW).astype(np.int64) for x in sorted(r["w"] for r in rows.select(windows_of("text").alias("w")).collect())]
+    xs, ys = [x[:, :WINDOW] for x in own], [x[:, WINDOW:] for x in own]
+    for made, spans in made_up():
+        x, y = training_windows(made, spans, windows)
+        xs.append(x)
+        ys.append(y)
     tagger = Tagger()
-    # A long text teaches through its first windows only where spans may be; scoring reads all of it.
-    tagger.train(*training_set(sorted(r["text"] for r in rows.collect())))
+    tagger.train(np.concatenate(xs), np.concatenate(ys))
     return tagger
 
 
@@ -283,6 +318,8 @@ def plausible(kind: str, s: str) -> bool:
 def added_spans(text: str, tags: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of a whole text's tags that are plausible and touch no base span."""
     kind = np.where(tags > 0, (tags + 1) // 2, 0)
+    places = sorted((x, y) for _, x, y in base)
+    starts, ends = [x for x, _ in places], list(accumulate((y for _, y in places), max))
     begin = np.flatnonzero((kind > 0) & ((np.concatenate([[0], kind[:-1]]) != kind) | (tags % 2 == 1)))
     out = []
     for a in begin.tolist():
@@ -292,7 +329,8 @@ def added_spans(text: str, tags: np.ndarray, base: list[tuple[str, int, int]]) -
         while b > a and text[b - 1].isspace():
             b -= 1
         name = KINDS[kind[a] - 1]
-        if plausible(name, text[a:b]) and not any(x < b and a < y for _, x, y in base):
+        i = bisect_left(starts, b)  # base spans before i start before b; `ends` holds the furthest end so far
+        if plausible(name, text[a:b]) and not (i and ends[i - 1] > a):
             out.append((name, a, b))
     return out
 
@@ -332,13 +370,12 @@ def spans_of(texts: list, tagger: Tagger) -> list[list[dict]]:
 def find(docs: DataFrame, tagger: Tagger, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans): all spans of each text, by kind and start; `base` marks those of the patterns."""
     held = docs.sparkSession.sparkContext.broadcast(tagger)
-    picked = pick(docs, doc_id=doc_id, text=text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": spans_of(list(pdf["text"]), held.value)})
+    @F.pandas_udf(SPANS)
+    def scan(texts: pd.Series) -> pd.Series:
+        return pd.Series(spans_of(list(texts), held.value), dtype=object)
 
-    return picked.mapInPandas(run, T.StructType([picked.schema["doc_id"], T.StructField("spans", SPANS)]))
+    return pick(docs, doc_id=doc_id, text=text).select("doc_id", scan("text").alias("spans"))
 
 
 def redacted(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:

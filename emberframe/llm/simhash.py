@@ -47,13 +47,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.array([fingerprint(t, width) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
+    @F.pandas_udf("long")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))
 
-    picked = pick(docs, doc_id=doc_id, text=text)
-    return picked.mapInPandas(run, T.StructType([T.StructField("doc_id", picked.schema["doc_id"].dataType), T.StructField("fp", T.LongType())]))
+    return pick(docs, doc_id=doc_id, text=text).select("doc_id", hashed(F.col("text").cast("string")).alias("fp"))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

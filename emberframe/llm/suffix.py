@@ -28,14 +28,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import block_number, blocks, even_keys, pack, pack_lists, partitions, pick, ragged, sampled, stored, unpack, unpack_lists
+from emberframe.llm.common import block_number, blocks, even_keys, id_and_text, id_list, pack, pack_lists, partitions, ragged, sampled, stored, unpack, unpack_lists
 
 LENGTH, WINDOW, GRAM, BLOCK = 400, 200, 16, 4 << 20
 GROUP, SPLIT_BLOCKS, SPLIT_KEYS = 1500, 2048, 32
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 P1, P2, B1, B2 = (1 << 31) - 1, (1 << 31) - 19, 911382323, 972663749
 
-BLOCKS = "block long, ids array<long>, lengths array<int>, data binary"
+BLOCKS = "block long, ids array<string>, lengths array<int>, data binary"
 HASHES = "block long, bucket int, hashes binary"
 RUN = "block long, run binary, sample array<binary>, whole binary"
 PIECE = "part int, key int, block long, run binary"
@@ -46,7 +46,7 @@ def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for n, pdf in enumerate(blocks(batches, limit=BLOCK)):
         texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
         data = zstandard.ZstdCompressor(level=6).compress(b"".join(texts))
-        yield pd.DataFrame({"block": [block_number(n)], "ids": [[None if pd.isna(x) else int(x) for x in pdf["doc_id"]]], "lengths": [[len(t) for t in texts]], "data": [data]})
+        yield pd.DataFrame({"block": [block_number(n)], "ids": [id_list(pdf["doc_id"])], "lengths": [[len(t) for t in texts]], "data": [data]})
 
 
 def unzip(data: bytes) -> bytes:
@@ -413,7 +413,7 @@ def removed(length: int):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]]))) if n_removed else np.zeros(0, np.int64)
                 out.append((i, n, n_removed, edge.tolist(), raw[at : at + n][~cut].tobytes() if n_removed else data[at : at + n]))
                 at += n
-        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(r[0]) else int(r[0]) for r in out], dtype="Int64"), "n_bytes": [r[1] for r in out], "n_removed": [r[2] for r in out], "edges": [r[3] for r in out], "kept": [r[4] for r in out]})
+        return pd.DataFrame({"doc_id": id_list(r[0] for r in out), "n_bytes": [r[1] for r in out], "n_removed": [r[2] for r in out], "edges": [r[3] for r in out], "kept": [r[4] for r in out]})
 
     return run
 
@@ -426,7 +426,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         raise ValueError("length must leave room for the anchor window and the core")
     n = partitions(spark)
     keys = even_keys(spark, n)
-    table = stored(pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(to_blocks, BLOCKS), "suffix-blocks")
+    table = stored(id_and_text(docs, doc_id, text).mapInPandas(to_blocks, BLOCKS), "suffix-blocks")
     known = table.mapInPandas(hash_rows(length, window, keys), HASHES).repartition(n, "bucket").mapInPandas(met_elsewhere, HASHES)
     runs = stored(table.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(sorted_run(length, window), RUN), "suffix-runs")
     sample = sampled(runs.select("block", "sample"), SPLIT_BLOCKS, "block")
@@ -438,7 +438,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     twice = open_.groupBy("key1", "key2").agg(F.sum("weight").alias("n")).filter("n > 1").select("key1", "key2")
     spans = found.filter("weight = 0").select("block", "start", "stop").unionByName(open_.filter("block >= 0").join(twice, ["key1", "key2"]).select("block", "start", "stop"))
     marked = table.join(runs.select("block", "whole"), "block", "left")
-    return marked.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(removed(length), "doc_id long, n_bytes long, n_removed long, edges array<int>, kept binary")
+    out = marked.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(removed(length), "doc_id string, n_bytes long, n_removed long, edges array<int>, kept binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def digest(found: DataFrame) -> DataFrame:

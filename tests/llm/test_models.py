@@ -12,7 +12,7 @@ import pytest
 
 from emberframe.llm import hmm, pii, queries, toxicity
 
-ODD = [(7, None, 1), (None, "", 1), (8, "A b\x0bc É a", None), (8, "A b\x0bc É a", 2), (9, "word " * 3000, 2)]
+ODD = [(7, None, 1), (None, "", 1), (8, "A b\x0bc É a", None), (8, "A b\x0bc É a", 2), (9, "word " * 3000, 2), (2**53 + 1, "b", 2), (2**53 + 3, "b", 2)]
 
 
 def base_scores(docs):
@@ -47,33 +47,61 @@ def test_hmm_odd_rows(spark):
 
 def random_model(rng, states=3, classes=5):
     norm = lambda x, a: x / x.sum(a, keepdims=True)
-    return hmm.Model(norm(rng.random(states), 0), norm(rng.random(states), 0), norm(rng.random((states, states)), 1), norm(rng.random((classes, states)), 0))
+    return hmm.Model(norm(rng.random(states), 0), norm(rng.random((states, states)), 1), norm(rng.random((classes, states)), 0))
 
 
-def test_forward_equals_sum_over_paths():
-    m = random_model(np.random.default_rng(1))
-    seqs = [[0, 3, 1, 4, 2], [2], [1, 1, 1]]
-    want = []
+def by_paths(seqs, m):
+    """Expected starts, moves, emissions and log-likelihood by enumeration of all state paths."""
+    k = len(m.start)
+    start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros(m.emit.shape), 0.0
     for s in seqs:
-        paths = itertools.product(range(3), repeat=len(s))
-        want.append(math.log10(sum(m.start[p[0]] * m.emit[s[0], p[0]] * math.prod(m.move[a, b] * m.emit[c, b] for a, b, c in zip(p, p[1:], s[1:])) for p in paths)))
-    got = hmm.log10_likelihoods(np.array([len(s) for s in seqs]), np.concatenate(seqs), m)
-    assert got == pytest.approx(want)
-
-
-def test_expected_counts_and_rising_likelihood(monkeypatch):
-    monkeypatch.setattr(hmm, "END", 4)
+        paths = [(p, m.start[p[0]] * m.emit[s[0], p[0]] * math.prod(m.move[a, b] * m.emit[c, b] for a, b, c in zip(p, p[1:], s[1:]))) for p in itertools.product(range(k), repeat=len(s))]
+        z = sum(w for _, w in paths)
+        total += math.log(z)
+        for p, w in paths:
+            start[p[0]] += w / z
+            for a, b in zip(p, p[1:]):
+                move[a, b] += w / z
+            for a, c in zip(p, s):
+                emit[c, a] += w / z
+    return np.concatenate([start, move.ravel(), emit.ravel(), [total]])
+
+
+@pytest.mark.parametrize(("walk", "stretch", "portion"), [(2048, 128, 400_000), (4, 2, 400_000), (3, 3, 5), (1, 2, 1)])
+def test_expected_counts_equal_enumerated_paths(monkeypatch, walk, stretch, portion):
+    for name, value in (("WALK", walk), ("STRETCH", stretch), ("PORTION", portion)):
+        monkeypatch.setattr(hmm, name, value)
+    rng = np.random.default_rng(1)
+    m, seqs = random_model(rng), [rng.integers(0, 5, n) for n in (1, 2, 7, 3, 8, 5, 6)]
+    counts, flat = np.array([len(s) for s in seqs]), np.concatenate(seqs)
+    assert hmm.expected_counts(counts, flat, m) == pytest.approx(by_paths(seqs, m), rel=1e-5, abs=1e-5)
+    assert hmm.log10_likelihoods(counts, flat, m) == pytest.approx([by_paths([s], m)[-1] / math.log(10) for s in seqs], rel=1e-9)
+
+
+def test_likelihood_never_falls(monkeypatch):
+    for name, value in (("WALK", 40), ("STRETCH", 16), ("SMOOTH", 0)):
+        monkeypatch.setattr(hmm, name, value)
     rng = np.random.default_rng(2)
-    stream, m = rng.integers(0, 5, 333), random_model(rng)
-    overall, last = np.bincount(stream, minlength=5) / 333, -np.inf
-    for _ in range(6):
-        sums = hmm.expected_counts(stream, m)
-        assert sums[12:27].sum() == pytest.approx(333, rel=1e-4)  # each token is in one state
-        assert sums[-1] > last - 2
-        last, m = sums[-1], hmm.improved(m, sums, overall)
+    counts, m, last = np.array([1, 33, 200, 99, 40, 41]), random_model(rng), -np.inf
+    flat = rng.integers(0, 5, counts.sum())
+    for _ in range(12):
+        sums = hmm.expected_counts(counts, flat, m)
+        assert sums[12:27].sum() == pytest.approx(len(flat), rel=1e-5)  # each token is in one state
+        assert sums[-1] > last - 1e-3
+        last, m = sums[-1], hmm.improved(m, sums, np.full(5, 0.2))
     assert m.emit.sum(0) == pytest.approx(np.ones(3)) and m.move.sum(1) == pytest.approx(np.ones(3))
 
 
+def test_hmm_does_not_depend_on_the_files(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = []
+    for n in (1, 6, 40):
+        docs.repartition(n).write.parquet(str(tmp_path / str(n)))
+        rows = hmm.score(spark.read.parquet(str(tmp_path / str(n))), hmm.held_out()).collect()
+        got.append(np.array([(r["base_score"], r["score"]) for r in sorted(rows, key=lambda r: r["doc_id"])]))
+    assert np.abs(got[0] - got[1]).max() < 1e-6 * np.abs(got[0]).max() and np.abs(got[0] / got[2] - 1).max() < 1e-6
+
+
 def slow_spans(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -99,10 +127,60 @@ def test_base_spans_equal_plain_patterns(spark, small):
         assert sorted(pii.base_spans(t), key=lambda s: (pii.KINDS.index(s[0]), s[1])) == slow_spans(t)
 
 
+def test_base_spans_take_linear_time():
+    import time
+
+    for t in ("7" * 1_000_000, "7." * 500_000, "+7(" * 300_000, "a@" * 500_000, "a." * 500_000 + "@", "1 " * 500_000, "@a" * 500_000):
+        began = time.time()
+        pii.base_spans(t)
+        assert time.time() - began < 3, t[:9]
+
+
+def test_addresses_equal_the_pattern():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        t = "".join(rng.choice(list("0129....  x"), 60)).replace("9", str(rng.integers(0, 300)))
+        assert [s for s in slow_spans(t) if s[0] == "ip"] == [("ip", a, b) for a, b in pii.addresses(t)]
+
+
+def test_tags_equal_the_best_path_by_enumeration():
+    t, rng = pii.Tagger(3), np.random.default_rng(1)
+    x = rng.integers(0, 9, (5, 4))
+    em, p = t.emissions(x.T), t.p
+    for i, got in enumerate(t.tag(x)):
+        value = lambda y: p["start"][y[0]] + em[0, i, y[0]] + sum(p["trans"][a, b] + em[k + 1, i, b] for k, (a, b) in enumerate(zip(y, y[1:])))  # noqa: E731, B023
+        assert tuple(got) == max(itertools.product(range(pii.TAGS), repeat=4), key=value)
+
+
+def test_windows_are_reconciled_by_the_nearest_middle(tagger):
+    """A whole text's tags equal those of every window, skipped ones included, each taken around its own middle."""
+    texts = [t for t, _ in pii.made_up(30, seed=5)] + ["é" * 90 + "4111111111111112" + "x" * 200 + " +1 (017) 555-7713", "1" * 300]
+    for text in texts:
+        starts = np.arange(0, len(text), pii.STRIDE)
+        tags = tagger.tag(pii.cut(pii.classes(text), starts, pii.PAD))
+        whole = np.zeros(len(text), np.int64)
+        for c in range(len(text)):
+            k = min(range(len(starts)), key=lambda k: abs(2 * (c - starts[k]) - pii.WINDOW + 1) if 0 <= c - starts[k] < pii.WINDOW else 10**6)
+            whole[c] = tags[k][c - starts[k]]
+        base = pii.base_spans(text)
+        got = [(d["kind"], d["start"], d["end"]) for d in pii.spans_of([text], tagger)[0] if not d["base"]]
+        assert got == sorted(pii.added_spans(text, whole, base), key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+
+
+def test_training_windows_come_from_the_whole_text():
+    text = "x 1 " * 5000
+    x, y = pii.training_windows(text, [], 40)
+    assert x.shape == y.shape == (40, pii.WINDOW)
+    places = pii.window_starts(text)
+    kept = places[np.argsort(pii.mixed(places))[:40]]
+    assert kept.max() > 0.8 * len(text) and kept.min() < 0.2 * len(text)
+
+
 @pytest.fixture(scope="module")
 def tagger():
     t = pii.Tagger()
-    t.train(*pii.training_set([]))
+    pairs = [pii.training_windows(text, spans, pii.WINDOWS_PER_TEXT) for text, spans in pii.made_up()]
+    t.train(*(np.concatenate(x) for x in zip(*pairs)))
     return t
 
 
@@ -131,8 +209,9 @@ def test_tagger_finds_what_patterns_turn_down(tagger):
 
 def test_pii_rows(spark, tagger):
     texts = [*TRICKY, None]
-    df = spark.createDataFrame([(i % 3 or None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    df = spark.createDataFrame([(i % 3 and 2**53 + i or None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
     rows = pii.digest(pii.find(df, tagger)).collect()
+    assert sorted((r["doc_id"] or 0 for r in rows)) == sorted(i % 3 and 2**53 + i for i in range(len(texts)))
     base = {t: ",".join(f"{k}:{a}:{b}" for k, a, b in slow_spans(t or "")) for t in texts}
     assert sorted(r["base_sha256"] for r in rows) == sorted(hashlib.sha256(b.encode()).hexdigest() for b in base.values())
     for t in texts:

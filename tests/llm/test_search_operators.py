@@ -58,7 +58,7 @@ def test_simhash_equals_brute_force(spark, small):
 
 
 def test_simhash_odd_rows(spark):
-    pairs = [(5, None), (3, ""), (3, " \n"), (None, "A b"), (9, "a  B"), (1, "word " * 4000), (7, "a b c É"), (7, "a b c É")]
+    pairs = [(5, None), (3, ""), (3, " \n"), (None, "A b"), (9, "a  B"), (1, "word " * 4000), (7, "a b c É"), (7, "a b c É"), (2**53 + 1, "own text of one"), (2**53 + 3, "other words here")]
     df = spark.createDataFrame([(*p, 1) for p in pairs], "doc_id long, text string, fp int")
     check_classes(simhash.digest(simhash.near_duplicates(df)).collect(), pairs)
     assert simhash.near_duplicates(df.limit(0)).count() == 0

@@ -40,7 +40,7 @@ def corpus(seed, n=70, size=400):
             p = rng.choice(passages)
             parts.append(p[rng.randint(0, 30) :])
         docs.append((i, "".join(parts)))
-    docs += docs[:5] + [(None, None), (3, ""), (99, "ab" * 400), (98, "x" * 39)]
+    docs += docs[:5] + [(None, None), (3, ""), (99, "ab" * 400), (98, "x" * 39), (2**53 + 1, "b"), (2**53 + 3, "b")]
     copy = docs[7][1]
     return docs + [(200 + i, copy[: (k := rng.randrange(len(copy)))] + "#" + copy[k + 1 :]) for i in range(25)]
 

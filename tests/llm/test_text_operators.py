@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from emberframe.llm import bpe, decontaminate, license, queries, tokens
 
-ODD = [(1, None, 7), (None, "", 7), (2, "The the\n\n  THE É 12'll " * 3, None), (2, "The the\n\n  THE É 12'll " * 3, 1), (3, "x" * 5000, 1), (4, "été 日本   end \t\n", 1)]
+ODD = [(1, None, 7), (None, "", 7), (2, "The the\n\n  THE É 12'll " * 3, None), (2, "The the\n\n  THE É 12'll " * 3, 1), (3, "x" * 5000, 1), (4, "été 日本   end \t\n", 1), (2**53 + 1, "b", 1), (2**53 + 3, "b", 1)]
 SCHEMA = "doc_id long, text string, block int"
 
 
@@ -82,16 +82,21 @@ def test_decontaminate_equals_brute_force(spark, small):
 
 
 def test_decontaminate_odd(spark):
-    docs = [(1, "a b c d a b c d a b", None), (2, None, 1), (2, "", 1), (3, "zz a-B_c, q " * 40, 1), (3, "one two three four five six seven eight nine ten eleven", 1)]
+    docs = [(1, "a b c d a b c d a b", None), (2, None, 1), (2, "", 1), (None, "b", 1), (2**53 + 1, "b", 2**53 + 3), (3, "zz a-B_c, q " * 40, 1), (3, "one two three four five six seven eight nine ten eleven", 1)]
     items = [(10, "A b C"), (11, None), (12, "  "), (13, "one two three four five six seven eight nine ten x"), (14, "a b c"), (15, "d a")]
-    df, bench = spark.createDataFrame(docs, "doc_id long, text string, n_words int"), spark.createDataFrame(items, "item_id long, text string")
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string, n_words long"), spark.createDataFrame(items, "item_id long, text string")
     ask = lambda d, b, **k: sorted((tuple(r) for r in decontaminate.digest(decontaminate.contamination(d.select("doc_id", "text"), b, **k)).collect()), key=str)
     want = expected_hits([r[:2] for r in docs], items)
     assert ask(df, bench) == want
     assert ask(df, bench, phrase_block=2) == want  # several passes
     assert all(r[2] == 0 for r in ask(df, bench.limit(0))) and ask(df.limit(0), bench) == []
     cut = {tuple(r) for r in decontaminate.decontaminated(df, bench).collect()}
-    assert len(cut) == 5 and {(3, " eleven", 1), (1, " b", None), (2, None, 1)} <= cut
+    assert len(cut) == 7 and {(3, " eleven", 1), (1, " b", None), (2, None, 1), (2**53 + 1, "b", 2**53 + 3)} <= cut
+    clash = df.withColumns({"text_": F.lit("x"), "word_spans": F.lit(1), "c0": F.lit(5)})
+    got = decontaminate.contamination(clash, bench)
+    assert got.columns == ["doc_id", "text", "text_", "c0", "n_words", "word_spans", "item_ids"]
+    assert {(r["doc_id"], r["text_"], r["c0"]) for r in got.collect()} == {(d[0], "x", 5) for d in docs}
+    assert sorted(map(tuple, decontaminate.digest(got).collect()), key=str) == want
 
 
 def test_license_base_against_brute_force(spark, small):
@@ -145,7 +150,7 @@ def test_token_counts(spark, odd, encoder):
         assert r["quantile"] == sum(x <= limit for x in n) / len(n)
     for limit in (0, 3, 17, 10_000):
         assert tokens.truncated_total(sums, limit).collect()[0][0] == sum(min(x, limit) for x in n)
-    assert tokens.quantile(sums, 0.5).collect()[0][0] == n[len(n) // 2 - 1]
+    assert tokens.quantile(sums, 0.5).collect()[0][0] == n[-(-len(n) // 2) - 1]
     assert tokens.suffix_sums(tokens.histogram(odd.limit(0).select(F.lit(1).alias("length")))).count() == 0
 
 
