@@ -5,36 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.sources.shared import stored
+from emberframe.sources.shared import looked_up, stored
 
 
-def _star(neighbours: DataFrame, both: bool) -> DataFrame:
-    """Links (u, v) to links of v with the smallest of u's neighbourhood. The minimum is aggregated before it is joined
-    back, so a hub's links are never gathered in one task."""
-    least = neighbours.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = neighbours.join(least, "u")
+def _star(neighbours: DataFrame, total: int, both: bool) -> DataFrame:
+    """Links (u, v) to links of v with the smallest of u's neighbourhood. The minimum is aggregated and then looked up, for
+    a hub in a broadcast table, so a hub's links never meet in one task."""
+    least = stored(neighbours.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "components-least")
+    linked = looked_up(neighbours, least, "u", "n", total)
     if both:  # small star: v <= u; u itself is linked as well
         own = least.filter("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b"))
         return linked.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(own)
     return linked.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): for each node of an edge, the smallest node that it reaches. Loops and repeated edges do no harm;
-    edges with a null end are left out. Every round is written to the shared folder, which cuts the lineage."""
+    edges with a null end are left out. Rounds go on until nothing changes. Every round is written to the shared folder,
+    which cuts the lineage."""
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
-    state = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    mark = None
-    for _ in range(rounds):
+    state = stored(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "components")
+    mark = _mark(state)
+    while True:
         sym = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(state.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(sym, both=False).filter("a <> b").distinct()
-        small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), both=True).filter("a <> b").distinct()
+        large = stored(_star(sym, 2 * mark[0], both=False).filter("a <> b").distinct(), "components")
+        small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), mark[0], both=True).filter("a <> b").distinct()
         state = stored(small, "components")
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == tuple(now):
+        before, mark = mark, _mark(state)
+        if mark == before:
             break
-        mark = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def _mark(state: DataFrame) -> tuple:
+    return tuple(state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

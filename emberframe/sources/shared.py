@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; only where none is configured, a local one."""
+    """A new path in the shared folder. Where none is configured, a local one in local mode, and an error on a cluster,
+    whose machines could not read each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         base = tempfile.mkdtemp(prefix="emberframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -22,3 +28,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key that more than one row in MANY has counts as frequent, so there are fewer than MANY of them.
+MANY = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of rows with a stored table of one row a key, `n` of the `total` rows having it. Frequent keys are looked
+    up in a broadcast table of fewer than MANY rows, so that no task has to take all rows of one; the others are joined."""
+    often = F.col(n) * MANY > total
+    few = F.broadcast(table.filter(often).drop(n))
+    rest = rows.join(few.select(key), key, "left_anti").join(table.filter(~often).drop(n), key)
+    return rows.join(few, key).unionByName(rest)
