@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.sources.shared import stored  # noqa: F401  used by the operators through this module
+from emberframe.sources.shared import looked_up, stored  # noqa: F401  used by the operators through this module
 
 #: Text bytes that one block of documents holds, but for a single longer document.
 BLOCK_BYTES = 8 << 20

@@ -5,7 +5,7 @@ one. Within a key they are sorted by Gray rank, so that neighbours differ in few
 node that holds the bits all of them share (a mask and a pattern); nodes form upper nodes likewise. A search adds up a
 fingerprint's differences to the bits that each level newly fixes, drops a whole group once they exceed the limit, and
 accepts a whole group when even its unshared bits can't exceed it. Keys with more than HOT_KEY fingerprints are dealt
-as pairs of hashed parts, so no task holds a large one. Links become components by star contraction.
+again by four other divisions of the bits, so no task holds a large one. Links become components by star contraction.
 
 Nulls count as empty texts; texts without words have fingerprint zero and are linked like any other. Repeated rows and
 ids each keep their row; component_id is the smallest non-null doc_id of the component (null if it has none). An empty
@@ -15,18 +15,22 @@ table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from emberframe.llm.common import partitions, pick, ragged, stored
+from emberframe.llm.common import looked_up, partitions, pick, ragged, stored
 from emberframe.operators.graph import components
 
 LIMIT, TABLES, FANOUT, HOT_KEY, SEED = 3, 4, 16, 2048, 42
+#: How often a hot group is dealt at most: after ten divisions a key fixes so many bits that few fingerprints share it.
+LEVELS = 10
+#: Fingerprints that one index holds, but for a larger group.
+CHUNK = 200_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -130,53 +134,97 @@ class GrayIndex:
                 q, diff, node = np.repeat(q, count[node]), np.repeat(diff, count[node]), ragged(start[node], count[node])
 
 
+def bit_classes(level: int, tables: int = TABLES) -> list[int]:
+    """64 bits in `tables` classes: quarters at level 0, and at each further level a different division, so that keys over
+    classes of several levels fix ever more bits."""
+    if not level:
+        edges = [64 * i // tables for i in range(tables + 1)]
+        owner = [next(t for t in range(tables) if bit < edges[t + 1]) for bit in range(64)]
+    else:
+        owner = (np.argsort(np.random.default_rng(level).random(64)) % tables).tolist()
+    masks = [0] * tables
+    for bit, t in enumerate(owner):
+        masks[t] |= 1 << bit
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def dealt(rows: DataFrame, level: int, tables: int) -> DataFrame:
+    """(fp, mask, group): each row once for each class of bits, its group named by all bits fixed so far."""
+    masks = F.array(*(F.col("mask").bitwiseOR(F.lit(m)) for m in bit_classes(level, tables)))
+    each = rows.select("fp", F.explode(masks).alias("mask"))
+    return each.select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("group"))
+
+
 def near_links(distinct: DataFrame, limit: int = LIMIT, tables: int = TABLES) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` that connect whatever pairs within `limit` bits connect.
 
-    `tables` must exceed `limit`. A group whose members all lie within the limit is linked through one member.
+    `tables` must exceed `limit`. A group whose members all lie within the limit is linked through one member. A group of
+    over HOT_KEY fingerprints is dealt again, by keys that fix bits of a second division as well, and so on: each
+    fingerprint of it goes to `tables` smaller groups, so the work grows with the group, not with its square.
     """
     if tables <= limit:
         raise ValueError("tables must exceed limit")
     spark = distinct.sparkSession
-    edges = [64 * i // tables for i in range(tables + 1)]
-    keys = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
-    keyed = distinct.select("fp", F.posexplode(F.array(*keys)).alias("t", "key"))
-    hot = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_KEY)
-    parts = F.ceil(F.coalesce("n", F.lit(0)) / HOT_KEY)
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.greatest(parts, F.lit(1)))
-    paired = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = keyed.join(hot, ["t", "key"], "left").select("fp", "t", "key", F.explode(paired).alias("p")).select("fp", F.xxhash64("t", "key", "p.i", "p.j").alias("group"))
+    rows, level, ready = distinct.select("fp", F.lit(0).cast("long").alias("mask")), 0, []
+    while True:
+        rows = stored(dealt(rows, level, tables), f"simhash-keys-{level}")
+        level += 1
+        if level == LEVELS:
+            ready.append(rows)
+            break
+        hot = stored(rows.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_KEY), "simhash-hot")
+        if hot.isEmpty():
+            ready.append(rows)
+            break
+        total = rows.count()
+        # Copies of a fingerprint in one group (by other masks, as hashes meet) do no harm.
+        ready.append(rows.join(hot.select("group"), "group", "left_anti"))
+        rows = looked_up(rows, hot, "group", "n", total)
+    every = reduce(DataFrame.unionByName, (r.select("fp", "group") for r in ready))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
-        if not held:
-            return
-        pdf = pd.concat(held)
-        fps, group = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["group"].to_numpy(np.int64)
-        order = np.lexsort((gray_rank(fps), group))
-        fps, group = fps[order], group[order]
-        a = b = np.zeros(0, np.int64)
-        for x, y in GrayIndex(fps, group).links(fps, group, limit):
-            a, b = np.concatenate([a, x]), np.concatenate([b, y])
-            if len(a) > 1_000_000:  # contract what has been found
-                root = roots_of(len(fps), a, b)
-                a = np.flatnonzero(root != np.arange(len(fps)))
-                b = root[a]
-        root = roots_of(len(fps), a, b)
-        at = np.flatnonzero(fps[root] != fps)
-        yield pd.DataFrame({"a": fps[at].view(np.int64), "b": fps[root[at]].view(np.int64)}).drop_duplicates()
-
-    return dealt.repartition(partitions(spark), "group").mapInPandas(run, "a long, b long")
+        """Whole groups, about CHUNK fingerprints at once."""
+        held, size = [], 0
+        for pdf in batches:
+            held.append((pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["group"].to_numpy(np.int64)))
+            size += len(pdf)
+            if size >= CHUNK:
+                fps, group = (np.concatenate(x) for x in zip(*held))
+                end = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                if end:
+                    yield links_within(fps[:end], group[:end], limit)
+                held, size = [(fps[end:], group[end:])], len(fps) - end
+        if size:
+            yield links_within(*(np.concatenate(x) for x in zip(*held)), limit)
+
+    return every.repartition(partitions(spark), "group").sortWithinPartitions("group").mapInPandas(run, "a long, b long")
+
+
+def links_within(fps: np.ndarray, group: np.ndarray, limit: int) -> pd.DataFrame:
+    """Links (a, b) that connect the members of each group that pairs within the limit connect."""
+    order = np.lexsort((gray_rank(fps), group))
+    fps, group = fps[order], group[order]
+    a = b = np.zeros(0, np.int64)
+    for x, y in GrayIndex(fps, group).links(fps, group, limit):
+        a, b = np.concatenate([a, x]), np.concatenate([b, y])
+        if len(a) > 1_000_000:  # contract what has been found
+            root = roots_of(len(fps), a, b)
+            a = np.flatnonzero(root != np.arange(len(fps)))
+            b = root[a]
+    root = roots_of(len(fps), a, b)
+    at = np.flatnonzero(fps[root] != fps)
+    return pd.DataFrame({"a": fps[at].view(np.int64), "b": fps[root[at]].view(np.int64)}).drop_duplicates()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs."""
     each = stored(fingerprints(docs, doc_id, text), "simhash")
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     rooted = components(stored(near_links(distinct.select("fp"), limit), "simhash-links"))
-    classes = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return each.join(ids, "fp").select("doc_id", "fp", "component_id")
+    classes = stored(distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "simhash-classes")
+    tops = stored(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "simhash-tops")
+    ids = stored(looked_up(classes, tops, "root", "size", classes.count()).select("fp", "n", "component_id"), "simhash-ids")
+    return looked_up(each, ids, "fp", "n", each.count()).select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -114,3 +114,44 @@ def test_topk_equals_brute_force(spark):
     assert got == sorted(want)
     assert topk.search(df.limit(0), F.col("id") % 50 == 0).collect() == []
     assert len(topk.search(df.filter("vec_id < 3"), F.col("id") % 50 == 0).collect()) == 2
+
+
+def test_a_hot_key_costs_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_KEY", 32)
+    made, plain = [], simhash.dealt
+    monkeypatch.setattr(simhash, "dealt", lambda *a: made.append(x := plain(*a)) or x)
+    rows = []
+    for n in (1500, 3000):
+        rng = random.Random(n)  # one 16-bit key holds all; the other bits are free
+        df = spark.createDataFrame([(rng.getrandbits(47) << 16 | 7,) for _ in range(n)], "fp long")
+        made.clear()
+        assert simhash.near_links(df).count() == 0
+        rows.append(sum(x.count() for x in made))
+    assert rows[1] < 2.5 * rows[0]
+
+
+def test_whole_groups_in_chunks(spark, monkeypatch):
+    rng = random.Random(4)
+    values = sorted({c ^ 1 << b for c in (rng.getrandbits(62) for _ in range(40)) for b in range(12)})
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    want = None
+    for chunk in (200_000, 7):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        got = {r["node"]: r["root"] for r in graph.components(simhash.near_links(df)).collect()}
+        assert len(set(got.values())) == 40 and want in (None, got)
+        want = got
+
+
+def test_frequent_keys_are_looked_up_apart(spark):
+    from emberframe.sources.shared import looked_up
+
+    rows = spark.createDataFrame([(1, i) for i in range(5000)] + [(2 + i % 40, i) for i in range(80)] + [(None, 1)], "k long, v long")
+    table = rows.filter("k is not null").groupBy("k").count().withColumnRenamed("count", "n").withColumn("x", F.col("k") * 2)
+    got = looked_up(rows, table, "k", "n", 5080).filter("k < 42")
+    assert sorted(map(tuple, got.collect())) == sorted((k, v, 2 * k) for k, v in map(tuple, rows.collect()) if k is not None and k < 42)
+
+
+def test_components_of_a_hub(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(60)] + [(5030, 17)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 3000 + 61
