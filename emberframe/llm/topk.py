@@ -3,10 +3,15 @@
 Vectors become integers. With one more component that gives all of them the length of the longest, the largest inner
 product is the smallest distance, and the triangle inequality holds: a vector at distance d from a pivot is at least
 |d(query, pivot) - d| from the query. All rows are keyed by nearest pivot and distance, sorted and packed into annuli
-of at most ANNULUS rows. Queries are held in blocks of QUERY_BLOCK; a task walks its annuli, computes products only for
-queries whose bound can still reach their k-th best score, and returns its own best k for each query.
+of at most ANNULUS rows; SHELLS ranges of distance a pivot name the annuli for the joins.
 
-Pivots, and each query's first bound, come from a sample of about SAMPLE rows, chosen by hash; the answer is exact.
+Queries are keyed and sorted likewise and packed by PACK, so the queries of a pack lie near each other. Each query visits
+shells by rising bound: first RINGS[0] of them, then more, in rounds. After each round its k-th best score is known, and
+it stops at the first shell whose bound can't reach that. A pack meets the annuli of a shell in a join on the shell; an
+annulus computes products only for the queries of the pack that it can still serve. Neither queries nor rows pass
+through the driver, only the sample, the pivots and the shells' radii (at most PIVOTS * SHELLS).
+
+Pivots, radii, and each query's first bound come from a sample of about SAMPLE rows, chosen by hash; the answer is exact.
 
 Rows with a null id, or a vector that is null or holds null or non-finite components, take no part. Shorter vectors
 count as padded with zeros. Ties go to the smaller id. Rows that repeat an id are candidates each, but never of a query
@@ -22,9 +27,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import partitions, pick, sampled, stored
+from emberframe.llm.common import block_number, partitions, pick, sampled, stored
 
-SAMPLE, PIVOTS, ANNULUS, QUERY_BLOCK = 2048, 32, 1024, 16_384
+SAMPLE, PIVOTS, SHELLS, ANNULUS, PACK = 2048, 32, 4, 1024, 1024
+#: Shells that a query has visited after each round; after the last one, all that its bound leaves.
+RINGS = (1, 4, 16)
+PACKED = "pack long, ids binary, rows binary, bounds binary"
+FOUND = "pack long, at int, query_id long, vec_id long, score long"
 
 
 def integers(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -54,12 +63,39 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+class Best:
+    """The k best rows of each query of some packs, as far as a task has seen them."""
+
+    def __init__(self, k: int):
+        self.k, self.packs = k, {}
+
+    def pack(self, pack: int, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict]:
+        bound, own = self.packs.setdefault(pack, (np.full(PACK, -np.inf), {}))
+        bound[at] = np.maximum(bound[at], bounds)
+        return bound, own
+
+    def add(self, bound: np.ndarray, own: dict, at: int, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if at in own:
+            ids, scores = np.concatenate([own[at][1], ids]), np.concatenate([own[at][2], scores])
+        keep = best(ids, scores, self.k)
+        own[at] = (query, ids[keep], scores[keep])
+        if len(keep) == self.k:
+            bound[at] = max(bound[at], scores[keep[-1]])
+
+    def rows(self) -> pd.DataFrame:
+        out = [(pack, at, *x) for pack, (_, own) in self.packs.items() for at, x in own.items()]
+        sizes = [len(x[3]) for x in out]
+        column = lambda i: np.repeat(np.array([x[i] for x in out], np.int64), sizes)
+        flat = lambda i: np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64)
+        self.packs = {}
+        return pd.DataFrame({"pack": column(0), "at": column(1), "query_id": column(2), "vec_id": flat(3), "score": flat(4)})
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row of `vectors` where `is_query` (over column id) holds."""
     spark = vectors.sparkSession
     ints = integers(vectors, vec_id, vector, scale)
     shape = ints.agg(F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).first()
-    out_schema = "query_no long, query_id long, vec_id long, score long"
     if shape["width"] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width, longest = int(shape["width"]), float(shape["norm"])
@@ -68,77 +104,112 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     def lifted(m: np.ndarray) -> np.ndarray:
         return np.hstack([m, np.sqrt(np.maximum(longest - (m * m).sum(1), 0))[:, None]])
 
+    cell = next(t for t in (np.int16, np.int32, np.int64) if longest < float(np.iinfo(t).max) ** 2 or t is np.int64)
     picked = sorted(sampled(ints, SAMPLE, "id").collect(), key=lambda r: r["id"])
     sample_ids, sample = np.array([r["id"] for r in picked], np.int64), matrix([r["v"] for r in picked], width)
     pivots = choose_pivots(lifted(sample), PIVOTS)
 
-    def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def distances(m: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((m * m).sum(1)[:, None] - 2 * m @ pivots.T + (pivots * pivots).sum(1), 0))
+
+    to_pivot = distances(lifted(sample))
+    near = to_pivot.argmin(1)
+    radii = [np.unique(np.quantile(to_pivot[near == p, p], np.linspace(0, 1, SHELLS + 1)[1:-1])) for p in range(len(pivots))]
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                m = lifted(matrix(pdf["v"], width))
-                d = np.sqrt(np.maximum((m * m).sum(1)[:, None] - 2 * m @ pivots.T + (pivots * pivots).sum(1), 0))
-                near = d.argmin(1)
-                yield pdf.assign(pivot=near.astype(np.int32), dist=d[np.arange(len(d)), near])
+                d = distances(lifted(matrix(pdf["v"], width)))
+                own = d.argmin(1)
+                d = d[np.arange(len(d)), own]
+                yield pdf.assign(shell=[int(p * SHELLS + np.searchsorted(radii[p], x, "right")) for p, x in zip(own.tolist(), d)], dist=d)
+
+    def ordered(df: DataFrame) -> DataFrame:
+        out = df.mapInPandas(keyed, "id long, v array<long>, shell int, dist double")
+        return out.repartitionByRange(partitions(spark), "shell", "dist", "id").sortWithinPartitions("shell", "dist", "id")
 
     def annuli(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for pivot, cell in pdf.groupby("pivot", sort=True):
-                for i in range(0, len(cell), ANNULUS):
-                    part = cell.iloc[i : i + ANNULUS]
-                    yield pd.DataFrame({"pivot": [pivot], "low": [part["dist"].min()], "high": [part["dist"].max()], "ids": [part["id"].to_numpy().tobytes()], "rows": [matrix(part["v"], width).astype(np.int64).tobytes()]})
-
-    keyed = ints.mapInPandas(key, "id long, v array<long>, pivot int, dist double")
-    sorted_ = keyed.repartitionByRange(partitions(spark), "pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id")
-    index = stored(sorted_.mapInPandas(annuli, "pivot int, low double, high double, ids binary, rows binary"), "pivot-index")
-
-    def answer(first_no: int, query_ids: np.ndarray, queries: np.ndarray) -> DataFrame:
-        lengths = (queries * queries).sum(1)
-        flat = np.hstack([queries, np.zeros((len(queries), 1))])
-        to_pivot = np.sqrt(np.maximum(lengths[:, None] - 2 * flat @ pivots.T + (pivots * pivots).sum(1), 0))
-        scores = queries @ sample.T
-        scores[query_ids[:, None] == sample_ids[None, :]] = -np.inf
-        first = np.sort(scores, 1)[:, -k] if scores.shape[1] >= k else np.full(len(queries), -np.inf)
-        held = spark.sparkContext.broadcast((query_ids, queries.astype(kind), lengths, to_pivot, first))
-
-        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            query_ids, queries, lengths, to_pivot, first = held.value
-            bound = first.copy()
-            own: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(query_ids)
+            for shell, own in pdf.groupby("shell", sort=True):
+                for i in range(0, len(own), ANNULUS):
+                    part = own.iloc[i : i + ANNULUS]
+                    yield pd.DataFrame({"shell": [shell], "low": [part["dist"].min()], "high": [part["dist"].max()], "ids": [part["id"].to_numpy().tobytes()], "rows": [matrix(part["v"], width).astype(cell).tobytes()]})
+
+    def packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        for pdf in batches:
+            for i in range(0, len(pdf), PACK):
+                part = pdf.iloc[i : i + PACK]
+                ids, rows = part["id"].to_numpy(np.int64), matrix(part["v"], width)
+                scores = rows @ sample.T
+                scores[ids[:, None] == sample_ids[None, :]] = -np.inf
+                bounds = np.sort(scores, 1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
+                yield pd.DataFrame({"pack": [block_number(n)], "ids": [ids.tobytes()], "rows": [rows.astype(cell).tobytes()], "bounds": [bounds.tobytes()]})
+                n += 1
+
+    index = stored(ordered(ints).mapInPandas(annuli, "shell int, low double, high double, ids binary, rows binary"), "pivot-index")
+    queries = stored(ordered(ints.filter(is_query)).mapInPandas(packs, PACKED), "pivot-queries")
+    shells = sorted((r["shell"], r["low"], r["high"]) for r in index.groupBy("shell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect())
+    names, low, high = (np.array(x) for x in zip(*shells)) if shells else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+
+    def reach(q: np.ndarray, pivot: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Of queries (rows) and ranges of distance from a pivot: no row in the range scores higher, rounding included."""
+        lengths = (q * q).sum(1)[:, None]
+        d = distances(np.hstack([q, np.zeros((len(q), 1))]))[:, pivot]
+        least = np.maximum(np.maximum(low - d, d - high), 0)
+        return (lengths + longest - least * least) / 2 * (1 + 1e-9) + 1e-3 + 1e-9 * (lengths + longest)
+
+    def ring(first: int, after: int):
+        """Each pack's queries by the shells that come `first` to before `after` for them and may hold better rows."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for pivot, low, high, ids, rows in pdf.itertuples(index=False):
-                    ids = np.frombuffer(ids, np.int64)
-                    rows = np.frombuffer(rows, np.int64).reshape(len(ids), width).astype(kind)
-                    d = to_pivot[:, pivot]
-                    least = np.maximum(np.maximum(low - d, d - high), 0)
-                    most = (lengths + longest - least * least) / 2  # no row of the annulus scores higher
-                    at = np.flatnonzero(most * (1 + 1e-9) + 1e-3 + 1e-9 * (lengths + longest) >= bound)
-                    for i in range(0, len(at), 512):
-                        q = at[i : i + 512]
-                        got = queries[q] @ rows.T
-                        for j, row in zip(q, got, strict=True):
-                            good = np.flatnonzero((row >= bound[j]) & (ids != query_ids[j]))
-                            if len(good):
-                                a, s = np.concatenate([own[j][0], ids[good]]), np.concatenate([own[j][1], row[good].astype(np.int64)])
-                                keep = best(a, s, k)
-                                own[j] = (a[keep], s[keep])
-                                if len(keep) == k:
-                                    bound[j] = max(bound[j], s[keep[-1]])
-            sizes = [len(a) for a, _ in own]
-            yield pd.DataFrame({"query_no": first_no + np.repeat(np.arange(len(query_ids)), sizes), "query_id": np.repeat(query_ids, sizes), "vec_id": np.concatenate([a for a, _ in own]), "score": np.concatenate([s for _, s in own])})
-
-        return index.mapInPandas(walk, out_schema)
-
-    answers, ids, rows = [], [], []
-    for r in ints.filter(is_query).toLocalIterator():
-        ids.append(r["id"])
-        rows.append(r["v"])
-        if len(ids) == QUERY_BLOCK:
-            answers.append(answer(len(answers) * QUERY_BLOCK, np.array(ids, np.int64), matrix(rows, width)))
-            ids, rows = [], []
-    if ids:
-        answers.append(answer(len(answers) * QUERY_BLOCK, np.array(ids, np.int64), matrix(rows, width)))
-    found = spark.createDataFrame([], out_schema)
-    for a in answers:
-        found = found.unionByName(a)
-    order = Window.partitionBy("query_no").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for pack, ids, rows, bounds in pdf[["pack", "ids", "rows", "bounds"]].itertuples(index=False):
+                    ids, bounds = np.frombuffer(ids, np.int64), np.frombuffer(bounds)
+                    rows = np.frombuffer(rows, cell).reshape(len(ids), width)
+                    most = reach(rows.astype(float), names // SHELLS, low, high)
+                    place = np.argsort(np.argsort(-most, 1, kind="stable"), 1)
+                    wanted = (place >= first) & (place < after) & (most >= bounds[:, None])
+                    for j in np.flatnonzero(wanted.any(0)).tolist():
+                        at = np.flatnonzero(wanted[:, j])
+                        yield pd.DataFrame({"shell": [names[j]], "pack": [pack], "at": [at.astype(np.int16).tobytes()], "query_ids": [ids[at].tobytes()], "queries": [rows[at].tobytes()], "bounds": [bounds[at].tobytes()]})
+
+        return run
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Best(k)
+        for pdf in batches:
+            for shell, pack, at, query_ids, q, bounds, a, z, ids, rows in pdf[["shell", "pack", "at", "query_ids", "queries", "bounds", "low", "high", "ids", "rows"]].itertuples(index=False):
+                at, query_ids, ids = np.frombuffer(at, np.int16), np.frombuffer(query_ids, np.int64), np.frombuffer(ids, np.int64)
+                q, rows = np.frombuffer(q, cell).reshape(len(at), width).astype(kind), np.frombuffer(rows, cell).reshape(len(ids), width).astype(kind)
+                bound, own = held.pack(pack, at, np.frombuffer(bounds))
+                use = np.flatnonzero(reach(q.astype(float), np.array([shell // SHELLS]), a, z)[:, 0] >= bound[at])
+                got = q[use] @ rows.T
+                for j, row in zip(use.tolist(), got):
+                    good = np.flatnonzero((row >= bound[at[j]]) & (ids != query_ids[j]))
+                    if len(good):
+                        held.add(bound, own, int(at[j]), int(query_ids[j]), ids[good], row[good].astype(np.int64))
+                if len(held.packs) > 16:
+                    yield held.rows()
+        yield held.rows()
+
+    def tightened(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """A pack with its queries' k-th best scores as bounds."""
+        kth = found[found["rank"] == k]
+        bounds = np.frombuffer(own["bounds"].iloc[0]).copy()
+        bounds[kth["at"]] = np.maximum(bounds[kth["at"]], kth["score"])
+        return own.assign(bounds=[bounds.tobytes()])
+
+    order = Window.partitionBy("pack", "at").orderBy(F.col("score").desc(), "vec_id")
+    top = None
+    for first, after in zip((0, *RINGS), (*RINGS, len(names))):
+        if first >= len(names):
+            break
+        met = queries.mapInPandas(ring(first, after), "shell int, pack long, at binary, query_ids binary, queries binary, bounds binary").join(index, "shell")
+        found = met.mapInPandas(walk, FOUND)
+        found = found if top is None else found.unionByName(top.drop("rank"))
+        top = stored(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "pivot-best")
+        queries = stored(queries.groupBy("pack").cogroup(top.groupBy("pack")).applyInPandas(tightened, PACKED), "pivot-queries")
+    if top is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return top.select("query_id", "rank", "vec_id", "score")

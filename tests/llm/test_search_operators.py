@@ -95,20 +95,24 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100, 200: 200, 201: 200, 250: 200}
 
 
-def test_topk_equals_brute_force(spark):
+@pytest.mark.parametrize(("annulus", "pack", "rings"), [(1024, 1024, (1, 4, 16)), (7, 3, (1, 2, 5))])
+def test_topk_equals_brute_force(spark, monkeypatch, annulus, pack, rings):
+    for name, value in (("ANNULUS", annulus), ("PACK", pack), ("RINGS", rings)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(3)
     rows = [(int(i), rng.normal(size=8).round(2).tolist(), "x") for i in range(300)]
-    rows += [(300 + i, rows[0][1], "x") for i in range(40)]  # ties
+    rows += [(300 + i, rows[0][1], "x") for i in range(60)]  # ties, some of them queries
+    rows += [(2**53 + 3, rows[1][1], "x"), (2**53 + 9, rows[1][1], "x"), (50, rows[2][1], "x")]  # ids beyond doubles; a query twice
     rows += [(None, [1.0] * 8, "x"), (900, None, "x"), (950, [None] * 8, "x"), (1000, [float("nan")] * 8, "x"), (1050, [1.0, float("inf")], "x"), (1100, [], "x"), (1150, [1.0], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    ints = {}
+    ints = []
     for i, v, _ in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            ints[i] = np.floor(256 * np.array([*map(np.float32, v)] + [0] * (8 - len(v)), float)).astype(int)
+            ints.append((i, np.floor(256 * np.array([*map(np.float32, v)] + [0] * (8 - len(v)), float)).astype(int)))
     want = []
-    for q in ints:
+    for q, x in ints:
         if q % 50 == 0:
-            order = sorted((-int(ints[q] @ ints[c]), c) for c in ints if c != q)[:5]
+            order = sorted((-int(x @ y), c) for c, y in ints if c != q)[:5]
             want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(order)]
     got = sorted(tuple(r) for r in topk.search(df, F.col("id") % 50 == 0).collect())
     assert got == sorted(want)
@@ -155,3 +159,18 @@ def test_components_of_a_hub(spark):
     edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(60)] + [(5030, 17)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(got.values()) == {0} and len(got) == 3000 + 61
+
+
+def test_topk_stops_early(spark):
+    """Clustered vectors: most shells are never visited, and the answer is still exact."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 4)) * 40
+    points = [(i, (centres[i % 12] + rng.normal(size=4) * 0.05).tolist()) for i in range(2400)]
+    df = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    x = np.floor(256 * np.array([v for _, v in points])).astype(np.int64)
+    want = []
+    for q in range(0, 2400, 50):
+        s = x @ x[q]
+        order = [c for c in np.lexsort((np.arange(2400), -s)) if c != q][:5]
+        want += [(q, n + 1, int(c), int(s[c])) for n, c in enumerate(order)]
+    assert sorted(map(tuple, topk.search(df, F.col("id") % 50 == 0).collect())) == want
