@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.llm.bpe import load_ranks
-from emberframe.llm.common import pick
+from emberframe.llm.common import pick, stored
 
 #: Lengths that one window of the suffix sums spans; the sums of whole spans are added in a second step.
 SPAN = 1024
@@ -34,8 +34,8 @@ def token_lengths(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
 
 
 def histogram(lengths: DataFrame, length: str = "length") -> DataFrame:
-    """(length, n_docs): documents of each exact length."""
-    return lengths.groupBy(F.col(length).alias("length")).agg(F.count("*").alias("n_docs"))
+    """(length, n_docs): documents of each exact length. It is stored, so that texts are encoded once however often it is read."""
+    return stored(lengths.groupBy(F.col(length).alias("length")).agg(F.count("*").alias("n_docs")), "length-histogram")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:

@@ -211,3 +211,13 @@ def test_license_names_without_short_forms(spark):
     ]
     got = license.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
     assert [r["labels"] for r in sorted(got, key=lambda r: r["doc_id"])] == [x for _, x in cases]
+
+
+def test_token_counts_query(spark, small, encoder):
+    n = sorted(len(encoder.encode_ordinary(t or "")) for _, t in rows(spark, small))
+    got = queries.op8_token_counts(spark, small).collect()
+    assert sorted(r["context_limit"] for r in got) == sorted(set(n))
+    for r in got:
+        limit = r["context_limit"]
+        want = (n.count(limit), sum(x >= limit for x in n), sum(x for x in n if x >= limit), len(n), sum(n), sum(x <= limit for x in n) / len(n), sum(min(x, limit) for x in n))
+        assert tuple(r[c] for c in ("n_docs", "docs_at_least", "tokens_at_least", "total_docs", "total_tokens", "quantile", "truncated_tokens")) == pytest.approx(want)
