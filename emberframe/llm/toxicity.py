@@ -3,10 +3,11 @@
 Features of a text: densities of a fixed insult lexicon and of a lexicon learned from labelled texts (word beginnings
 that toxic texts hold far more often), lexicon words near second-person words, capitals, punctuation, obfuscated
 words, lengths. The model is fitted on about SAMPLE labelled rows, chosen by hash among the rows to learn from (never
-over twice as many); a fifth of them is kept for the calibration. Every text is scored whole.
+over twice as many); a fifth of them is kept for the calibration, another fifth out of the lexicon, which holds at most
+LEXICON word beginnings. Every text is scored whole.
 
 Nulls count as empty texts, which are scored like any other. Labels that are null, or belong to no document, teach
-nothing; an id with several labels counts as toxic if one of them is. Repeated rows are scored each. If there are no
+nothing; an id with several labels counts as toxic if one of them is. Repeated rows are scored each and learnt once. If there are no
 labels, or of one class only, every score is the share of toxic labels (0 without labels). Only id and text are read.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import crc_mod, pick, sampled
+from emberframe.llm.common import crc_mod, pick, sampled, stored
 
 SAMPLE, TREES, DEPTH, RATE, BINS, LEXICON = 20_000, 40, 3, 0.2, 32, 2000
 #: Insults, fixed values.
@@ -136,13 +137,13 @@ class Trees:
 
 
 class Isotonic:
-    """Rising step function through pooled neighbours, straight between their centres."""
+    """Rising step function through pooled neighbours, straight between their centres. Equal x are one point."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        order = np.argsort(x, kind="stable")
+        points, at, n = np.unique(x, return_inverse=True, return_counts=True)
         blocks: list[list[float]] = []  # mean, weight, sum of x
-        for xi, yi in zip(x[order], y[order].astype(float)):
-            blocks.append([yi, 1.0, xi])
+        for xi, yi, ni in zip(points, np.bincount(at, y) / n, n.astype(float)):
+            blocks.append([yi, ni, xi * ni])
             while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
                 b = blocks.pop()
                 a = blocks[-1]
@@ -189,22 +190,25 @@ def learned_lexicon(labelled: DataFrame, n_toxic: int, n_other: int, size: int =
     return {r["stem"]: r["odds"] for r in kept.orderBy(F.col("sure").desc(), "stem").limit(size).collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from the labels of rows where `learn` (over column doc_id) holds."""
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, lexicon: int = LEXICON) -> Model:
+    """A model from the labels of rows where `learn` (over column doc_id) holds: about `sample` labelled ids, as many rows
+    (at most twice as many, whatever repeats), and a learned lexicon of at most `lexicon` word beginnings."""
     spark = docs.sparkSession
     given = pick(labels, doc_id=doc_id, toxic=label).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(learn)
     given = given.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     given = sampled(given, sample, "doc_id")  # bounded, so it may be broadcast
     rows = pick(docs, doc_id=doc_id, text=text).join(F.broadcast(given), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)).cast("int"))
-    counts = {r["toxic"]: r["count"] for r in rows.filter("part <> 0").groupBy("toxic").count().collect()}
-    learned = learned_lexicon(rows.filter("part > 1"), counts.get(1, 0), counts.get(0, 0)) if len(counts) == 2 else {}
+    counts = {r["toxic"]: r["count"] for r in rows.filter("part > 1").groupBy("toxic").count().collect()}
+    learned = learned_lexicon(rows.filter("part > 1"), counts.get(1, 0), counts.get(0, 0), lexicon) if len(counts) == 2 else {}
     held = spark.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "part": pdf["part"], "x": [features(t, held.value) for t in pdf["text"]]})
 
-    got = sorted(rows.mapInPandas(run, T.StructType([rows.schema["doc_id"], T.StructField("toxic", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])).collect(), key=str)
+    found = rows.mapInPandas(run, T.StructType([rows.schema["doc_id"], T.StructField("toxic", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    # An id may stand on any number of rows: those with equal features count once, and a sample of them is learnt from.
+    got = sorted(sampled(stored(found.distinct(), "toxicity-features"), sample, "doc_id", "x").collect(), key=str)
     x = np.array([r["x"] for r in got]).reshape(-1, len(NAMES))
     return Model(learned, x, np.array([r["toxic"] for r in got], dtype=np.int64), np.array([r["part"] == 0 for r in got], dtype=bool))
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberframe.llm import hmm, pii, queries, toxicity
 
@@ -287,3 +288,63 @@ def test_hmm_starts_come_from_all_blocks(spark, monkeypatch, first):
     assert len(texts) == len({t.tobytes() for t in texts}) == len(rest) + (first != "held out") and columns_differ(m)
     monkeypatch.setattr(hmm, "START_TEXTS", 5)
     assert len(hmm.least(np.arange(9.0), np.arange(3.0))) == 5
+
+
+def test_a_tree_takes_the_best_split_of_all():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, (60, 3)).astype(float)
+    y = (x[:, 1] + rng.normal(size=60) > 3).astype(int)
+    t = toxicity.Trees(x, y, trees=1, depth=1, rate=1.0, smooth=5.0)
+    p = y.mean()
+    g, h = p - y, np.full(60, p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 5) + g[~m].sum() ** 2 / (h[~m].sum() + 5)
+    (feature, value), = t.trees[0][0]
+    assert gain(x[:, feature[0]] < value[0]) == pytest.approx(max(gain(x[:, f] < v) for f in range(3) for v in set(x[:, f])))
+    left = x[:, feature[0]] < value[0]
+    want = np.where(left, -g[left].sum() / (h[left].sum() + 5), -g[~left].sum() / (h[~left].sum() + 5))
+    assert t.raw(x) - t.base == pytest.approx(want, rel=1e-3)
+
+
+def test_isotonic_is_the_best_rising_fit():
+    rng = np.random.default_rng(7)
+    x, y = np.arange(40.0), (rng.random(40) < np.linspace(0.1, 0.9, 40)).astype(int)
+    curve = toxicity.Isotonic(x, y)
+    fit = np.array([max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)])
+    assert sorted(set(curve.y.round(9))) == sorted(set(fit.round(9)))
+    assert curve(curve.x) == pytest.approx(curve.y)
+    tied, swap = np.array([0.0, 0, 1, 1]), np.array([1, 0, 3, 2])
+    assert toxicity.Isotonic(tied, np.array([0, 1, 0, 1])).y.tolist() == toxicity.Isotonic(tied[swap], np.array([0, 1, 0, 1])[swap]).y.tolist() == [0.5]
+
+
+def test_features_by_hand():
+    names = dict(zip(toxicity.NAMES, toxicity.features("YOU idiot, you 1d10t!! So baaad? abcdefgh 42", {"abcde": 2.0, "abcdefg": 3.0})))
+    assert names["words"] == pytest.approx(np.log1p(8)) and names["insults"] == 2 and names["insult_density"] == 2 / 8
+    assert (names["learned"], names["learned_weight"]) == (1, 3 / 8) and names["second_density"] == 2 / 8 and names["near_second"] == 2 / 8
+    assert names["obfuscated_insults"] == 1 / 8 and names["exclamations"] == 2 / 8 and names["questions"] == 1 / 8 and names["stretched"] == 1 / 8
+    assert names["capitals"] == pytest.approx(4 / 44) and names["shouted_words"] == 1 / 8 and names["distinct_share"] == 7 / 8
+
+
+def test_toxicity_query_equals_the_model_row_by_row(spark, small):
+    """The registered query against plain Python: learned lexicon, features, trees and calibration recomputed from rows."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in queries.op6_toxicity(spark, small).collect()}
+    learn = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    part = {r["doc_id"]: r["p"] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 5), 5) as p").collect()}
+    rows = [(r["doc_id"], r["text"], learn[r["doc_id"]]) for r in docs.collect() if r["doc_id"] in learn]
+    other, toxic = Counter(), Counter()
+    sizes = Counter(y for i, _, y in rows if part[i] > 1)
+    for i, t, y in rows:
+        if part[i] > 1:
+            (toxic if y else other).update(toxicity.stems(t))
+    odds = {}
+    for s, a in toxic.items():
+        o = math.log(((a + 0.5) / (sizes[1] + 1)) / ((other[s] + 0.5) / (sizes[0] + 1)))
+        if a >= 4 and o > 1.5 and o / math.sqrt(1 / (a + 0.5) + 1 / (other[s] + 0.5)) > 3.5:
+            odds[s] = o
+    rows = sorted({(i, y, int(part[i] == 0), tuple(toxicity.features(t, odds))) for i, t, y in rows})
+    x, y, spare = np.array([r[3] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], bool)
+    model = toxicity.Model(odds, x, y, spare)
+    plain = {r["doc_id"]: model.score([r["text"]])[0] for r in docs.collect()}
+    assert sorted(got) == sorted(plain) and [got[i]["score"] for i in plain] == pytest.approx(list(plain.values()), abs=1e-6)
+    repeated = docs.unionByName(docs.filter("doc_id % 3 = 1").crossJoin(spark.range(30)).drop("id"))
+    assert toxicity.fit(repeated, labels, F.lit(True)).share == toxicity.fit(docs, labels, F.lit(True)).share
