@@ -354,7 +354,7 @@ def improved(m: Model, sums: np.ndarray, overall: np.ndarray) -> Model:
 
 
 def added(sums: DataFrame, join: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> np.ndarray | None:
-    """Sum (or another `join`) of the arrays in column `sums`, in a tree of at most 64 leaves to the driver."""
+    """Sum (or another `join`) of the arrays in column `sums`, in a tree of 16 branches a level, to the driver."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -366,7 +366,7 @@ def added(sums: DataFrame, join: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
     n = sums.rdd.getNumPartitions()
     while n > 16:
-        n = max(4, int(n**0.5)) if n > 64 else 4
+        n = max(4, -(-n // 16))
         sums = sums.repartition(n).mapInPandas(add, "sums binary")
     got = [np.frombuffer(r["sums"]) for r in sums.collect()]
     return reduce(join, got) if got else None
