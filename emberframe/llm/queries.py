@@ -95,23 +95,26 @@ FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN g ON g.r = d.r
 """
 
 
-#: Bytes as pairs of hexadecimal digits, which stay cheap to cut.
+#: Bytes as pairs of hexadecimal digits, which stay cheap to cut. Width 400 is what is removed, 256 what counts as repeated.
 OP7_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents),
 n AS (SELECT r, doc_id, b, length(b) // 2 AS n FROM d),
-s AS (SELECT r, i, md5(substr(b, 2 * i - 1, 800)) AS h FROM (SELECT r, b, unnest(range(1, n - 398)) AS i FROM n WHERE n >= 400) t),
-k AS (SELECT r, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
-g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM k),
-t AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
-u AS (SELECT r, run, min(i) AS a, max(i) + 399 AS z FROM t GROUP BY r, run),
+s AS (SELECT r, i, w, md5(substr(b, 2 * i - 1, 2 * w)) AS h FROM (SELECT r, b, w, unnest(range(1, n - w + 2)) AS i FROM n, (VALUES (400), (256)) x(w) WHERE n >= w) t),
+k AS (SELECT r, i, w FROM s WHERE (w, h) IN (SELECT (w, h) FROM s GROUP BY w, h HAVING count(*) > 1)),
+g AS (SELECT r, i, w, CASE WHEN i <= lag(i) OVER (PARTITION BY r, w ORDER BY i) + w THEN 0 ELSE 1 END AS fresh FROM k),
+t AS (SELECT r, i, w, sum(fresh) OVER (PARTITION BY r, w ORDER BY i) AS run FROM g),
+every AS (SELECT r, w, run, min(i) AS a, max(i) + w - 1 AS z FROM t GROUP BY r, w, run),
+u AS (SELECT r, run, a, z FROM every WHERE w = 400),
+m AS (SELECT r, CAST(sum(z - a + 1) AS BIGINT) AS repeated FROM every WHERE w = 256 GROUP BY r),
 v AS (SELECT r, CAST(sum(z - a + 1) AS BIGINT) AS removed, count(*) AS spans FROM u GROUP BY r),
 p AS (
   SELECT r, run, coalesce(lag(z) OVER (PARTITION BY r ORDER BY run), 0) + 1 AS f, a - 1 AS e FROM u
   UNION ALL SELECT u.r, max(run) + 1, max(z) + 1, max(n) FROM u JOIN n ON n.r = u.r GROUP BY u.r
 ),
 x AS (SELECT p.r, string_agg(substr(b, 2 * f - 1, 2 * (e - f + 1)), '' ORDER BY run) AS kept FROM p JOIN n ON n.r = p.r WHERE e >= f GROUP BY p.r)
-SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN spans IS NULL THEN b ELSE coalesce(kept, '') END)) AS kept_sha256
-FROM n LEFT JOIN v ON v.r = n.r LEFT JOIN x ON x.r = n.r
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN spans IS NULL THEN b ELSE coalesce(kept, '') END)) AS kept_sha256, coalesce(repeated, 0) AS n_repeated
+FROM n LEFT JOIN v ON v.r = n.r LEFT JOIN x ON x.r = n.r LEFT JOIN m ON m.r = n.r
 """
 
 
