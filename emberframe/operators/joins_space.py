@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions import cell_id, snap
+from emberframe.sources.shared import stored
 
 #: Where the mosaic's tiles meet, and the offset of the far ones, fixed values.
 LAT_SPLIT, LON_SPLIT, FAR_OFFSET = 33.616754562320736, -115.90153627238479, 9472
@@ -19,33 +20,40 @@ def _bin(x: str, res: float) -> Column:
     return F.floor(F.col(x) / res).cast("int")
 
 
-def map_grid_to_cells(cells: DataFrame, pts: DataFrame, res: float = 0.25, max_rings: int = 64) -> DataFrame:
+def map_grid_to_cells(cells: DataFrame, pts: DataFrame, res: float = 0.25) -> DataFrame:
     """(cell_id, pt_id, how): grid points inside each cell's half-open box; a cell without any gets its nearest point
-    (squared degrees, ties to the smaller id).
+    (squared degrees, ties to the smaller id), however far it is. Rows without a place take no part.
 
-    Points are keyed by boxes of the cell size. A cell's box meets at most four; the nearest point is looked for in rings
-    of boxes that double, and is final once it is closer than the rings reach, so every step is a join on equal keys.
+    Points are keyed by boxes of the cell size. A cell's box meets at most four. The nearest point is looked for in the
+    three by three areas around the cell, whose side doubles each round: the boxes that hold points there are compared
+    first, and only points of boxes that can hold the nearest one are joined. It is final once it is closer than a side.
     """
-    p = pts.select("pt_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), _bin("lat", res).alias("by"), _bin("lon", res).alias("bx"))
-    c = cells.select("cell_id", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    there = lambda df: df.filter("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)")
+    p = there(pts).select("pt_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), _bin("lat", res).alias("by"), _bin("lon", res).alias("bx"))
+    c = there(cells).select("cell_id", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
     half = res / 2
     own = c.select("*", F.explode(F.array_distinct(F.array(*(F.struct(F.floor((F.col("clat") + dy) / res).cast("int").alias("by"), F.floor((F.col("clon") + dx) / res).cast("int").alias("bx")) for dy in (-half, half) for dx in (-half, half))))).alias("b")).select("cell_id", "clat", "clon", "b.*")
     inside = own.join(p, ["by", "bx"]).filter((F.col("plat") >= F.col("clat") - half) & (F.col("plat") < F.col("clat") + half) & (F.col("plon") >= F.col("clon") - half) & (F.col("plon") < F.col("clon") + half)).select("cell_id", "pt_id", F.lit("in_cell").alias("how"))
-    rest, out, rings = c.join(inside.select("cell_id").distinct(), "cell_id", "left_anti"), inside, 1
+    out = stored(inside, "cells-inside")
+    rest = stored(c.join(out.select("cell_id").distinct(), "cell_id", "left_anti"), "cells-open")
+    boxes = stored(p.select("by", "bx").distinct(), "point-boxes")
     dist = (F.col("plat") - F.col("clat")) ** 2 + (F.col("plon") - F.col("clon")) ** 2
-    while True:
-        reach = F.sequence(F.lit(-rings), F.lit(rings))
-        around = rest.select("cell_id", "clat", "clon", F.explode(reach).alias("dy"), F.lit(0).alias("z")).select("cell_id", "clat", "clon", "dy", F.explode(reach).alias("dx"))
-        keyed = around.select("cell_id", "clat", "clon", (_bin("clat", res) + F.col("dy")).alias("by"), (_bin("clon", res) + F.col("dx")).alias("bx"))
-        best = keyed.join(p, ["by", "bx"]).groupBy("cell_id").agg(F.min(F.struct(dist.alias("d"), F.col("pt_id").alias("pt_id"))).alias("m")).select("cell_id", "m.pt_id", "m.d")
-        sure = best if rings >= max_rings else best.filter(F.col("d") <= (rings * res) ** 2)
-        out = out.unionByName(sure.select("cell_id", "pt_id", F.lit("nearest").alias("how")))
-        if rings >= max_rings:
-            return out
-        rest = rest.join(sure.select("cell_id"), "cell_id", "left_anti")
-        if rest.isEmpty():
-            return out
-        rings *= 2
+    k = 1
+    while not (rest.isEmpty() or boxes.isEmpty()):
+        area = lambda x: F.floor(F.col(x) / k).cast("int")  # noqa: E731, B023
+        nine = F.array(*(F.struct((F.floor(F.col("clat") / res / k) + a).cast("int").alias("ay"), (F.floor(F.col("clon") / res / k) + b).cast("int").alias("ax")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+        away = lambda at, low: F.greatest(F.col(low) * res - F.col(at), F.col(at) - (F.col(low) + 1) * res, F.lit(0.0))
+        over = lambda at, low: F.greatest(F.abs(F.col(at) - F.col(low) * res), F.abs(F.col(at) - (F.col(low) + 1) * res))
+        met = rest.select("*", F.inline(nine)).join(boxes.withColumns({"ay": area("by"), "ax": area("bx")}), ["ay", "ax"])
+        met = met.select("cell_id", "clat", "clon", "by", "bx", (away("clat", "by") ** 2 + away("clon", "bx") ** 2).alias("least"), (over("clat", "by") ** 2 + over("clon", "bx") ** 2).alias("most"))
+        bound = met.groupBy("cell_id").agg(F.min("most").alias("bound"))
+        near = met.join(bound, "cell_id").filter(F.col("least") <= F.col("bound") + 1e-9)
+        best = near.join(p, ["by", "bx"]).groupBy("cell_id").agg(F.min(F.struct(dist.alias("d"), F.col("pt_id").alias("pt_id"))).alias("m")).select("cell_id", "m.pt_id", "m.d")
+        sure = stored(best.filter(F.col("d") <= (k * res) ** 2).select("cell_id", "pt_id", F.lit("nearest").alias("how")), "cells-nearest")
+        out = out.unionByName(sure)
+        rest = stored(rest.join(sure.select("cell_id"), "cell_id", "left_anti"), "cells-open")
+        k *= 2
+    return out
 
 
 def windows_to_cells(win: DataFrame, mapping: DataFrame, cols: list[str], grid: str = "pt_id") -> DataFrame:

@@ -1,10 +1,12 @@
-"""Scores of binary predictions. All global order statistics reduce to one row per distinct score first."""
+"""Scores of binary predictions. Order statistics reduce to one row per distinct score, then add up by ranges of scores."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.operators.ordered import running_sums
+
 
 def _counts(y: str, pred: Column, by: tuple[str, ...]) -> list[Column]:
     pos = F.col(y) == 1
@@ -40,22 +42,17 @@ def _by_score(df: DataFrame, y: str, p: str, by: tuple[str, ...]) -> DataFrame:
     return _known(df, y, p).groupBy(*by, p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
 
 
-def _ordered(by: tuple[str, ...], p: str, desc: bool):
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return w.orderBy(F.col(p).desc() if desc else F.col(p)).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = ()) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties one half; null with one class only."""
-    s = _by_score(df, y, p, by).withColumn("below", F.sum("neg").over(_ordered(by, p, False)) - F.col("neg"))
+    s = running_sums(_by_score(df, y, p, by), [*by], [p], {"upto": "neg"}).withColumn("below", F.col("upto") - F.col("neg"))
     return s.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
 def pr_curve(df: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = ()) -> DataFrame:
     """Precision and recall at each distinct score, from the highest down."""
-    w = _ordered(by, p, True)
-    total = F.sum("pos").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-    s = _by_score(df, y, p, by).select(*by, F.col(p).alias("threshold"), "pos", F.sum("pos").over(w).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(w).alias("n"), total.alias("total"))
+    s = running_sums(_by_score(df, y, p, by).withColumn("all", F.col("pos") + F.col("neg")), [*by], [p], {"pos_upto": "pos", "all_upto": "all"})
+    above = lambda c: F.col(f"{c}_upto_total") - F.col(f"{c}_upto") + F.col(c)
+    s = s.select(*by, F.col(p).alias("threshold"), "pos", above("pos").alias("tp"), above("all").alias("n"), F.col("pos_upto_total").alias("total"))
     return s.select(*by, "threshold", (F.col("tp") / F.col("n")).alias("precision"), F.try_divide(F.col("tp"), F.col("total")).alias("recall"), "pos", "total")
 
 

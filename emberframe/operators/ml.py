@@ -14,7 +14,7 @@ MISSING = -1e9
 
 
 def _filled(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.withColumns({f"__{c}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(MISSING)), F.lit(MISSING)) for c in cols})
+    return df.withColumns({f"__c_{c}": F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(MISSING)), F.lit(MISSING)) for c in cols})
 
 
 def train_trees(df: DataFrame, cols: list[str], y: str = "y_fire", split: str = "split", iterations: int = 20, depth: int = 4, seed: int = 42):
@@ -24,7 +24,7 @@ def train_trees(df: DataFrame, cols: list[str], y: str = "y_fire", split: str =
     n = train.agg(F.count_if(F.col(y) == 1).alias("p"), F.count("*").alias("n")).first()
     weight = max(1.0, (n["n"] - n["p"]) / max(1, n["p"]))
     part = df.filter(F.col(split).isin("train", "val")).withColumns({"__w": F.when(F.col(y) == 1, weight).otherwise(1.0), "__val": F.col(split) == "val", y: F.col(y).cast("double")})
-    vec = VectorAssembler(inputCols=[f"__{c}" for c in cols], outputCol="__x")
+    vec = VectorAssembler(inputCols=[f"__c_{c}" for c in cols], outputCol="__x")
     gbt = GBTClassifier(featuresCol="__x", labelCol=y, weightCol="__w", validationIndicatorCol="__val", maxIter=iterations, maxDepth=depth, seed=seed)
     return cols, vec, gbt.fit(vec.transform(_filled(part, cols)))
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberframe.operators.ordered import percentiles
+
 PERCENTS = (("p01", 0.01), ("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95), ("p99", 0.99))
 
 
 def layer_stats(pix: DataFrame, layer: str = "layer", value: str = "value") -> DataFrame:
     """Count, extremes, percentiles (linear), mean, population deviation and bias-corrected skew of each layer."""
     n = F.count(value)
-    s = pix.groupBy(layer).agg(n.alias("count"), F.min(value).alias("min"), F.percentile(value, F.array(*(F.lit(q) for _, q in PERCENTS))).alias("__q"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.skewness(value).alias("__skew"))
+    s = pix.groupBy(layer).agg(n.alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.skewness(value).alias("__skew"))
     c = F.col("count").cast("double")
     skew = F.when(c > 2, F.col("__skew") * F.sqrt(c * (c - 1)) / (c - 2))
-    return s.select(layer, "count", "min", *(F.col("__q")[i].alias(name) for i, (name, _) in enumerate(PERCENTS)), "max", "mean", "std", skew.alias("skew"))
+    q = percentiles(pix, [layer], value, dict(PERCENTS)).withColumnRenamed(layer, "__layer")
+    return s.join(q, F.col(layer).eqNullSafe(F.col("__layer")), "left").select(layer, "count", "min", *(name for name, _ in PERCENTS), "max", "mean", "std", skew.alias("skew"))
 
 
 def corr_pairs(df: DataFrame, cols: list[str]) -> DataFrame:

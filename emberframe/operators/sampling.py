@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions import hash_int
+from emberframe.operators.ordered import percentiles, ranked, running_sums
 
 
 def pct_rank(df: DataFrame, col: str, part: list[str], out: str, fill: float = 0.5) -> DataFrame:
     """Rank among known values, ties averaged, over their number; `fill` where missing.
 
-    Counts per distinct value come first, so the ordered window sees one row a value, not one a row."""
+    Counts per distinct value come first, and add up by ranges of values."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(*part, col).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*part)
-    upto = F.sum("__n").over(w.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.select(*part, col, ((upto - F.col("__n") + (F.col("__n") + 1) / 2) / F.sum("__n").over(w)).alias(out))
+    s = running_sums(counts, part, [col], {"__upto": "__n"})
+    ranks = s.select(*part, col, ((F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2) / F.col("__upto_total")).alias(out))
     return df.join(ranks, [*part, col], "left").withColumn(out, F.coalesce(out, F.lit(fill)))
 
 
@@ -29,9 +31,10 @@ def _uniform(key: str, seed: int) -> Column:
     return (hash_int(F.col(key), seed=seed) + 0.5) / float(1 << 32)
 
 
-def _first_by_hash(df: DataFrame, n: Column, part: list[str], key: list) -> DataFrame:
-    w = Window.partitionBy(*part).orderBy(*key)
-    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
+def _first_by_hash(df: DataFrame, n: Column, part: list[str], key: list[Column]) -> DataFrame:
+    """The first n rows of each part; the order's columns are dealt by ranges, so no task sees a whole part."""
+    names = [f"__k{i}" for i in range(len(key))]
+    return ranked(df.withColumns(dict(zip(names, key))), part, names, "__rn").filter(F.col("__rn") <= n).select(*df.columns)
 
 
 def balanced_sample(df: DataFrame, ratio: float = 4.0, seed: int = 42, caps: dict[str, int] | None = None, hard: tuple[str, str] | None = None, key: str = "sample_id", y: str = "y_fire", split: str = "split") -> DataFrame:
@@ -55,23 +58,25 @@ def balanced_sample(df: DataFrame, ratio: float = 4.0, seed: int = 42, caps: dic
         order = [u, F.col(key)]
     drawn = _first_by_hash(neg.join(F.broadcast(sizes), split), F.col("__take"), [split], order).select(*df.columns)
     out = df.filter(y1).unionByName(drawn)
-    if not caps:
-        return out
+    return cap_per_split(out, caps, seed + 1, key, y, split) if caps else out
+
+
+def cap_per_split(df: DataFrame, caps: dict[str, int], seed: int = 43, key: str = "sample_id", y: str = "y_fire", split: str = "split") -> DataFrame:
+    """At most caps[split] rows of each split, positives first, then by hash; splits without a cap stay whole."""
     cap = F.create_map(*(F.lit(x) for kv in caps.items() for x in kv))[F.col(split)]
-    second = [F.col(y).desc(), _uniform(key, seed + 1), F.col(key)]
-    return _first_by_hash(out, F.coalesce(cap, F.lit(1 << 62)), [split], second)
+    return _first_by_hash(df, F.coalesce(cap, F.lit(1 << 62)), [split], [-F.col(y), _uniform(key, seed), F.col(key)])
 
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows, the same whenever the keys and the seed are: an aligned sample of whole rows."""
-    return df.orderBy(hash_int(F.col(key), seed=seed), key).limit(n)
+    return _first_by_hash(df, F.lit(n), [], [hash_int(F.col(key), seed=seed), F.col(key)])
 
 
 def cap_negatives(df: DataFrame, n: int, key: str, y: str = "y_fire", seed: int = 42) -> DataFrame:
     """All positives and as many negatives as a budget of n rows leaves, the first by hash."""
     neg = df.filter(F.col(y) != 1)
     room = max(0, n - df.filter(F.col(y) == 1).count())
-    return df.filter(F.col(y) == 1).unionByName(neg.orderBy(hash_int(F.col(key), seed=seed), key).limit(room))
+    return df.filter(F.col(y) == 1).unionByName(hash_sample(neg, room, key, seed))
 
 
 def _day_ranks(df: DataFrame, day: str) -> DataFrame:
@@ -130,7 +135,7 @@ def class_balance(df: DataFrame, day: str = "day", y: str = "y_fire", split: str
 def impute_median(df: DataFrame, cols: list[str], fit_on: str | None = "train", split: str = "split") -> DataFrame:
     """Medians of the training split (or of all rows with fit_on=None) in place of missing values."""
     fit = df if fit_on is None else df.filter(F.col(split) == fit_on)
-    one = fit.agg(*(F.median(c).alias(f"__{c}") for c in cols))
+    one = reduce(DataFrame.crossJoin, (percentiles(fit, [], c, {f"__{c}": 0.5}) for c in cols))
     return df.crossJoin(F.broadcast(one)).select(*(F.coalesce(c, F.col(f"__{c}")).alias(c) if c in cols else F.col(c) for c in df.columns))  # one row
 
 

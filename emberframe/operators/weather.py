@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions import celsius, millimetres, rel_humidity, soil_moisture_index, vpd, wind_dir_from, wind_dir_math, wind_speed
 
+#: Variables of the hourly source that are averaged, fixed values.
 MEANS = ("d2m", "sp", "u10", "v10", "swvl1", "swvl2", "cvh", "cvl", "lai_hv", "lai_lv", "blh")
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
-from emberframe.operators import joins_space, joins_time, ml
+from emberframe import functions as fn
+from emberframe.operators import joins_space, joins_time, ml, sampling
 from emberframe.plans.views import table, view
 
 COVER = "WITH m AS (SELECT s.cell_id, s.day, w.window_start, w.window_end, f1, f2, row_number() OVER (PARTITION BY s.cell_id, s.day ORDER BY CASE WHEN window_start <= day AND window_end >= day THEN 0 ELSE 1 END, window_end DESC, window_start DESC) AS rn FROM v_day s JOIN v_win w ON w.cell_id = s.cell_id AND (window_end <= day OR (window_start <= day AND window_end >= day)){extra}) SELECT v_day.cell_id, v_day.day, CASE WHEN {fresh} THEN round(f1, 6) END AS f1, CASE WHEN {fresh} THEN round(f2, 6) END AS f2, CAST(coalesce({fresh}, FALSE) AS INT) AS available, CAST(date_diff('day', window_end, v_day.day) AS INT) AS lag_days FROM v_day LEFT JOIN m ON m.cell_id = v_day.cell_id AND m.day = v_day.day AND rn = 1"
@@ -19,16 +19,17 @@ def windows(max_lag=None, causal=False):
 
 
 def cells(s, d):
-    """Every third point's cell, as a table of cells; the points are those with an even id."""
-    p = joins_space.snap_cell(view(s, d, "v_pts").filter("pt_id % 3 = 0"))
-    return p.select("cell_id", F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon")).distinct()
+    """The cells of all points, and as many two degrees further north, of which most have no point."""
+    p = joins_space.snap_cell(view(s, d, "v_pts")).select("cell_lat", "cell_lon")
+    both = p.unionByName(p.withColumn("cell_lat", F.col("cell_lat") + 2)).distinct()
+    return both.select(fn.cell_id(F.col("cell_lat"), F.col("cell_lon")).alias("cell_id"), F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon"))
 
 
-CELLS = "c AS (SELECT DISTINCT printf('%.2f_%.2f', a, b) AS cell_id, a AS clat, b AS clon FROM (SELECT round_even(lat / 0.25, 0) * 0.25 AS a, round_even(lon / 0.25, 0) * 0.25 AS b FROM v_pts WHERE pt_id % 3 = 0) x), p AS (SELECT * FROM v_pts WHERE pt_id % 2 = 0), i AS (SELECT cell_id, pt_id FROM c JOIN p ON lat >= clat - 0.125 AND lat < clat + 0.125 AND lon >= clon - 0.125 AND lon < clon + 0.125), n AS (SELECT cell_id, pt_id, row_number() OVER (PARTITION BY cell_id ORDER BY (lat - clat) * (lat - clat) + (lon - clon) * (lon - clon), pt_id) AS rn FROM c, p WHERE cell_id NOT IN (SELECT cell_id FROM i)), g AS (SELECT cell_id, pt_id, 'in_cell' AS how FROM i UNION ALL SELECT cell_id, pt_id, 'nearest' FROM n WHERE rn = 1)"
+CELLS = "c AS (SELECT DISTINCT printf('%.2f_%.2f', a + k, b) AS cell_id, a + k AS clat, b AS clon FROM (SELECT round_even(lat / 0.25, 0) * 0.25 AS a, round_even(lon / 0.25, 0) * 0.25 AS b FROM v_pts) x, (VALUES (0), (2)) y(k)), p AS (SELECT * FROM v_pts), i AS (SELECT cell_id, pt_id FROM c JOIN p ON lat >= clat - 0.125 AND lat < clat + 0.125 AND lon >= clon - 0.125 AND lon < clon + 0.125), n AS (SELECT cell_id, pt_id, row_number() OVER (PARTITION BY cell_id ORDER BY (lat - clat) * (lat - clat) + (lon - clon) * (lon - clon), pt_id) AS rn FROM c, p WHERE cell_id NOT IN (SELECT cell_id FROM i)), g AS (SELECT cell_id, pt_id, 'in_cell' AS how FROM i UNION ALL SELECT cell_id, pt_id, 'nearest' FROM n WHERE rn = 1)"
 
 
 def grid_map(s, d):
-    return joins_space.map_grid_to_cells(cells(s, d), view(s, d, "v_pts").filter("pt_id % 2 = 0"))
+    return joins_space.map_grid_to_cells(cells(s, d), view(s, d, "v_pts"))
 
 
 def windows_to_cells(s, d):
@@ -66,7 +67,7 @@ def seqs(s, d):
 
 def scene_days(s, d):
     days = view(s, d, "v_day").select("day").distinct()
-    scenes = view(s, d, "v_win").filter("cell_id % 4 = 1").groupBy(F.col("window_end").alias("scene")).agg(F.max("f2").alias("f2")).filter("dayofmonth(scene) % 10 <> 0")
+    scenes = view(s, d, "v_win").groupBy(F.col("window_end").alias("scene")).agg(F.max("f2").alias("f2"))
     return joins_time.asof_latest(days, scenes, "day", "scene", ["f2"], out="scene_day")
 
 
@@ -83,9 +84,24 @@ def trees(s, d):
 
 
 def isotonic(s, d):
-    v = view(s, d, "v_score").filter("l_linenumber = 1").select((F.col("p") / 10).alias("p_raw"), F.col("y").alias("y_fire"))
-    other = view(s, d, "v_score").filter("l_linenumber = 2").select("l_orderkey", (F.col("p") * 1.3 - 1).alias("p_raw"))
-    return ml.calibrate(v, other).select("l_orderkey", "p_fire")
+    """Fitted on all scores and applied to all of them, stretched so that they lie between and beyond the fitted ones."""
+    v = view(s, d, "v_score").select((F.col("p") / 10).alias("p_raw"), F.col("y").alias("y_fire"))
+    other = view(s, d, "v_score").select("l_orderkey", "l_linenumber", (F.col("p") * 1.3 - 1).alias("p_raw"))
+    return ml.calibrate(v, other).select("l_orderkey", "l_linenumber", "p_fire")
+
+
+#: The rising fit at each distinct score is the largest over starts, of the least over ends, of the mean between them.
+ISOTONIC = """WITH g AS (SELECT p / 10 AS x, sum(y) AS s, count(*) AS n FROM v_score GROUP BY p), m AS (SELECT a.x AS a, b.x AS b, sum(g.s) / sum(g.n) AS v FROM g a JOIN g b ON b.x >= a.x JOIN g ON g.x BETWEEN a.x AND b.x GROUP BY a.x, b.x),
+ w AS (SELECT g.x, m.a, min(m.v) AS v FROM g JOIN m ON m.a <= g.x AND m.b >= g.x GROUP BY g.x, m.a), f AS (SELECT x, max(v) AS v FROM w GROUP BY x),
+ k AS (SELECT x, v, lead(x) OVER (ORDER BY x) AS x2, lead(v) OVER (ORDER BY x) AS v2 FROM f), q AS (SELECT l_orderkey, l_linenumber, p * 1.3 - 1 AS z FROM v_score)
+ SELECT l_orderkey, l_linenumber, round(CASE WHEN z <= (SELECT min(x) FROM f) THEN (SELECT arg_min(v, x) FROM f) WHEN z >= (SELECT max(x) FROM f) THEN (SELECT arg_max(v, x) FROM f) ELSE (SELECT min(v + (v2 - v) * (z - x) / (x2 - x)) FROM k WHERE x <= z AND z < x2) END, 6) AS p_fire FROM q"""
+
+
+def sequence_stats(s, d):
+    """Mean and deviation of each feature over all samples and steps of the sequences."""
+    days = view(s, d, "v_day").select("cell_id", "day", "t_max", "p_sum")
+    q = joins_time.sequences(view(s, d, "v_smp").select("sample_id", "cell_id", "day"), days, view(s, d, "v_static"), ["t_max", "p_sum"], ["slope"], 3)
+    return sampling.sequence_stats(q).select("feature", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
 
 
 QUERIES = {
@@ -98,12 +114,13 @@ QUERIES = {
     "j6_attach_causal": (windows(None, True), COVER.format(extra=" AND window_end <= day", fresh="window_end IS NOT NULL")),
     "j7_resolve_month": (lambda s, d: joins_time.resolve_month(view(s, d, "v_iv").select("iv_id", "s"), months(s, d), "s"), f"WITH {MONTHS}, k AS (SELECT iv_id, s, max(y * 12 + mo) AS k FROM v_iv JOIN m ON y * 12 + mo <= year(s) * 12 + month(s) GROUP BY iv_id, s) SELECT iv_id, s, CAST((k - 1) // 12 AS INT) AS used_year, CAST((k - 1) % 12 + 1 AS INT) AS used_month FROM k"),
     "j8_pick_tile": (tile_pick, f"WITH {TILES} SELECT pt_id, coalesce((SELECT filename FROM t WHERE t.m = p.m AND t.k = p.q), (SELECT min(filename) FROM t WHERE t.m = p.m AND lon BETWEEN -124.5 AND east AND lat BETWEEN 32 AND 42)) AS filename FROM p"),
-    "j9_asof_scene": (scene_days, "WITH w AS (SELECT window_end AS scene, max(f2) AS f2 FROM v_win WHERE cell_id % 4 = 1 AND day(window_end) % 10 <> 0 GROUP BY window_end), d AS (SELECT DISTINCT day FROM v_day) SELECT d.day, scene AS scene_day, round(f2, 6) AS f2 FROM d ASOF LEFT JOIN w ON d.day >= w.scene"),
+    "j9_asof_scene": (scene_days, "WITH w AS (SELECT window_end AS scene, max(f2) AS f2 FROM v_win GROUP BY window_end), d AS (SELECT DISTINCT day FROM v_day) SELECT d.day, scene AS scene_day, round(f2, 6) AS f2 FROM d ASOF LEFT JOIN w ON d.day >= w.scene"),
     "j11_prev_day": (lambda s, d: joins_time.prev_day(view(s, d, "v_hot").groupBy("cell_id", "day").agg(F.max((F.coalesce("flag", F.lit(0)) > 0).cast("int")).alias("fire")), ["cell_id"], "day", "fire", "prev_fire"), "WITH f AS (SELECT cell_id, day, CAST(max(coalesce(flag, 0)) AS INT) AS fire FROM v_hot GROUP BY cell_id, day) SELECT f.cell_id, f.day, f.fire, coalesce(b.fire, 0) AS prev_fire FROM f LEFT JOIN f b ON b.cell_id = f.cell_id AND b.day = f.day - 1"),
     "j15_two_key_lookup": (lambda s, d: joins_space.attach_static(joins_space.snap_cell(view(s, d, "v_pts")).select("pt_id", "cell_lat", "cell_lon"), joins_space.snap_cell(view(s, d, "v_pts")).groupBy("cell_lat", "cell_lon").agg(F.count("*").alias("n")), on=["cell_lat", "cell_lon"]), "WITH g AS (SELECT pt_id, round_even(lat / 0.25, 0) * 0.25 AS cell_lat, round_even(lon / 0.25, 0) * 0.25 AS cell_lon FROM v_pts), k AS (SELECT cell_lat, cell_lon, count(*) AS n FROM g GROUP BY cell_lat, cell_lon) SELECT pt_id, g.cell_lat, g.cell_lon, n FROM g JOIN k ON k.cell_lat = g.cell_lat AND k.cell_lon = g.cell_lon"),
     "j16_map_values": (lambda s, d: joins_time.map_values(view(s, d, "v_smp").select("sample_id", "split"), view(s, d, "v_smp").filter("cell_id % 2 = 0").select("sample_id", F.col("t_max").alias("scalar"))), "SELECT sample_id, split, CASE WHEN cell_id % 2 = 0 THEN round(t_max, 6) END AS scalar FROM v_smp"),
     "j19_full_history": (lambda s, d: joins_time.with_full_history(view(s, d, "v_day").filter("dayofmonth(day) <> 12").select("day"), 7, "day"), "WITH d AS (SELECT DISTINCT day FROM v_day WHERE day(day) <> 12) SELECT day FROM d WHERE (SELECT count(*) FROM d e WHERE e.day BETWEEN d.day - 7 AND d.day - 1) = 7"),
     "w5_sequences": (seqs, "WITH f AS (SELECT cell_id, day, t_max, p_sum FROM v_day WHERE cell_id % 11 <> 0), e AS (SELECT v_smp.sample_id, CAST(2 - date_diff('day', f.day, v_smp.day) AS INT) AS t, f.t_max, f.p_sum, elevation, slope, count(*) OVER (PARTITION BY v_smp.sample_id) AS n FROM v_smp JOIN f ON f.cell_id = v_smp.cell_id AND f.day BETWEEN v_smp.day - 2 AND v_smp.day JOIN v_static ON v_static.cell_id = v_smp.cell_id AND v_static.cell_id % 5 <> 0) SELECT sample_id, t, round(CAST(CAST(t_max AS FLOAT) AS DOUBLE), 2) AS x0, round(CAST(CAST(p_sum AS FLOAT) AS DOUBLE), 2) AS x1, round(CAST(CAST(elevation AS FLOAT) AS DOUBLE), 2) AS x2, round(CAST(CAST(slope AS FLOAT) AS DOUBLE), 2) AS x3 FROM e WHERE n = 3"),
+    "w5_sequence_stats": (sequence_stats, "WITH e AS (SELECT v_smp.sample_id, f.t_max, f.p_sum, slope, count(*) OVER (PARTITION BY v_smp.sample_id) AS n FROM v_smp JOIN v_day f ON f.cell_id = v_smp.cell_id AND f.day BETWEEN v_smp.day - 2 AND v_smp.day JOIN v_static ON v_static.cell_id = v_smp.cell_id), a AS (SELECT unnest([0, 1, 2]) AS feature, unnest([CAST(CAST(t_max AS FLOAT) AS DOUBLE), CAST(CAST(p_sum AS FLOAT) AS DOUBLE), CAST(CAST(slope AS FLOAT) AS DOUBLE)]) AS x FROM e WHERE n = 3) SELECT CAST(feature AS INT) AS feature, round(avg(x), 3) AS mean, round(CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END, 3) AS std FROM a GROUP BY feature"),
     "m1_trees": (trees, None),
-    "m2_isotonic": (isotonic, None),
+    "m2_isotonic": (isotonic, ISOTONIC),
 }

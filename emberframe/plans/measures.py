@@ -127,7 +127,7 @@ QUERIES = {
     "l1_top_days": (lambda s, d: labels.top_days(labels.daily_summary(view(s, d, "v_hot")), 10).select("day", "n_positive_pixels"), f"WITH {SUMMARY} SELECT day, n_positive_pixels FROM m ORDER BY n_positive_pixels DESC, day LIMIT 10"),
     "a29_label_separation": (lambda s, d: labels.label_separation(view(s, d, "v_smp"), ["t_max", "t_min", "t_mean"]), " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}) FILTER (y_fire = 1), 6) AS mean_fire, round(avg({c}) FILTER (y_fire = 0), 6) AS mean_no_fire, round(avg({c}) FILTER (y_fire = 1) - avg({c}) FILTER (y_fire = 0), 6) AS difference, round(corr({c}, y_fire), 6) AS correlation FROM v_smp" for c in ("t_max", "t_min", "t_mean"))),
     "j12_active_per_day": (lambda s, d: joins_time.active_per_day(view(s, d, "v_iv")), "SELECT date, CAST(count(*) AS BIGINT) AS reference_active_count FROM (SELECT CAST(unnest(generate_series(s, greatest(s, coalesce(e, s)), INTERVAL 1 DAY)) AS DATE) AS date FROM v_iv) x GROUP BY date"),
-    "j13_on_calendar": (lambda s, d: joins_time.on_calendar(joins_time.calendar(s, F.min("s"), F.max("s"), view(s, d, "v_iv")), view(s, d, "v_iv").filter("iv_id % 40 = 0").groupBy(F.col("s").alias("date")).agg(F.count("*").alias("starts")), {"starts": "start_day"}), "WITH c AS (SELECT CAST(unnest(generate_series(min(s), max(s), INTERVAL 1 DAY)) AS DATE) AS date FROM v_iv), n AS (SELECT s, count(*) AS n FROM v_iv WHERE iv_id % 40 = 0 GROUP BY s) SELECT date, coalesce(n, 0) AS starts, CAST(coalesce(n, 0) > 0 AS INT) AS start_day FROM c LEFT JOIN n ON n.s = date"),
+    "j13_on_calendar": (lambda s, d: joins_time.on_calendar(joins_time.calendar(s, F.date_sub(F.min("s"), 40), F.date_add(F.max("s"), 40), view(s, d, "v_iv")), view(s, d, "v_iv").groupBy(F.col("s").alias("date")).agg(F.count("*").alias("starts")), {"starts": "start_day"}), "WITH c AS (SELECT CAST(unnest(generate_series(min(s) - 40, max(s) + 40, INTERVAL 1 DAY)) AS DATE) AS date FROM v_iv), n AS (SELECT s, count(*) AS n FROM v_iv GROUP BY s) SELECT date, coalesce(n, 0) AS starts, CAST(coalesce(n, 0) > 0 AS INT) AS start_day FROM c LEFT JOIN n ON s = date"),
     "j14_attach_reference": (lambda s, d: joins_time.attach_reference(threshold_features(s, d).select("day", "n_conf_ge_60"), view(s, d, "v_win").select(F.col("window_start").alias("day")).distinct().withColumn("target", F.lit(1)), "target", "day"), f"WITH {THR} SELECT day, n_conf_ge_60, 1 AS target FROM f WHERE day IN (SELECT window_start FROM v_win)"),
     "a27_search_rules": (lambda s, d: rules.search_rules(study(s, d), "target"), f"{RULES} SELECT {_RULE_COLS} FROM m"),
     "a28_apply_rule": (best_rule_days, f"{RULES}, b AS (SELECT * FROM m ORDER BY {_BEST} LIMIT 1), v AS (SELECT day, f, v FROM one), w AS (SELECT DISTINCT day FROM s) SELECT w.day, CAST(CASE rule_type WHEN 'or' THEN a.v >= threshold_1 OR c2.v >= threshold_2 WHEN 'and' THEN a.v >= threshold_1 AND c2.v >= threshold_2 ELSE a.v >= threshold_1 END AS INT) AS predicted_fire_day_best FROM w, b JOIN v a ON a.f = feature_1 LEFT JOIN v c2 ON c2.f = feature_2 AND c2.day = a.day WHERE a.day = w.day"),
@@ -156,5 +156,5 @@ QUERIES = {
     "a32_intersect_bounds": (lambda s, d: joins_space.intersect_bounds(bounds(s, d)), f"WITH {BOUNDS} SELECT round(max(west), 6) AS west, round(max(south), 6) AS south, round(min(east), 6) AS east, round(min(north), 6) AS north FROM b"),
     "a32_binding_edges": (lambda s, d: joins_space.binding_edges(bounds(s, d)), f"WITH {BOUNDS}, e AS ({_EDGES}), t AS (SELECT *, max(v) OVER (PARTITION BY edge) AS top FROM e) SELECT edge, string_agg(source, ',' ORDER BY source) AS sources FROM t WHERE v = top GROUP BY edge"),
     "j18_gaps": (lambda s, d: joins_time.gaps(view(s, d, "v_day").select("cell_id", F.expr("date_add(DATE '2024-01-01', CAST(floor(datediff(day, DATE '2024-01-01') / 5) * 5 AS INT))").alias("window_start")), view(s, d, "v_win"), ["cell_id", "window_start"]), "SELECT DISTINCT cell_id, DATE '2024-01-01' + CAST(floor(date_diff('day', DATE '2024-01-01', day) / 5) * 5 AS INT) AS window_start FROM v_day EXCEPT SELECT cell_id, window_start FROM v_win"),
-    "j18_sparse_months": (lambda s, d: quality.sparse_months(view(s, d, "v_iv").filter("iv_id % 9 = 1").select(F.col("s").alias("window_start")), 25), "SELECT CAST(year(s) AS INT) AS year, CAST(month(s) AS INT) AS month, count(DISTINCT s) AS n_windows FROM v_iv WHERE iv_id % 9 = 1 GROUP BY year(s), month(s) HAVING count(DISTINCT s) < 25"),
+    "j18_sparse_months": (lambda s, d: quality.sparse_months(view(s, d, "v_iv").select(F.col("s").alias("window_start")), 31), "SELECT CAST(year(s) AS INT) AS year, CAST(month(s) AS INT) AS month, count(DISTINCT s) AS n_windows FROM v_iv GROUP BY year(s), month(s) HAVING count(DISTINCT s) < 31"),
 }

@@ -53,6 +53,15 @@ def clusters(s, d):
 DILATED = f"m AS (SELECT DISTINCT CAST(row + a AS BIGINT) AS r, CAST(col + b AS BIGINT) AS c FROM v_ras, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(a, b) WHERE fire = 1 AND row + a BETWEEN 0 AND {H} - 1 AND col + b BETWEEN 0 AND 99)"
 
 
+#: The three largest clusters (components of DILATED), their squares, and the first square without fire away from them.
+DAY_PATCHES = f"""WITH RECURSIVE {DILATED}, w AS (SELECT r, c, r * 100 + c AS root FROM m UNION SELECT m.r, m.c, w.root FROM w JOIN m ON abs(m.r - w.r) + abs(m.c - w.c) = 1 WHERE w.root < m.r * 100 + m.c),
+ k AS (SELECT r, c, min(root) AS root FROM w GROUP BY r, c), z AS (SELECT CAST(floor(avg(r)) AS INT) AS r, CAST(floor(avg(c)) AS INT) AS c FROM k GROUP BY root ORDER BY count(*) DESC, root LIMIT 3),
+ g AS (SELECT t, l FROM (SELECT unnest(range(0, greatest(1, CAST({H} AS BIGINT) - 16))) AS t) a, range(0, 84) b(l)),
+ f AS (SELECT t, l FROM g WHERE NOT EXISTS (SELECT 1 FROM v_ras v WHERE fire = 1 AND v.row BETWEEN t AND t + 15 AND v.col BETWEEN l AND l + 15)),
+ o AS (SELECT t, l FROM f ORDER BY CAST(EXISTS (SELECT 1 FROM z WHERE sqrt((t + 8 - r) * (t + 8 - r) + (l + 8 - c) * (l + 8 - c)) < 8) AS INT), CAST(('0x' || substr(md5(concat(CAST(t AS VARCHAR(9)), '|', CAST(l AS VARCHAR(9)), '|42')), 1, 8)) AS BIGINT), t, l LIMIT 1)
+ SELECT CAST(least(greatest(r - 8, 0), {H} - 16) AS INT) AS top, CAST(least(greatest(c - 8, 0), 84) AS INT) AS "left", 'fire' AS kind FROM z UNION ALL SELECT CAST(t AS INT), CAST(l AS INT), 'background' FROM o"""
+
+
 def background(s, d):
     p = pixels(s, d)
     h = height(s, d)
@@ -73,8 +82,9 @@ def fused(s, d):
 
 
 def regridded(s, d):
-    p = pixels(s, d).filter("row < 40")
-    return raster.regrid_bilinear(p, {"west": 0.0, "north": 40.0, "dx": 1.0, "dy": 1.0, "height": 40, "width": 100}, {"west": 5.0, "north": 35.0, "dx": 1.5, "dy": 1.3, "height": 20, "width": 50})
+    """The whole grid on a coarser one that lies within it."""
+    h = height(s, d)
+    return raster.regrid_bilinear(pixels(s, d), {"west": 0.0, "north": float(h), "dx": 1.0, "dy": 1.0, "height": h, "width": 100}, {"west": 3.0, "north": h - 2.0, "dx": 1.5, "dy": 1.25, "height": h * 3 // 4, "width": 62})
 
 
 def back_patches(s, d):
@@ -91,8 +101,8 @@ QUERIES = {
     "r6_extract_patches": (patches, f"WITH o AS (SELECT row * 100 + col AS sample_id, least(greatest(row - 2, 0), {H} - 4) AS t, least(greatest(col - 2, 0), 96) AS l FROM v_ras WHERE fire = 1) SELECT sample_id, CAST(row - t AS INT) AS dr, CAST(col - l AS INT) AS dc, round(coalesce(value, 0), 6) AS value FROM o JOIN v_ras ON row BETWEEN t AND t + 3 AND col BETWEEN l AND l + 3"),
     "r7_rasterize": (lambda s, d: raster.rasterize(points(s, d), AREA, ["v"], "pt_id").select("row", "col", "v"), "WITH i AS (SELECT CAST(floor((42.1 - lat) / 0.1) AS INT) AS row, CAST(floor((lon - -124.5) / 0.1) AS INT) AS col, pt_id, CASE WHEN pt_id % 9 <> 0 THEN lat * 3 END AS v FROM v_pts) SELECT row, col, round(arg_max(v, pt_id) FILTER (v IS NOT NULL), 6) AS v FROM i WHERE row BETWEEN 0 AND 96 AND col BETWEEN 0 AND 104 GROUP BY row, col"),
     "r8_fire_clusters": (clusters, f"WITH RECURSIVE {DILATED}, w AS (SELECT r, c, r * 100 + c AS root FROM m UNION SELECT m.r, m.c, w.root FROM w JOIN m ON abs(m.r - w.r) + abs(m.c - w.c) = 1 WHERE w.root < m.r * 100 + m.c), k AS (SELECT r, c, min(root) AS root FROM w GROUP BY r, c) SELECT count(*) AS size, CAST(floor(avg(r)) AS INT) AS centre_row, CAST(floor(avg(c)) AS INT) AS centre_col, root AS first_pixel FROM k GROUP BY root ORDER BY size DESC, root LIMIT 5"),
-    "r9_day_patches": (back_patches, None),
-    "r10_regrid_bilinear": (regridded, "WITH t AS (SELECT r, c, (40 - (35 - (r + 0.5) * 1.3)) - 0.5 AS fr, (5 + (c + 0.5) * 1.5) - 0.5 AS fc FROM range(0, 20) a(r), range(0, 50) b(c)), k AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, floor(fr) + a AS sr, floor(fc) + b AS sc, CASE a WHEN 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END * CASE b WHEN 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END AS w FROM t, range(0, 2) x(a), range(0, 2) y(b)) SELECT k.row, k.col, CASE WHEN count(*) = count(value) THEN round(CAST(sum(value * w) AS DOUBLE), 6) END AS value FROM k LEFT JOIN v_ras v ON v.row = sr AND v.col = sc AND v.row < 40 WHERE w > 0 GROUP BY k.row, k.col"),
+    "r9_day_patches": (back_patches, DAY_PATCHES),
+    "r10_regrid_bilinear": (regridded, "WITH h AS (SELECT CAST(max(row) + 1 AS BIGINT) AS h FROM v_ras), t AS (SELECT r, c, (h - ((h - 2.0) - (r + 0.5) * 1.25)) - 0.5 AS fr, (3.0 + (c + 0.5) * 1.5) - 0.5 AS fc FROM h, range(0, 62) b(c), (SELECT unnest(range(0, h * 3 // 4)) AS r FROM h) a), k AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, floor(fr) + a AS sr, floor(fc) + b AS sc, CASE a WHEN 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END * CASE b WHEN 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END AS w FROM t, range(0, 2) x(a), range(0, 2) y(b)) SELECT k.row, k.col, CASE WHEN count(*) = count(value) THEN round(CAST(sum(value * w) AS DOUBLE), 6) END AS value FROM k LEFT JOIN v_ras v ON v.row = sr AND v.col = sc WHERE w > 0 GROUP BY k.row, k.col"),
     "r12_last_day_rows": (lambda s, d: raster.last_day_rows(pixels(s, d).withColumn("t", F.col("row") % 7), ["value"]).select("row", "col", "value"), "SELECT row, col, round(value, 6) AS value FROM v_ras WHERE row % 7 = 6 AND value IS NOT NULL"),
     "a9_mosaic_mean": (lambda s, d: raster.mosaic_mean(months(s, d)), f"WITH {MONTHS} SELECT month, row, col, round(avg(value), 6) AS value FROM t GROUP BY month, row, col"),
     "a10_mosaic_first": (lambda s, d: raster.mosaic_first(months(s, d), "tile"), f"WITH {MONTHS} SELECT row, col, round(arg_min(value, tile) FILTER (value IS NOT NULL), 6) AS value FROM t GROUP BY row, col"),

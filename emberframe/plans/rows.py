@@ -109,6 +109,8 @@ QUERIES = {
     "w10_lookback_windows": (lambda s, d: joins_time.with_lookback(view(s, d, "v_obs"), "day", "2024-01-30", "2024-01-01").groupBy("cell_id", "window_end").agg(F.avg("value").alias("mean"), F.count("*").alias("n")), "WITH e AS (SELECT DATE '2024-01-30' - CAST(5 * k AS INT) AS window_end FROM range(0, 6) t(k)) SELECT cell_id, window_end, round(avg(value), 6) AS mean, count(*) AS n FROM v_obs JOIN e ON day >= window_end - 10 AND day < window_end GROUP BY cell_id, window_end"),
     "l2_balanced_sample": (balanced(False), balanced_sql(False)),
     "l2_hard_sample": (balanced(True), balanced_sql(True)),
+    "l3_cap_per_split": (lambda s, d: sampling.cap_per_split(view(s, d, "v_smp"), {"train": 700, "test": 90}).select("sample_id", "split", "y_fire"), f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY y_fire DESC, {U.format('sample_id', 43)}, sample_id) AS rn FROM v_smp) SELECT sample_id, split, y_fire FROM r WHERE rn <= CASE split WHEN 'train' THEN 700 WHEN 'test' THEN 90 ELSE rn END"),
+    "j21_split_years": (lambda s, d: sampling.split_years(table(s, d, "orders").select(F.col("o_orderdate").alias("day"), F.col("o_orderstatus").alias("split"))).select("split", F.array_join("years", ",").alias("years")), "SELECT o_orderstatus AS split, string_agg(DISTINCT CAST(year(o_orderdate) AS VARCHAR(4)), ',' ORDER BY CAST(year(o_orderdate) AS VARCHAR(4))) AS years FROM orders GROUP BY o_orderstatus"),
     "l4_hash_sample": (lambda s, d: sampling.hash_sample(view(s, d, "v_smp"), 500, "sample_id").select("sample_id"), f"SELECT sample_id FROM v_smp ORDER BY {H.format('sample_id', 42)}, sample_id LIMIT 500"),
     "l5_cap_negatives": (lambda s, d: sampling.cap_negatives(view(s, d, "v_smp"), 1000, "sample_id").select("sample_id", "y_fire"), f"SELECT sample_id, y_fire FROM v_smp WHERE y_fire = 1 UNION ALL SELECT sample_id, y_fire FROM (SELECT sample_id, y_fire, row_number() OVER (ORDER BY {H.format('sample_id', 42)}, sample_id) AS rn FROM v_smp WHERE y_fire <> 1) x WHERE rn <= greatest(0, 1000 - (SELECT count(*) FROM v_smp WHERE y_fire = 1))"),
     "l6_union": (lambda s, d: filters.union_all([view(s, d, "v_day").select("cell_id", "t_max"), view(s, d, "v_day").select("cell_id", "t_min")]), "SELECT cell_id, round(t_max, 6) AS t_max, CAST(NULL AS DOUBLE) AS t_min FROM v_day UNION ALL SELECT cell_id, NULL, round(t_min, 6) FROM v_day"),

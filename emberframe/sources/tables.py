@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of the largest file whose content one row can hold.
+WHOLE = (1 << 31) - (1 << 20)
+
+
 def read_feature_windows(spark: SparkSession, path: str, values: list[str], years: list[int] | None = None, months: list[int] | None = None, keys: tuple[str, ...] = ("grid_id", "latitude", "longitude")) -> DataFrame:
     """Columns of year=/month=/window=/ CSV files. Partition filters reach the listing, unread columns are pruned."""
     kind = {"grid_id": T.StringType()}
@@ -115,15 +119,33 @@ def write_metadata(meta: DataFrame, path: str) -> None:
     meta.write.mode("overwrite").json(path)
 
 
-def audit_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """(name, status): verified, mismatched (size or md5), missing, or unlisted. manifest: name, size, md5 (base64)."""
+def file_name(path: str = "path", depth: int = 1) -> Column:
+    """The last `depth` elements of a path."""
+    parts = F.split(path, "/")
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - depth + 1, F.lit(1)), F.lit(depth)), "/")
+
+
+def audit_files(spark: SparkSession, path: str, manifest: DataFrame, depth: int = 1) -> DataFrame:
+    """(name, status): verified, mismatched (size or md5), missing, unlisted, or oversize. manifest: name, size, md5 (base64);
+    names are the last `depth` elements of a path, one row each.
+
+    Sizes come from the listing. Only files with a matching size and an md5 to compare are opened, and none of over
+    WHOLE bytes, which no row could hold: such a file with an md5 and a matching size is told as oversize."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    seen = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("__n"), F.base64(F.unhex(F.md5("content"))).alias("__md5"))
-    j = manifest.join(seen, "name", "full_outer")
-    same = (F.col("size").isNull() | (F.col("size") == F.col("__n"))) & (F.col("md5").isNull() | (F.col("md5") == F.col("__md5")))
-    listed = manifest.select("name").withColumn("__listed", F.lit(True))
-    status = F.when(F.col("__listed").isNull(), "unlisted").when(F.col("__n").isNull(), "missing").when(same, "verified").otherwise("mismatched")
-    return j.join(listed, "name", "left").select("name", status.alias("status"))
+    seen = files.select("path", file_name("path", depth).alias("name"), F.col("length").alias("__n"))
+    j = manifest.withColumn("__listed", F.lit(True)).join(seen, "name", "full_outer")
+    sized = F.col("size").isNull() | (F.col("size") == F.col("__n"))
+    wanted = j.filter(sized & F.col("md5").isNotNull() & F.col("path").isNotNull()).select("path").distinct()
+    opened = files.filter(F.col("length") <= WHOLE).join(wanted, "path", "left_semi").select("path", F.base64(F.unhex(F.md5("content"))).alias("__md5"))
+    status = (
+        F.when(F.col("__listed").isNull(), "unlisted")
+        .when(F.col("__n").isNull(), "missing")
+        .when(~sized, "mismatched")
+        .when(F.col("md5").isNull() | (F.col("md5") == F.col("__md5")), "verified")
+        .when(F.col("__n") > WHOLE, "oversize")
+        .otherwise("mismatched")
+    )
+    return j.join(opened, "path", "left").select("name", status.alias("status"))
 
 
 def grid(west: float, south: float, east: float, north: float, step: float) -> dict:

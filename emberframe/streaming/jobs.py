@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,21 +33,35 @@ def daily_stream(obs: DataFrame, value: str = "value", late: str = "2 days", tim
     return out.select(F.to_date("w.start").alias("window_start"), F.to_date("w.end").alias("window_end"), "cell_id", "mean", "max", "min", "sum", "n")
 
 
+PIECE = 10_000
+
+
 class LastReading(StatefulProcessor):
-    """Gives each reading the cell's last known value; the state is that value and its time."""
+    """Gives each reading the cell's last known value at its time; the state is the latest known value and its time. A
+    reading before that time takes values of its own batch only, as older ones are not kept; it never sets the state back.
+    A cell's readings of one batch are held as plain numbers (24 bytes each) and given out in pieces of PIECE."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "value double, at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])  # a cell's readings of one batch
-        filled = pdf["value"].astype(float).ffill()
+        held = [(x["ts"].to_numpy("datetime64[us]"), x["event_id"].to_numpy(np.int64), x["value"].to_numpy(float, na_value=np.nan)) for x in rows]
+        ts, event, value = (np.concatenate(x) for x in zip(*held))
+        del held
+        order = np.lexsort((event, ts))
+        ts, event, value = ts[order], event[order], value[order]
+        known = np.maximum.accumulate(np.where(np.isnan(value), -1, np.arange(len(value))))
+        filled = np.where(known >= 0, value[known], np.nan)
         if self.last.exists():
-            filled = filled.fillna(self.last.get()[0])
-        known = filled.dropna()
-        if len(known):
-            self.last.update((float(known.iloc[-1]), pdf["ts"].iloc[-1].to_pydatetime()))
-        yield pd.DataFrame({"event_id": pdf["event_id"], "cell_id": key[0], "ts": pdf["ts"], "carried": filled})
+            before, at = self.last.get()
+            at = np.datetime64(at, "us")
+            since = ts[known] if len(ts) else ts
+            filled = np.where((ts >= at) & ((known < 0) | (since < at)), before, filled)
+        if len(known) and known[-1] >= 0 and (not self.last.exists() or ts[known[-1]] >= at):
+            self.last.update((float(value[known[-1]]), pd.Timestamp(ts[known[-1]]).to_pydatetime()))
+        for i in range(0, len(ts), PIECE):
+            own = slice(i, i + PIECE)
+            yield pd.DataFrame({"event_id": event[own], "cell_id": key[0], "ts": ts[own], "carried": filled[own]})
 
     def close(self) -> None:
         pass

@@ -211,3 +211,67 @@ def test_labels_of_days_without_a_source_are_unknown(spark):
     smp = spark.createDataFrame([(D(2024, 1, 1), 0), (D(2024, 1, 2), 1)], "label_date date, y_fire int")
     days = spark.createDataFrame([(D(2024, 1, 2),)], "d date")
     assert {r[0].day: r[1] for r in labels.labels_with_coverage(smp, days).collect()} == {1: None, 2: 1}
+
+
+def test_running_sums_ranks_and_percentiles_over_ranges(spark):
+    from emberframe.operators import ordered
+
+    rows = [(None if i % 4 == 3 else f"g{i % 4}", (i * 37) % 101, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v int, k int")
+    got = {(r["g"], r["k"]): (r["s"], r["s_total"]) for r in ordered.running_sums(df, ["g"], ["v", "k"], {"s": "k"}).collect()}
+    ranks = {(r["g"], r["k"]): r["__rank"] for r in ordered.ranked(df, ["g"], ["v", "k"]).collect()}
+    for g in {r[0] for r in rows}:
+        own = sorted((v, k) for x, v, k in rows if x == g)
+        upto = 0
+        for i, (_, k) in enumerate(own):
+            upto += k
+            assert got[g, k] == (upto, sum(k for _, k in own)) and ranks[g, k] == i + 1
+    q = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.99, "e": 1.0}
+    want = {r["g"]: r["w"] for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, q.values()))).alias("w")).collect()}
+    assert {r["g"]: pytest.approx([r[c] for c in q]) for r in ordered.percentiles(df, ["g"], "v", q).collect()} == want
+    assert ordered.ranked(df.limit(0), [], ["v"]).count() == 0
+    one = ordered.percentiles(df.limit(0), [], "v", {"m": 0.5}).collect()
+    assert len(one) == 1 and one[0]["m"] is None
+
+
+def test_no_window_over_a_whole_group(spark):
+    """Windows of ranks, curves, samples and imputation are within ranges or over one row a range."""
+    df = spark.range(1000).selectExpr("cast(id as string) as sample_id", "id % 7 as y_fire", "'train' as split", "rand(1) as p", "id % 2 as y")
+    df = df.withColumn("y_fire", (F.col("y_fire") == 0).cast("int"))
+    for out in (metrics.roc_auc(df), metrics.pr_curve(df), sampling.pct_rank(df, "p", ["split"], "r"), sampling.hash_sample(df, 100, "sample_id"), sampling.balanced_sample(df, 2.0), sampling.impute_median(df, ["p"])):
+        text = plan(out)
+        windows = [line for line in text.splitlines() if "Window [" in line]
+        assert all("__range" in line for line in windows), windows
+    assert sampling.hash_sample(df, 100, "sample_id").count() == 100
+
+
+def test_nearest_point_however_far(spark):
+    cells = spark.createDataFrame([("far", 0.0, 0.0), ("near", 10.0, 40.25), ("none", None, 1.0), ("nan", float("nan"), 1.0), ("tie", 10.0, 80.0)], "cell_id string, lat double, lon double")
+    pts = spark.createDataFrame([(1, 10.0, 40.0), (2, 10.0, 120.0), (3, 10.0, 120.0), (4, None, 1.0), (5, 10.0, 40.25)], "pt_id long, lat double, lon double")
+    got = {(r["cell_id"], r["pt_id"], r["how"]) for r in joins_space.map_grid_to_cells(cells, pts).collect()}
+    assert got == {("near", 5, "in_cell"), ("far", 1, "nearest"), ("tie", 5, "nearest")}
+    assert joins_space.map_grid_to_cells(cells, pts.limit(0)).count() == 0
+    import random
+
+    rng = random.Random(3)
+    cs = [(f"c{i}", rng.uniform(-60, 60), rng.uniform(-60, 60)) for i in range(60)]
+    ps = [(i, rng.uniform(-20, 20), rng.uniform(-20, 20)) for i in range(80)]
+    near = joins_space.map_grid_to_cells(spark.createDataFrame(cs, "cell_id string, lat double, lon double"), spark.createDataFrame(ps, "pt_id long, lat double, lon double")).filter("how = 'nearest'")
+    where = {c: (a, b) for c, a, b in cs}
+    for r in near.collect():
+        a, b = where[r["cell_id"]]
+        assert r["pt_id"] == min(ps, key=lambda p: ((p[1] - a) ** 2 + (p[2] - b) ** 2, p[0]))[0]
+
+
+def test_trees_split_by_value_and_by_absence(spark):
+    """A label that follows one column, or its absence, is learnt; calibrated scores rise with raw ones."""
+    from emberframe.operators import ml
+
+    rows = [(i, "val" if i % 7 == 0 else "test" if i % 7 == 1 else "train", float(i % 10) if i % 3 else None, 1.0 * (i % 7), int((i % 10 > 6) if i % 3 else i % 2 == 0)) for i in range(600)]
+    rows = [(i, s, x, z, y if x is not None else 1) for i, s, x, z, y in rows]
+    df = spark.createDataFrame(rows, "k long, split string, x double, z double, y_fire int")
+    scored = ml.score_trees(df, ml.train_trees(df, ["x", "z"], iterations=5, depth=3))
+    got = ml.calibrate(scored.filter("split = 'val'"), scored.filter("split = 'test'")).collect()
+    assert all((r["p_fire"] >= 0.5) == bool(r["y_fire"]) for r in got)
+    order = sorted((r["p_raw"], r["p_fire"]) for r in got)
+    assert all(a[1] <= b[1] for a, b in zip(order, order[1:]))

@@ -4,6 +4,9 @@ import base64
 import hashlib
 import json
 
+import base64
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +104,33 @@ def test_alerts_sink_can_run_again(spark, tmp_path):
     for _ in range(2):
         write(df, 0)
     assert sorted(r["cell_id"] for r in spark.read.parquet(str(tmp_path / "a")).collect()) == [4, 5]
+
+
+def test_audit_names_and_sizes(spark, tmp_path, monkeypatch):
+    for k in (1, 2, 3):
+        (tmp_path / f"k={k}").mkdir()
+        (tmp_path / f"k={k}" / "part.csv").write_text("x" * k)
+    rows = [("k=1/part.csv", 1, base64.b64encode(hashlib.md5(b"x").digest()).decode()), ("k=2/part.csv", 2, None), ("k=9/part.csv", 1, None)]
+    manifest = spark.createDataFrame(rows, "name string, size long, md5 string")
+    ask = lambda: {r["name"]: r["status"] for r in tables.audit_files(spark, str(tmp_path), manifest, 2).collect()}
+    assert ask() == {"k=1/part.csv": "verified", "k=2/part.csv": "verified", "k=3/part.csv": "unlisted", "k=9/part.csv": "missing"}
+    monkeypatch.setattr(tables, "WHOLE", 0)
+    assert ask()["k=1/part.csv"] == "oversize" and ask()["k=2/part.csv"] == "verified"
+
+
+def test_carry_stream_over_batches_with_late_rows(spark, tmp_path, monkeypatch):
+    """Readings in time order carry as in one batch; a late one neither takes a later value nor sets the state back."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    monkeypatch.setattr(jobs, "PIECE", 2)
+    t = lambda h: f"2024-01-01 {h:02d}:00:00"
+    batches = [
+        [(1, 7, t(1), 1.0), (2, 7, t(3), None), (3, 7, t(4), 4.0), (4, 8, t(2), None)],
+        [(5, 7, t(2), None), (6, 7, t(3), 3.0), (7, 7, t(3), None), (8, 7, t(5), None), (9, 8, t(3), 9.0)],
+        [(10, 7, t(6), None), (11, 8, t(2), None), (12, 8, t(4), None), (13, 7, t(7), 7.0), (14, 7, t(8), None)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "event_id long, cell_id long, ts string, value double").selectExpr("event_id", "cell_id", "cast(ts as timestamp_ntz) as ts", "value").write.parquet(str(tmp_path / "in" / str(i)))
+        src = spark.readStream.schema("event_id long, cell_id long, ts timestamp_ntz, value double").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        jobs.run_available(jobs.carry_forward_stream(src), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = {r["event_id"]: r["carried"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 4.0, 4: None, 5: None, 6: 3.0, 7: 3.0, 8: 4.0, 9: 9.0, 10: 4.0, 11: None, 12: 9.0, 13: 7.0, 14: 7.0}
