@@ -27,7 +27,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Limits what one Arrow batch of long texts takes in a Python worker, for this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def sampled(df: DataFrame, n: int, *columns: str) -> DataFrame:

@@ -84,6 +84,13 @@ def test_odd_rows_and_empty(spark, small):
         assert d.count() == n
 
 
+def test_clashing_names(spark, small):
+    rows = [(i, f"own words of row {i} and more {i * 7}", 0.9, "k", i) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic_score double, row_key string, row_number long")
+    for f in (corpus_pipeline.without_toxic, corpus_pipeline.one_of_near_duplicates):
+        assert sorted(map(tuple, f(spark, docs, small).collect())) == rows
+
+
 def test_one_id_on_two_texts(spark, small):
     a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("sea", "oak"))
     kept = lambda rows: sorted(tuple(r) for r in corpus_pipeline.one_of_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), small).collect())
