@@ -13,24 +13,32 @@ from emberframe.llm.common import bounded_batches, crc_mod, read, stored
 from emberframe.llm.queries import vocabulary
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated probability of being toxic is below one half."""
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    return toxicity.scored(docs, model, into="__toxic").filter(F.col("__toxic") < 0.5).drop("__toxic")
+    model, score = toxicity.fit(docs, read(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0), _free(docs, "toxic_score")
+    return toxicity.scored(docs, model, into=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the row with the smallest id, and of its texts that repeat the id the one with the
     smallest hash; rows without an id come last, by their text. An id may stand on several texts: id and text are the key,
-    so rows that repeat both count as one."""
+    so rows that repeat both count as one, and rows that share only the id are told apart."""
+    key, n = _free(docs, "row_key"), _free(docs, "row_number")
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     own = F.when(F.col("doc_id").isNotNull(), F.concat(F.format_string("%020d", F.col("doc_id").cast("long")), F.lit(":"), digest)).otherwise(F.concat(F.lit("~"), digest))
-    keyed = docs.withColumn("__key", own)
+    keyed = docs.withColumn(key, own)
     bounded_batches(spark)
-    classes = simhash.near_duplicates(keyed, doc_id="__key")
-    kept = keyed.join(classes.select(F.col("component_id").alias("__key")).distinct(), "__key", "left_semi")
-    first = Window.partitionBy("__key").orderBy("text")  # rows that repeat id and text
-    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)
+    classes = simhash.near_duplicates(keyed, doc_id=key)
+    kept = keyed.join(classes.select(F.col("component_id").alias(key)).distinct(), key, "left_semi")
+    first = Window.partitionBy(key).orderBy("text")  # rows that repeat id and text; each task keeps its first one only
+    return kept.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).select(*docs.columns)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -52,7 +60,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, decoded_sha256): token ids of each document, and the digest of what they decode to."""
     path, pattern = vocabulary()
     bounded_batches(spark)
-    out = bpe.encode(docs, path, pattern, with_bytes=True, block=3 << 20)
+    out = bpe.encode(docs, path, pattern, with_bytes=True, block=2 << 20)
     return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
