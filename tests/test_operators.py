@@ -275,3 +275,31 @@ def test_trees_split_by_value_and_by_absence(spark):
     assert all((r["p_fire"] >= 0.5) == bool(r["y_fire"]) for r in got)
     order = sorted((r["p_raw"], r["p_fire"]) for r in got)
     assert all(a[1] <= b[1] for a, b in zip(order, order[1:]))
+
+
+def test_components_of_a_hub_and_a_long_chain(spark):
+    edges = [(0, i) for i in range(1, 1500)] + [(5000 + i, 5001 + i) for i in range(40)] + [(9000, 9001), (9001, 9000), (7, 7), (None, 3)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(1500), 0), **dict.fromkeys(range(5000, 5041), 5000), 9000: 9000, 9001: 9000}
+
+
+def test_frequent_keys_are_looked_up_in_a_broadcast_table(spark):
+    from emberframe.sources.shared import looked_up
+
+    rows = spark.createDataFrame([(1, i) for i in range(3000)] + [(2 + i % 40, i) for i in range(80)] + [(None, 1)], "k long, v long")
+    table = rows.filter("k is not null").groupBy("k").count().withColumnRenamed("count", "n").withColumn("x", F.col("k") * 2)
+    got = looked_up(rows, table, "k", "n", 3081)
+    assert sorted(map(tuple, got.collect())) == sorted((k, v, 2 * k) for k, v in map(tuple, rows.collect()) if k is not None)
+    assert "BroadcastHashJoin" in plan(got)
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from emberframe.sources import shared
+
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://https://host"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)), "x")
+    assert shared.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]")), "x")
