@@ -408,4 +408,4 @@ def digest(found: DataFrame) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(True).cast("binary"), 256).alias("base_sha256"), joined(False).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(True).cast("binary"), 256).alias("base_sha256"), joined(False).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

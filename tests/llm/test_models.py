@@ -213,6 +213,7 @@ def test_pii_rows(spark, tagger):
     df = spark.createDataFrame([(i % 3 and 2**53 + i or None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
     rows = pii.digest(pii.find(df, tagger)).collect()
     assert sorted((r["doc_id"] or 0 for r in rows)) == sorted(i % 3 and 2**53 + i for i in range(len(texts)))
+    assert all(r["n_spans"] == len([x for x in r["spans"].split(",") if x]) >= r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] for r in rows)
     base = {t: ",".join(f"{k}:{a}:{b}" for k, a, b in slow_spans(t or "")) for t in texts}
     assert sorted(r["base_sha256"] for r in rows) == sorted(hashlib.sha256(b.encode()).hexdigest() for b in base.values())
     for t in texts:
