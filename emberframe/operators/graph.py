@@ -1,17 +1,63 @@
-"""Connected components of an edge table, by rounds of large-star and small-star steps."""
+"""Connected components of an edge table: links within a task are contracted first, then large-star and small-star steps
+follow in rounds."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberframe.sources.shared import looked_up, stored
 
 
+#: Links that a task contracts at once.
+CHUNK = 1_000_000
+
+
+def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index that each of n nodes reaches over the links a-b."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while not np.array_equal(hop := new[new], new):
+            new = hop
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links that connect the same nodes as the task's links, one a node: to the smallest node that it reaches in a chunk."""
+
+    def star(held: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(held)
+        nodes, at = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
+        root = roots_of(len(nodes), at[: len(pdf)], at[len(pdf) :])
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        return pd.DataFrame({"a": nodes[own], "b": nodes[root[own]]})
+
+    held, size = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        size += len(pdf)
+        if size >= CHUNK:
+            yield star(held)
+            held, size = [], 0
+    if size:
+        yield star(held)
+
+
 def _star(neighbours: DataFrame, total: int, both: bool) -> DataFrame:
     """Links (u, v) to links of v with the smallest of u's neighbourhood. The minimum is aggregated and then looked up, for
     a hub in a broadcast table, so a hub's links never meet in one task."""
-    least = stored(neighbours.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "components-least")
+    least = neighbours.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
     linked = looked_up(neighbours, least, "u", "n", total)
     if both:  # small star: v <= u; u itself is linked as well
         own = least.filter("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b"))
@@ -24,11 +70,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges with a null end are left out. Rounds go on until nothing changes. Every round is written to the shared folder,
     which cuts the lineage."""
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
-    state = stored(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "components")
+    near = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    kind = T.StructType([T.StructField(c, near.schema[c].dataType) for c in ("a", "b")])
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = stored(near.repartitionByRange(n, "b", "a").mapInPandas(_contracted, kind).distinct(), "components")
     mark = _mark(state)
     while True:
         sym = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(state.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = stored(_star(sym, 2 * mark[0], both=False).filter("a <> b").distinct(), "components")
+        large = _star(sym, 2 * mark[0], both=False).filter("a <> b").distinct()
         small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), mark[0], both=True).filter("a <> b").distinct()
         state = stored(small, "components")
         before, mark = mark, _mark(state)

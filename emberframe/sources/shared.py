@@ -35,7 +35,7 @@ MANY = 1000
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Inner join of rows with a stored table of one row a key, `n` of the `total` rows having it. Frequent keys are looked
+    """Inner join of rows with a table of one row a key, `n` of the `total` rows having it. Frequent keys are looked
     up in a broadcast table of fewer than MANY rows, so that no task has to take all rows of one; the others are joined."""
     often = F.col(n) * MANY > total
     few = F.broadcast(table.filter(often).drop(n))
