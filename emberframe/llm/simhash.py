@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import looked_up, partitions, pick, ragged, stored
-from emberframe.operators.graph import components, roots_of
+from emberframe.operators.graph import components
 
 LIMIT, TABLES, FANOUT, HOT_KEY, SEED = 3, 4, 16, 2048, 42
 #: How often a hot group is dealt at most: after ten divisions a key fixes so many bits that few fingerprints share it.
@@ -66,6 +66,21 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index that each of n nodes reaches over the links a-b."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while not np.array_equal(hop := new[new], new):
+            new = hop
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 class GrayIndex:
     """Nodes over fingerprints that are sorted by group and Gray rank. Level 0 holds the fingerprints themselves."""
 
