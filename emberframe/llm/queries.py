@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import bpe, decontaminate, hmm, license, pii, simhash, suffix, tokens, topk, toxicity
+from emberframe.llm import bpe, decontaminate, hmm, license, pii, simhash, suffix, tokens, topk, toxicity, vector_codes
 from emberframe.llm.common import read
 
 
@@ -59,8 +59,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(docs, pii.fit(docs)))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(*vector_codes.code(read(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hmm_score, op2_byte_bpe, op3_simhash, op4_decontaminate, op5_license_scan, op6_toxicity, op7_suffix_dedup, op8_token_counts, op9_pivot_topk, op10_pii)}
+    return {f.__name__: f for f in (op1_hmm_score, op2_byte_bpe, op3_simhash, op4_decontaminate, op5_license_scan, op6_toxicity, op7_suffix_dedup, op8_token_counts, op9_pivot_topk, op10_pii, op11_vector_codes)}
 
 
 OP9_SQL = """
@@ -118,5 +122,36 @@ FROM n LEFT JOIN v ON v.r = n.r LEFT JOIN x ON x.r = n.r LEFT JOIN m ON m.r = n.
 """
 
 
+def _assign(books: str) -> str:
+    """Index and squared distance of each part's nearest entry."""
+    d = " + ".join(f"(t.x{i} - b.x{i}) * (t.x{i} - b.x{i})" for i in range(4))
+    return f"SELECT r, p, min(({d}) * 64 + e) % 64 AS e, min(({d}) * 64 + e) // 64 AS d FROM t JOIN {books} b USING (p) GROUP BY r, p"
+
+
+def _moved(books: str, assigned: str) -> str:
+    mean = ", ".join(f"CASE WHEN n IS NULL THEN b.x{i} ELSE (s{i} - (s{i} % n + n) % n) // n END AS x{i}" for i in range(4))
+    sums = ", ".join(f"CAST(sum(x{i}) AS BIGINT) AS s{i}" for i in range(4))
+    return f"SELECT b.p, b.e, {mean} FROM {books} b LEFT JOIN (SELECT p, e, count(*) AS n, {sums} FROM t JOIN {assigned} USING (r, p) GROUP BY p, e) m ON m.p = b.p AND m.e = b.e"
+
+
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+t AS MATERIALIZED (SELECT r, p, {", ".join(f"v[4 * p + {i + 1}] AS x{i}" for i in range(4))} FROM v, range(0, 16) a(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x0, x1, x2, x3 FROM t WHERE r <= 64),
+a1 AS MATERIALIZED ({_assign("b0")}),
+b1 AS MATERIALIZED ({_moved("b0", "a1")}),
+a2 AS MATERIALIZED ({_assign("b1")}),
+b2 AS MATERIALIZED ({_moved("b1", "a2")}),
+a3 AS MATERIALIZED ({_assign("b2")}),
+c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a3 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256
+FROM c JOIN v USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix_dedup": OP7_SQL, "op4_decontaminate": OP4_SQL, "op9_pivot_topk": OP9_SQL}
+    return {"op11_vector_codes": OP11_SQL, "op7_suffix_dedup": OP7_SQL, "op4_decontaminate": OP4_SQL, "op9_pivot_topk": OP9_SQL}
