@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import bpe, decontaminate, hmm, license, pii, simhash, suffix, tokens, topk, toxicity, vector_codes
+from emberframe.llm import bpe, decontaminate, hmm, lcp, license, pii, simhash, suffix, tokens, topk, toxicity, variants, vector_codes
 from emberframe.llm.common import read
 
 
@@ -63,8 +63,16 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(*vector_codes.code(read(spark, sf_dir, "embeddings")))
 
 
+def op12_lcp_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.compared(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(variants.word_counts(read(spark, sf_dir, "documents")).filter("n >= 2"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hmm_score, op2_byte_bpe, op3_simhash, op4_decontaminate, op5_license_scan, op6_toxicity, op7_suffix_dedup, op8_token_counts, op9_pivot_topk, op10_pii, op11_vector_codes)}
+    return {f.__name__: f for f in (op1_hmm_score, op2_byte_bpe, op3_simhash, op4_decontaminate, op5_license_scan, op6_toxicity, op7_suffix_dedup, op8_token_counts, op9_pivot_topk, op10_pii, op11_vector_codes, op12_lcp_fingerprint, op13_spelling_variants)}
 
 
 OP9_SQL = """
