@@ -3,14 +3,15 @@
 Letters are hashed to SYMBOLS symbols, so a word has a reduced word, and words at most one edit apart have reduced words at
 most one edit apart. Each word generates the full neighbourhood of its reduced word (itself, and every deletion,
 replacement and insertion of one symbol), as 64-bit keys; these are joined with the keys of all reduced words, and the
-pairs that meet are verified on the original strings. An edit of a reduced word stands for some ninety letters divided
+pairs that meet are verified on the original strings. Keys that no reduced word has mostly don't travel: a bitmap of
+2^BITS bits (8 MB, whatever the vocabulary; the fuller it is, the less it holds back) marks the hashes of those there are. An edit of a reduced word stands for some ninety letters divided
 by SYMBOLS, so the neighbourhood is that much smaller than a word's own.
 
 A reduced word that more than HOT words share would meet its neighbours' words as pairs. Such keys are taken out of
-that join; whoever reaches one spells out the letters behind the edits that lead there, and these words are joined with
-the vocabulary as they stand: rows grow with the words, not with their pairs, and nothing is left out.
+that join; whoever reaches one makes keys over all letters of the edits that lead there, and these are joined with the keys of
+the words themselves: rows grow with the words, not with their pairs, and nothing is left out.
 
-Words are counted in each task first. Keys of different reduced words may be equal by chance; verification drops such pairs.
+Words are counted in each task first. Keys of different words may be equal by chance; verification drops such pairs.
 
 Nulls and texts without words add nothing; an empty table gives an empty result. Null ids count as empty text where the
 id enters a hash. Repeated rows count each time. Words may be long: a word of n letters has about 2 * SYMBOLS * n keys.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from emberframe.llm.common import id_and_text, stored
 
-SYMBOLS, HOT = 8, 64
+SYMBOLS, HOT, BITS = 8, 64, 26
 #: Words that a task counts before it passes its counts on.
 HELD = 200_000
 #: Keys that are made at a time.
@@ -49,7 +50,7 @@ def word_counts(docs: DataFrame, least: int = 7, every: int = 31, doc_id: str =
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, int] = {}
-        flushed = lambda: pd.DataFrame({"word": list(held), "n": list(held.values())})
+        flushed = lambda: pd.DataFrame({"word": pd.Series(list(held), dtype=object), "n": pd.Series(list(held.values()), dtype="int64")})
         for pdf in batches:
             for i, t in zip(pdf["doc_id"], pdf["text"]):
                 if not isinstance(t, str):
@@ -114,69 +115,106 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
             yield own[i : i + step], [words[j] for j in own[i : i + step]]
 
 
-def reduced_keys(words: list[str]) -> list[int]:
+def reduced_keys(words: list[str]) -> np.ndarray:
     out = np.zeros(len(words), np.uint64)
     for at, own in _by_length(words):
         s = _reduced(own)
         out[at] = (s * _powers(s.shape[1])).sum(1, dtype=np.uint64)
-    return out.view(np.int64).tolist()
+    return out.view(np.int64)
 
 
-def neighbour_keys(words: list[str]) -> list[np.ndarray]:
-    """The different keys of each word's neighbourhood, its own included."""
+def slots(keys: np.ndarray) -> np.ndarray:
+    """Places of keys in the bitmap."""
+    return ((keys.view(np.uint64) * np.uint64(_BASE)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def neighbour_keys(words: list[str], bits: np.ndarray | None = None) -> list[np.ndarray]:
+    """The different keys of each word's neighbourhood, its own included; with a bitmap, those that it marks."""
     out: list = [None] * len(words)
     for at, own in _by_length(words):
-        for i, row in zip(at.tolist(), _edits(_reduced(own)).view(np.int64)):
-            out[i] = np.unique(row)
+        keys = _edits(_reduced(own)).view(np.int64)
+        if bits is not None:
+            place = slots(keys)
+            marked = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        for k, i in enumerate(at.tolist()):
+            out[i] = np.unique(keys[k] if bits is None else keys[k][marked[k]])
     return out
 
 
-def spelled_out(word: str, key: int) -> set[str]:
-    """The words one edit from `word` whose reduced word has this key and is reached by that edit."""
-    n, letters = len(word), {}
-    for c in LETTERS:
-        letters.setdefault(int(symbols(np.array([c]))[0]), []).append(chr(c))
-    out = set()
-    for e in np.flatnonzero(_edits(_reduced([word])).view(np.int64)[0] == key).tolist():
-        if e == 0:
-            continue  # its own reduced word: replacements by letters of the same symbols lead there, too
-        if e <= n:
-            out.add(word[: e - 1] + word[e:])
-        elif e <= n + n * SYMBOLS:
+def _points(word: str) -> np.ndarray:
+    return np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def full_key(word: str) -> int:
+    x = _points(word)
+    return int((x * _powers(len(x))).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0
+
+
+def finer_keys(word: str, key: int) -> np.ndarray:
+    """Full keys of the words that the edits of `word` which lead to the reduced key stand for."""
+    s, x = _reduced([word]), _points(word)
+    n, power = len(x), _powers(len(x) + 1)
+    letters = np.array(LETTERS, np.uint64)
+    of = [letters[symbols(letters) == i] for i in range(SYMBOLS)]
+    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[:n], dtype=np.uint64)])
+    whole, out = before[-1], [np.zeros(0, np.uint64)]
+    for e in np.flatnonzero(_edits(s).view(np.int64)[0] == key).tolist():
+        if 1 <= e <= n:
+            out.append(before[e - 1 : e] + (whole - before[e : e + 1]) * np.uint64(_BACK))
+        elif n < e <= n + n * SYMBOLS:
             i, own = divmod(e - 1 - n, SYMBOLS)
-            out.update(word[:i] + c + word[i + 1 :] for c in letters.get(own, ()))
-        else:
+            out.append(whole + (of[own] - x[i]) * power[i])
+        elif e:
             i, own = divmod(e - 1 - n - n * SYMBOLS, SYMBOLS)
-            out.update(word[:i] + c + word[i:] for c in letters.get(own, ()))
-    return out - {word}
+            out.append(before[i] + of[own] * power[i] + (whole - before[i : i + 1]) * np.uint64(_BASE))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def bitmap(slot_table: DataFrame) -> np.ndarray:
+    """A bit for each slot of the table."""
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    at = F.col("slot") + 1  # Spark's bitmaps begin at one, and are as long as those of an integer's low 15 bits
+    for r in slot_table.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("x")).toLocalIterator():
+        own = np.frombuffer(bytes(r["x"]), np.uint8)
+        bits[(r["b"] - 1) * len(own) : r["b"] * len(own)] = own
+    return bits
 
 
 def near_pairs(words: DataFrame, hot: int = HOT) -> DataFrame:
     """(word, near, n): all pairs of words (word, n) that differ by exactly one inserted, deleted or replaced letter, in both
     directions, with the count of the near one. Words must be different and not empty."""
+    spark = words.sparkSession
 
-    @F.pandas_udf("long")
-    def own_key(column: pd.Series) -> pd.Series:
-        return pd.Series(reduced_keys(list(column)), dtype="int64")
+    @F.pandas_udf("key long, slot long")
+    def own_key(column: pd.Series) -> pd.DataFrame:
+        keys = reduced_keys(list(column))
+        return pd.DataFrame({"key": keys, "slot": slots(keys)})
+
+    vocabulary = stored(words.select(F.col("word").alias("near"), "n", own_key("word").alias("k")).select("near", "n", "k.*"), "variant-vocabulary")
+    bits = spark.sparkContext.broadcast(bitmap(vocabulary))
 
     @F.pandas_udf("array<long>")
     def keys(column: pd.Series) -> pd.Series:
-        return pd.Series(neighbour_keys(list(column)), dtype=object)
+        return pd.Series(neighbour_keys(list(column), bits.value), dtype=object)
 
-    @F.pandas_udf("array<string>")
-    def spelled(word: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([sorted(spelled_out(w, int(k))) for w, k in zip(word, key)], dtype=object)
+    @F.pandas_udf("long")
+    def whole_key(column: pd.Series) -> pd.Series:
+        return pd.Series([full_key(w) for w in column], dtype="int64")
+
+    @F.pandas_udf("array<long>")
+    def finer(word: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([finer_keys(w, int(k)) for w, k in zip(word, key)], dtype=object)
 
-    vocabulary = stored(words.select(F.col("word").alias("near"), "n", own_key("word").alias("key")), "variant-vocabulary")
     sizes = vocabulary.groupBy("key").agg(F.count("*").alias("held"))
     often = stored(sizes.filter(F.col("held") > hot).select("key"), "variant-hot")
     around = words.select("word", F.explode(keys("word")).alias("key"))
     near: Column = F.levenshtein("word", "near", 1) == 1
-    plain = around.join(vocabulary.join(often, "key", "left_anti"), "key").filter(near).select("word", "near", "n")
     if often.isEmpty():
-        return plain
-    exact = around.join(often, "key", "left_semi").select("word", F.explode(spelled("word", "key")).alias("near")).join(vocabulary.select("near", "n"), "near")
-    return plain.unionByName(exact.filter(near).select("word", "near", "n").distinct())
+        return around.join(vocabulary, "key").filter(near).select("word", "near", "n")
+    plain = around.join(vocabulary.join(often, "key", "left_anti"), "key").select("word", "near", "n")
+    held = vocabulary.join(often, "key", "left_semi").select("near", "n", whole_key("near").alias("full"))
+    exact = around.join(often, "key", "left_semi").select("word", F.explode(finer("word", "key")).alias("full")).join(held, "full").select("word", "near", "n")
+    return plain.unionByName(exact).filter(near)
 
 
 def last_forms(forms: DataFrame) -> DataFrame:
