@@ -95,9 +95,9 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100, 200: 200, 201: 200, 250: 200}
 
 
-@pytest.mark.parametrize(("annulus", "pack", "rings"), [(1024, 1024, (1, 4, 16)), (7, 3, (1, 2, 5))])
-def test_topk_equals_brute_force(spark, monkeypatch, annulus, pack, rings):
-    for name, value in (("ANNULUS", annulus), ("PACK", pack), ("RINGS", rings)):
+@pytest.mark.parametrize("sizes", [{}, {"ANNULUS": 7, "PACK": 3, "RING": 1, "WIDER": 2, "SLICE_ROWS": 20}])
+def test_topk_equals_brute_force(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
         monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(3)
     rows = [(int(i), rng.normal(size=8).round(2).tolist(), "x") for i in range(300)]
@@ -174,3 +174,41 @@ def test_topk_stops_early(spark):
         order = [c for c in np.lexsort((np.arange(2400), -s)) if c != q][:5]
         want += [(q, n + 1, int(c), int(s[c])) for n, c in enumerate(order)]
     assert sorted(map(tuple, topk.search(df, F.col("id") % 50 == 0).collect())) == want
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e6])
+def test_topk_is_whole_at_any_length(spark, monkeypatch, scale):
+    """Scores of over 53 bits: no row is lost to a rounded bound."""
+    monkeypatch.setattr(topk, "SLICE_ROWS", 50)
+    x = np.random.default_rng(11).normal(size=(900, 12)) * scale
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ints = np.floor(256 * x).astype(np.int64).astype(object)
+    want = []
+    for q in range(0, 900, 40):
+        scores = ints @ ints[q]
+        want += [(q, n + 1, c, int(scores[c])) for n, c in enumerate(sorted((c for c in range(900) if c != q), key=lambda c: (-scores[c], c))[:5])]
+    assert sorted(map(tuple, topk.search(df, F.col("id") % 40 == 0).collect())) == want
+
+
+def test_topk_refuses_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(i, [1e8 * i, 3e8]) for i in range(60)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="too long"):
+        topk.search(df, F.col("id") % 50 == 0)
+
+
+def test_topk_deals_a_shell_over_many_keys(spark, monkeypatch):
+    """One dense place: its annuli get many names, so that they don't meet in one task."""
+    monkeypatch.setattr(topk, "SLICE_ROWS", 100)
+    names = []
+    real = topk.stored
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "pivot-index":
+            names.extend(r[0] for r in out.groupBy("shell").agg(F.count_distinct("slice").alias("n")).select("n").collect())
+        return out
+
+    monkeypatch.setattr(topk, "stored", spy)
+    x = np.random.default_rng(1).normal(size=(4000, 3)) * 0.01 + 5
+    topk.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
+    assert sum(names) >= 40
