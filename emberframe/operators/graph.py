@@ -21,22 +21,21 @@ def _star(neighbours: DataFrame, total: int, both: bool) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): for each node of an edge, the smallest node that it reaches. Loops and repeated edges do no harm;
-    edges with a null end are left out. Rounds go on until nothing changes. Every round is written to the shared folder,
-    which cuts the lineage."""
+    edges with a null end are left out. Rounds go on until every component is a star around its smallest node. Every round is
+    written to the shared folder, which cuts the lineage."""
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
     state = stored(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "components")
-    mark = _mark(state)
-    while True:
+    while not _stars(state):
+        n = state.count()
         sym = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(state.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = stored(_star(sym, 2 * mark[0], both=False).filter("a <> b").distinct(), "components")
-        small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), mark[0], both=True).filter("a <> b").distinct()
+        large = stored(_star(sym, 2 * n, both=False).filter("a <> b").distinct(), "components")
+        small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), n, both=True).filter("a <> b").distinct()
         state = stored(small, "components")
-        before, mark = mark, _mark(state)
-        if mark == before:
-            break
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def _mark(state: DataFrame) -> tuple:
-    return tuple(state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stars(state: DataFrame) -> bool:
+    """Whether each larger end has one smaller end, which is no larger end itself."""
+    ends = state.select(F.col("a").alias("x"), F.lit(1).alias("larger"), F.lit(0).alias("smaller")).unionByName(state.select(F.col("b").alias("x"), F.lit(0).alias("larger"), F.lit(1).alias("smaller")))
+    return ends.groupBy("x").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller")).filter("larger > 1 OR (larger > 0 AND smaller > 0)").isEmpty()

@@ -24,38 +24,93 @@ def map_grid_to_cells(cells: DataFrame, pts: DataFrame, res: float = 0.25) -> Da
     """(cell_id, pt_id, how): grid points inside each cell's half-open box; a cell without any gets its nearest point
     (squared degrees, ties to the smaller id), however far it is. Rows without a place take no part.
 
-    Points are keyed by boxes of the cell size. A cell's box meets at most four. The nearest point is looked for in the
-    three by three areas around the cell, whose side doubles each round: the boxes that hold points there are compared
-    first, and only points of boxes that can hold the nearest one are joined. It is final once it is closer than a side.
-    """
-    there = lambda df: df.filter("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)")
-    p = there(pts).select("pt_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), _bin("lat", res).alias("by"), _bin("lon", res).alias("bx"))
-    c = there(cells).select("cell_id", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    Points are keyed by boxes of the cell size, of which a cell's box meets at most four; the rest is `nearest_points`."""
+    p = placed(pts).select("pt_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), _bin("lat", res).alias("by"), _bin("lon", res).alias("bx"))
+    c = placed(cells).select("cell_id", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
     half = res / 2
     own = c.select("*", F.explode(F.array_distinct(F.array(*(F.struct(F.floor((F.col("clat") + dy) / res).cast("int").alias("by"), F.floor((F.col("clon") + dx) / res).cast("int").alias("bx")) for dy in (-half, half) for dx in (-half, half))))).alias("b")).select("cell_id", "clat", "clon", "b.*")
     inside = own.join(p, ["by", "bx"]).filter((F.col("plat") >= F.col("clat") - half) & (F.col("plat") < F.col("clat") + half) & (F.col("plon") >= F.col("clon") - half) & (F.col("plon") < F.col("clon") + half)).select("cell_id", "pt_id", F.lit("in_cell").alias("how"))
     out = stored(inside, "cells-inside")
-    rest = stored(c.join(out.select("cell_id").distinct(), "cell_id", "left_anti"), "cells-open")
-    boxes = stored(p.select("by", "bx").distinct(), "point-boxes")
-    dist = (F.col("plat") - F.col("clat")) ** 2 + (F.col("plon") - F.col("clon")) ** 2
-    k = 1
-    while not (rest.isEmpty() or boxes.isEmpty()):
-        area = lambda x: F.floor(F.col(x) / k).cast("int")  # noqa: E731, B023
-        nine = F.array(*(F.struct((F.floor(F.col("clat") / res / k) + a).cast("int").alias("ay"), (F.floor(F.col("clon") / res / k) + b).cast("int").alias("ax")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-        away = lambda at, low: F.greatest(F.col(low) * res - F.col(at), F.col(at) - (F.col(low) + 1) * res, F.lit(0.0))
-        over = lambda at, low: F.greatest(F.abs(F.col(at) - F.col(low) * res), F.abs(F.col(at) - (F.col(low) + 1) * res))
-        met = rest.select("*", F.inline(nine)).join(boxes.withColumns({"ay": area("by"), "ax": area("bx")}), ["ay", "ax"])
-        met = met.select("cell_id", "clat", "clon", "by", "bx", (away("clat", "by") ** 2 + away("clon", "bx") ** 2).alias("least"), (over("clat", "by") ** 2 + over("clon", "bx") ** 2).alias("most"))
-        bound = met.groupBy("cell_id").agg(F.min("most").alias("bound"))
-        near = met.join(bound, "cell_id").filter(F.col("least") <= F.col("bound") + 1e-9)
-        best = near.join(p, ["by", "bx"]).groupBy("cell_id").agg(F.min(F.struct(dist.alias("d"), F.col("pt_id").alias("pt_id"))).alias("m")).select("cell_id", "m.pt_id", "m.d")
-        sure = stored(best.filter(F.col("d") <= (k * res) ** 2).select("cell_id", "pt_id", F.lit("nearest").alias("how")), "cells-nearest")
-        out = out.unionByName(sure)
-        rest = stored(rest.join(sure.select("cell_id"), "cell_id", "left_anti"), "cells-open")
-        k *= 2
+    rest = placed(cells).join(out.select("cell_id").distinct(), "cell_id", "left_anti")
+    return out.unionByName(nearest_points(rest, pts, res).select("cell_id", "pt_id", F.lit("nearest").alias("how")))
+
+
+def placed(df: DataFrame) -> DataFrame:
+    return df.filter("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)")
+
+
+#: Places that a finest box may hold before boxes get finer, how often they may, and the boxes of a level that are broadcast.
+FULL, FINER, FEW = 32, 12, 10_000
+
+
+def pyramid(pts: DataFrame, res: float) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(places, boxes, rows of each level): the different places of points with their smallest id, and the boxes that hold
+    any: (level, by, bx, south, north, west, east), each level four times as coarse as the one below, up to a few boxes. The sides
+    are those of the places inside, so that each of them touches one. Level 0 has the side `res`, or finer ones where more
+    than FULL places lie in one box."""
+    spots = placed(pts).groupBy(F.col("lat").alias("plat"), F.col("lon").alias("plon")).agg(F.min("pt_id").alias("pt_id"))
+    spots = stored(spots, "places")
+    side = res
+    for finer in range(FINER + 1):
+        at = spots.groupBy(F.floor(F.col("plat") / side).alias("by"), F.floor(F.col("plon") / side).alias("bx")).count()
+        found = at.agg(F.max("count").alias("most"), (F.max("by") - F.min("by")).alias("high"), (F.max("bx") - F.min("bx")).alias("wide")).first()
+        if finer == FINER or (found["most"] or 0) <= FULL:
+            break
+        side /= 4
+    keyed = spots.select("*", F.floor(F.col("plat") / side).alias("by"), F.floor(F.col("plon") / side).alias("bx"))
+    top = 0
+    while max(found["high"] or 0, found["wide"] or 0) >> (2 * top) > 4:
+        top += 1
+    up = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("by", 2 * k).alias("by"), F.shiftright("bx", 2 * k).alias("bx")) for k in range(top + 1)))
+    each = keyed.select(F.inline(up), "plat", "plon")
+    boxes = stored(each.groupBy("level", "by", "bx").agg(F.min("plat").alias("south"), F.max("plat").alias("north"), F.min("plon").alias("west"), F.max("plon").alias("east")), "pyramid")
+    sizes = {r["level"]: r["count"] for r in boxes.groupBy("level").count().collect()}
+    return keyed, boxes, [sizes.get(k, 0) for k in range(top + 1)]
+
+
+def _least(at: str, low: str, high: str) -> Column:
+    return F.greatest(F.col(low) - F.col(at), F.col(at) - F.col(high), F.lit(0.0))
+
+
+def _most() -> Column:
+    """Squared distance within which a box surely holds a point: one lies on its nearer side, at the far end at worst."""
+    near = lambda at, low, high: F.least(F.abs(F.col(at) - F.col(low)), F.abs(F.col(at) - F.col(high)))
+    far = lambda at, low, high: F.greatest(F.abs(F.col(at) - F.col(low)), F.abs(F.col(at) - F.col(high)))
+    y, x = ("clat", "south", "north"), ("clon", "west", "east")
+    return F.least(near(*y) ** 2 + far(*x) ** 2, near(*x) ** 2 + far(*y) ** 2)
+
+
+def descent(cells: DataFrame, boxes: DataFrame, sizes: list[int]) -> list[DataFrame]:
+    """For each level from the top: (cell_id, clat, clon, by, bx), the boxes that may hold the cell's nearest point. A box
+    stays if its least distance is within the smallest distance by which some box surely has a point."""
+    c, by = cells.select("cell_id", F.col("lat").alias("clat"), F.col("lon").alias("clon")).distinct(), ["cell_id", "clat", "clon"]
+    out: list[DataFrame] = []
+    for level in range(len(sizes) - 1, -1, -1):
+        own = boxes.filter(F.col("level") == level).drop("level")
+        own = F.broadcast(own) if sizes[level] <= FEW else own
+        if out:  # up to 16 boxes inside each box of the level above
+            met = out[-1].withColumnsRenamed({"by": "py", "bx": "px"}).join(own.withColumns({"py": F.shiftright("by", 2), "px": F.shiftright("bx", 2)}), ["py", "px"])
+        else:  # the top level has 36 boxes at most, as constants
+            names = ("by", "bx", "south", "north", "west", "east")
+            met = c.select("*", F.inline(F.array(*(F.struct(*(F.lit(r[n]).alias(n) for n in names)) for r in own.collect()))))
+        bound = F.min(_most()).over(Window.partitionBy(*by))
+        met = met.withColumn("bound", bound).filter(_least("clat", "south", "north") ** 2 + _least("clon", "west", "east") ** 2 <= F.col("bound") * (1 + 1e-9) + 1e-15)
+        out.append(met.select(*by, "by", "bx"))
     return out
 
 
+def nearest_points(cells: DataFrame, pts: DataFrame, res: float = 0.25) -> DataFrame:
+    """(cell_id, pt_id, d): the nearest point of each cell's middle and its squared distance, ties to the smaller id; nothing
+    if there are no points. Cells descend a pyramid of boxes and meet the points of the boxes that are left: a few rows a
+    cell, wherever the points are."""
+    spots, boxes, sizes = pyramid(pts, res)
+    if not sizes[0]:
+        return cells.select("cell_id", F.lit(None).cast(pts.schema["pt_id"].dataType).alias("pt_id"), F.lit(None).cast("double").alias("d")).limit(0)
+    met = descent(placed(cells), boxes, sizes)[-1].join(spots, ["by", "bx"])
+    dist = (F.col("plat") - F.col("clat")) ** 2 + (F.col("plon") - F.col("clon")) ** 2
+    return met.groupBy("cell_id").agg(F.min(F.struct(dist.alias("d"), F.col("pt_id").alias("pt_id"))).alias("m")).select("cell_id", "m.pt_id", "m.d")
+
+
 def windows_to_cells(win: DataFrame, mapping: DataFrame, cols: list[str], grid: str = "pt_id") -> DataFrame:
     """Mean of each window's grid values over the points of a cell."""
     return win.join(mapping.select("cell_id", grid), grid).groupBy("cell_id", "window_start", "window_end").agg(*(F.avg(c).alias(c) for c in cols))

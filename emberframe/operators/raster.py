@@ -5,10 +5,12 @@ Neighbourhoods are windows along rows and columns, or equal joins on shifted int
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.operators.graph import components
+from emberframe.sources.shared import stored
 
 EIGHT = tuple((dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc)
 
@@ -108,24 +110,96 @@ def rasterize(pts: DataFrame, grid: dict, cols: list[str], order: str, lat: str
     return keyed.groupBy("row", "col").agg(*(F.max_by(x, F.when(F.col(x).isNotNull(), F.col(order))).alias(x) for x in cols))
 
 
-def dilate(fire: DataFrame, steps: int, height: int, width: int, row: str = "row", col: str = "col") -> DataFrame:
-    """Pixels within `steps` moves along rows and columns of a fire pixel, by columns then rows of a diamond."""
-    diamond = [(a, b) for a in range(-steps, steps + 1) for b in range(abs(a) - steps, steps - abs(a) + 1)]
-    near = fire.select(F.inline(F.array(*(F.struct((F.col(row) + a).alias(row), (F.col(col) + b).alias(col)) for a, b in diamond))))
-    return near.filter(F.col(row).between(0, height - 1) & F.col(col).between(0, width - 1)).distinct()
+def fire_runs(fire: DataFrame, row: str = "row", col: str = "col") -> DataFrame:
+    """(row, first, last): maximal runs of a mask's pixels along the rows. Repeated pixels do no harm."""
+    return merged_runs(fire.select(F.col(row).alias("row"), F.col(col).alias("first"), F.col(col).alias("last")))
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """(row, first, last) with runs of a row that overlap or touch as one."""
+    line = Window.partitionBy("row").orderBy("first")
+    before = F.max("last").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = runs.withColumn("fresh", (before.isNull() | (F.col("first") > before + 1)).cast("int"))
+    numbered = fresh.withColumn("run", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("row", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+
+
+def dilated_runs(runs: DataFrame, steps: int, height: int, width: int) -> DataFrame:
+    """Runs of the pixels within `steps` moves along rows and columns of a run's pixels: each run spreads to 2 * steps + 1 rows,
+    whatever its length."""
+    rows = F.array(*(F.struct((F.col("row") + a).alias("row"), F.greatest(F.col("first") - (steps - abs(a)), F.lit(0)).alias("first"), F.least(F.col("last") + (steps - abs(a)), F.lit(width - 1)).alias("last")) for a in range(-steps, steps + 1)))
+    return merged_runs(runs.select(F.inline(rows)).filter(F.col("row").between(0, height - 1)))
+
+
+def touching_runs(runs: DataFrame, width: int) -> DataFrame:
+    """(a, b): runs of neighbouring rows that share a column, named by their first pixels. Of two such runs, the one that
+    starts later starts within the other, which is the last of its row to start by then: one pass over each pair of rows
+    finds them, with two edges a run at most."""
+    run = F.named_struct(F.lit("name"), F.col("row").cast("long") * width + F.col("first"), F.lit("last"), F.col("last"))
+    pairs = runs.select(F.explode(F.array(F.col("row"), F.col("row") - 1)).alias("upper"), "row", "first", run.alias("run"))
+    so_far = Window.partitionBy("upper").orderBy("first").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    above, below = (F.last(F.when(F.col("row") == F.col("upper") + k, F.col("run")), ignorenulls=True).over(so_far).alias(n) for k, n in ((0, "above"), (1, "below")))
+    met = pairs.select("first", "run", F.when(F.col("row") == F.col("upper"), below).otherwise(above).alias("other"))
+    return met.filter(F.col("other.last") >= F.col("first")).select(F.col("run.name").alias("a"), F.col("other.name").alias("b"))
+
+
+#: Rows of a band, whose runs one task joins: at most BAND * width / 2 of them.
+BAND = 256
+
+
+def _band_roots(runs: pd.DataFrame, width: int) -> pd.DataFrame:
+    """The runs of neighbouring rows with the first pixel of the component that they have among themselves."""
+    runs = runs.sort_values(["row", "first"], ignore_index=True)
+    row, first, last = (runs[c].tolist() for c in ("row", "first", "last"))
+    parent = list(range(len(row)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    above = 0  # the first run of the row above that may reach this one
+    for i in range(len(row)):
+        while row[above] < row[i] - 1 or (row[above] == row[i] - 1 and last[above] < first[i]):
+            above += 1
+        j = above
+        while row[j] == row[i] - 1 and first[j] <= last[i]:
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+            j += 1
+    root = [find(i) for i in range(len(row))]
+    return runs.assign(local=[int(row[k]) * width + int(first[k]) for k in root])[["row", "first", "last", "local"]]
+
+
+def cluster_runs(pix: DataFrame, height: int, width: int, steps: int = 8, fire: str = "fire", row: str = "row", col: str = "col") -> DataFrame:
+    """(row, first, last, root): the dilated fire mask in runs, with the first pixel (row * width + col) of each run's
+    4-connected component. Bands of rows are joined within themselves first, so that only runs on both sides of a border
+    between bands become edges."""
+    runs = dilated_runs(fire_runs(pix.filter(F.col(fire) > 0), row, col), steps, height, width)
+    local = stored(runs.groupBy(F.floor(F.col("row") / BAND).alias("band")).applyInPandas(lambda pdf: _band_roots(pdf[["row", "first", "last"]], width), "row int, first int, last int, local long"), "fire-runs")
+    names = local.select((F.col("row").cast("long") * width + F.col("first")).alias("name"), "local")
+    border = touching_runs(local.filter(F.pmod("row", F.lit(BAND)).isin(0, BAND - 1)), width).filter(F.floor(F.col("a") / width / BAND) != F.floor(F.col("b") / width / BAND))
+    edges = border.join(names.withColumnRenamed("name", "a"), "a").select("b", F.col("local").alias("x")).join(names.withColumnRenamed("name", "b"), "b").select("x", F.col("local").alias("y"))
+    roots = components(edges, "x", "y").withColumnRenamed("node", "local")
+    return local.join(roots, "local", "left").select("row", "first", "last", F.coalesce("root", "local").alias("root"))
+
+
+def label_pixels(pix: DataFrame, runs: DataFrame, row: str = "row", col: str = "col") -> DataFrame:
+    """Adds `root`, the component of the run (row, first, last, root) that holds the pixel, else null."""
+    at = runs.select(F.col("row").alias(row), F.col("first").alias(col), F.struct("last", "root").alias("__run"))
+    line = Window.partitionBy(row).orderBy(col, F.col("__own").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    both = pix.withColumn("__own", F.lit(1)).unionByName(at, allowMissingColumns=True).withColumn("__last", F.last("__run", ignorenulls=True).over(line))
+    return both.filter("__own = 1").withColumn("root", F.when(F.col("__last.last") >= F.col(col), F.col("__last.root"))).drop("__own", "__run", "__last")
 
 
 def fire_clusters(pix: DataFrame, height: int, width: int, steps: int = 8, k: int | None = 3, fire: str = "fire", row: str = "row", col: str = "col") -> DataFrame:
     """The k largest 4-connected components of the dilated fire mask: size and truncated mean row and column. Equal
-    sizes: the one with the smaller first pixel."""
-    mask = dilate(pix.filter(F.col(fire) > 0).select(row, col), steps, height, width, row, col).select((F.col(row).cast("long") * width + F.col(col)).alias("id"), row, col)
-    other = mask.select(F.col("id").alias("b"))
-    right = mask.filter(F.col(col) < width - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    down = mask.select(F.col("id").alias("a"), (F.col("id") + width).alias("b"))
-    roots = components(right.unionByName(down).join(other, "b", "left_semi"))
-    labelled = mask.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sized = labelled.groupBy("root").agg(F.count("*").alias("size"), F.floor(F.avg(row)).cast("int").alias("centre_row"), F.floor(F.avg(col)).cast("int").alias("centre_col"))
-    out = sized.select("size", "centre_row", "centre_col", F.col("root").alias("first_pixel"))
+    sizes: the one with the smaller first pixel. Pixels become runs before anything is dilated or joined."""
+    size = F.col("last") - F.col("first") + 1
+    long = cluster_runs(pix, height, width, steps, fire, row, col).select("root", size.cast("long").alias("n"), (F.col("row") * size.cast("long")).alias("r"), ((F.col("first") + F.col("last")) * size.cast("long") / 2).cast("long").alias("c"))
+    out = long.groupBy(F.col("root").alias("first_pixel")).agg(F.sum("n").alias("size"), F.expr("CAST(sum(r) div sum(n) AS INT)").alias("centre_row"), F.expr("CAST(sum(c) div sum(n) AS INT)").alias("centre_col"))
+    out = out.select("size", "centre_row", "centre_col", "first_pixel")
     return out if k is None else out.orderBy(F.col("size").desc(), "first_pixel").limit(k)
 
 
