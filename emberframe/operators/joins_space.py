@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions import cell_id, snap
@@ -138,35 +140,92 @@ def pick_tile(df: DataFrame, tiles: DataFrame, lat: str = "lat", lon: str = "lon
     return out.withColumn("filename", F.coalesce("by_quadrant", F.get(holds, F.lit(0))["filename"])).drop("by_quadrant", "__tiles", "y_offset", "x_offset")
 
 
-def in_polygon(df: DataFrame, edges: list[tuple[float, float, float, float]], lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Points inside the rings, or on an edge. The edges (x1, y1, x2, y2) of a boundary are few and go into the plan as
-    a constant; the box around them comes first, so that only near points are tested."""
-    if not edges:
+EDGE = ("x1", "y1", "x2", "y2")
+
+
+def edge_table(spark: SparkSession, edges: DataFrame | list[tuple[float, float, float, float]]) -> DataFrame:
+    """Edges (x1, y1, x2, y2) of closed rings as a table."""
+    return edges if isinstance(edges, DataFrame) else spark.createDataFrame([tuple(map(float, e)) for e in edges], ", ".join(f"{c} double" for c in EDGE))
+
+
+def _straddles(e: Column, y: Column) -> Column:
+    return (e["y1"] > y) != (e["y2"] > y)
+
+
+def _cut_at(e: Column, y: Column) -> Column:
+    """Where the line of an edge is at height y."""
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) / F.when(e["y2"] == e["y1"], 1.0).otherwise(e["y2"] - e["y1"]) + e["x1"]
+
+
+def polygon_index(edges: DataFrame) -> tuple[DataFrame, dict | None]:
+    """(cells, grid) of closed rings: the cells (cy, cx, odd, edges) of a square grid that hold anything of the inside. `odd`
+    tells whether the cell's lower right corner is inside, `edges` holds the edges that pass through the cell, null if none
+    does: then all of the cell is like its corner. The grid has about four cells for each edge, a million at most, and its
+    lines lie where no coordinate of a map is likely to be. Without edges, no grid."""
+    e = F.struct(*EDGE)
+    low, high = (lambda a, b: F.least(F.min(a), F.min(b))), (lambda a, b: F.greatest(F.max(a), F.max(b)))
+    box = edges.agg(low("x1", "x2").alias("west"), high("x1", "x2").alias("east"), low("y1", "y2").alias("south"), high("y1", "y2").alias("north"), F.count("*").alias("n")).first()
+    if not box["n"]:
+        return edges.sparkSession.createDataFrame([], "cy int, cx int, odd int, edges array<struct<x1:double,y1:double,x2:double,y2:double>>"), None
+    n = 1
+    while n < min(1000, 2 * box["n"] ** 0.5):
+        n *= 2
+    step = max(box["east"] - box["west"], box["north"] - box["south"], 1e-9) / n
+    g = {"x0": box["west"] - step * 0.3819660112501051, "y0": box["south"] - step * 0.2360679774997898, "step": step, "n": n + 2, **{k: box[k] for k in ("west", "east", "south", "north")}}
+    of = lambda x, at, slack=0.0: F.floor((x - g[at]) / step + slack).cast("int")
+    rows = edges.select(*EDGE, e.alias("e"), F.explode(F.sequence(of(F.least("y1", "y2"), "y0", -1e-6), of(F.greatest("y1", "y2"), "y0", 1e-6))).alias("cy"))
+    floor = F.col("cy") * step + g["y0"]
+    inside = lambda y: F.least(F.greatest(y, F.least("y1", "y2")), F.greatest("y1", "y2"))
+    cut = lambda y: F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(_cut_at(F.col("e"), inside(y)))
+    other = lambda y: F.when(F.col("y1") == F.col("y2"), F.col("x2")).otherwise(_cut_at(F.col("e"), inside(y)))
+    span = rows.withColumns({"__a": cut(floor - step * 1e-6), "__b": other(floor + step * (1 + 1e-6))})
+    met = span.select("e", "cy", F.explode(F.sequence(of(F.least("__a", "__b"), "x0", -1e-6), of(F.greatest("__a", "__b"), "x0", 1e-6))).alias("cx"))
+    held = met.groupBy("cy", "cx").agg(F.collect_list("e").alias("edges"))
+    crossed = rows.filter(_straddles(F.col("e"), floor)).select("cy", (F.ceil((_cut_at(F.col("e"), floor) - g["x0"]) / step) - 2).cast("int").alias("cx")).groupBy("cy", "cx").agg(F.count("*").alias("k"))
+    grid = edges.sparkSession.range(g["n"] * g["n"]).select(F.floor(F.col("id") / g["n"]).cast("int").alias("cy"), (F.col("id") % g["n"]).cast("int").alias("cx"))
+    right = Window.partitionBy("cy").orderBy(F.col("cx").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    odd = grid.join(crossed, ["cy", "cx"], "left").withColumn("odd", (F.coalesce(F.sum("k").over(right), F.lit(0)) % 2).cast("int")).drop("k")
+    return odd.join(held, ["cy", "cx"], "left").filter("odd = 1 OR edges IS NOT NULL"), g
+
+
+def in_polygon(df: DataFrame, edges: DataFrame | list[tuple[float, float, float, float]], lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Points inside the rings, or on an edge. Points meet the cell of the polygon's index that holds them: they take over
+    what is known of its corner, and change it by the edges of the cell that lie between: those that cross the way from
+    the corner up to the point's height, and from there to the point. Points in cells without edges test none."""
+    cells, g = polygon_index(edge_table(df.sparkSession, edges))
+    if g is None:
         return df.filter("false")
     x, y = F.col(lon), F.col(lat)
-    xs, ys = [e[i] for e in edges for i in (0, 2)], [e[i] for e in edges for i in (1, 3)]
-    table = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), e, strict=True))) for e in edges))
+    near = df.filter(x.between(g["west"], g["east"]) & y.between(g["south"], g["north"]))
+    keyed = near.withColumns({"__cy": F.floor((y - g["y0"]) / g["step"]).cast("int"), "__cx": F.floor((x - g["x0"]) / g["step"]).cast("int")})
+    met = keyed.join(cells.select(F.col("cy").alias("__cy"), F.col("cx").alias("__cx"), F.col("odd").alias("__odd"), F.col("edges").alias("__edges")), ["__cy", "__cx"])
+    right, floor = (F.col("__cx") + 1) * g["step"] + g["x0"], F.col("__cy") * g["step"] + g["y0"]
+
+    def across(e: Column) -> Column:
+        at = _cut_at(e, y)
+        return _straddles(e, y) & (x < at) & ~(right < at)
 
-    def crosses(e: Column) -> Column:
-        return ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.when(e["y2"] == e["y1"], 1.0).otherwise(e["y2"] - e["y1"]) + e["x1"])
+    def up(e: Column) -> Column:
+        at = (e["y2"] - e["y1"]) * (right - e["x1"]) / F.when(e["x2"] == e["x1"], 1.0).otherwise(e["x2"] - e["x1"]) + e["y1"]
+        return ((e["x1"] > right) != (e["x2"] > right)) & (floor < at) & (at <= y)
 
     def on(e: Column) -> Column:
         cross = (x - e["x1"]) * (e["y2"] - e["y1"]) - (y - e["y1"]) * (e["x2"] - e["x1"])
         return (F.abs(cross) < 1e-12) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
 
-    near = df.filter(x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)))
-    return near.filter((F.size(F.filter(table, crosses)) % 2 == 1) | F.exists(table, on))
+    times = F.col("__odd") + F.size(F.filter("__edges", across)) + F.size(F.filter("__edges", up))
+    inside = F.when(F.col("__edges").isNull(), F.col("__odd") == 1).otherwise((times % 2 == 1) | F.exists("__edges", on))
+    return met.filter(inside).select(*df.columns)
 
 
-def make_cells(spark, edges: list[tuple[float, float, float, float]], res: float = 0.25) -> DataFrame:
+def make_cells(spark: SparkSession, edges: DataFrame | list[tuple[float, float, float, float]], res: float = 0.25) -> DataFrame:
     """Grid cells whose centres lie inside the boundary."""
-    import math
-
-    xs, ys = [e[i] for e in edges for i in (0, 2)], [e[i] for e in edges for i in (1, 3)]
-    x0, y0 = math.floor(min(xs) / res), math.floor(min(ys) / res)
-    nx, ny = math.ceil(max(xs) / res) - x0 + 1, math.ceil(max(ys) / res) - y0 + 1
+    table = edge_table(spark, edges)
+    box = table.select(F.least("x1", "x2").alias("x"), F.least("y1", "y2").alias("y"), F.greatest("x1", "x2").alias("x_"), F.greatest("y1", "y2").alias("y_")).agg(F.min("x"), F.min("y"), F.max("x_"), F.max("y_")).first()
+    x0, y0 = math.floor(box[0] / res), math.floor(box[1] / res)
+    nx, ny = math.ceil(box[2] / res) - x0 + 1, math.ceil(box[3] / res) - y0 + 1
     grid = spark.range(nx * ny).select(((F.col("id") % nx + x0) * res).alias("lon"), ((F.floor(F.col("id") / nx) + y0) * res).alias("lat"))
-    return in_polygon(grid, edges).select(cell_id(F.col("lat"), F.col("lon")).alias("cell_id"), "lat", "lon")
+    return in_polygon(grid, table).select(cell_id(F.col("lat"), F.col("lon")).alias("cell_id"), "lat", "lon")
 
 
 def density(df: DataFrame, step: float, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -64,21 +64,23 @@ def read_daily(spark: SparkSession, path: str, start: str, end: str, warm_up: in
     return spark.read.parquet(path).filter(near & F.col(day).between(first, last))
 
 
-def read_boundary(spark: SparkSession, path: str) -> list[tuple[float, float, float, float]]:
-    """Edges of the outer rings of a GeoJSON boundary, which is small."""
-    import json
-
-    text = spark.read.text(path, wholetext=True).first()[0]
-    return boundary_edges(json.loads(text))
-
-
-def boundary_edges(geo: dict) -> list[tuple[float, float, float, float]]:
-    """Edges of the outer rings of a Feature, a FeatureCollection or a geometry."""
-    if geo["type"] == "FeatureCollection":
-        return [e for f in geo["features"] for e in boundary_edges(f)]
-    g = geo.get("geometry", geo)
-    polygons = [g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"]
-    return [(*a[:2], *b[:2]) for p in polygons for a, b in zip(p[0], p[0][1:], strict=False)]
+def read_boundary(spark: SparkSession, path: str) -> DataFrame:
+    """(x1, y1, x2, y2): edges of the outer rings of a GeoJSON boundary (Feature, FeatureCollection or geometry)."""
+    return boundary_edges(spark.read.text(path, wholetext=True))
+
+
+def boundary_edges(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Edges of the outer rings of GeoJSON texts, one a row."""
+    shape = "struct<type:string,coordinates:string>"
+    doc = F.from_json(text, f"struct<type:string,coordinates:string,geometry:{shape},features:array<struct<geometry:{shape}>>>")
+    own = F.when(doc["type"] == "FeatureCollection", F.transform(doc["features"], lambda f: f["geometry"])).when(doc["type"] == "Feature", F.array(doc["geometry"]))
+    geometry = F.explode(F.coalesce(own, F.array(F.struct(doc["type"].alias("type"), doc["coordinates"].alias("coordinates")))))
+    rings = "array<array<array<double>>>"
+    g = texts.select(geometry.alias("g"))
+    one, many = F.from_json("g.coordinates", rings), F.from_json("g.coordinates", f"array<{rings}>")
+    ring = g.select(F.explode(F.when(F.col("g.type") == "Polygon", F.array(one)).when(F.col("g.type") == "MultiPolygon", many)).alias("p")).select(F.col("p")[0].alias("r")).filter("size(r) > 1")
+    edge = F.transform(F.sequence(F.lit(1), F.size("r") - 1), lambda i: F.struct(*(F.get(F.get("r", i - 1 + k), F.lit(j)).alias(f"{'xy'[j]}{k + 1}") for k in (0, 1) for j in (0, 1))))
+    return ring.select(F.inline(edge))
 
 
 def read_perimeters(spark: SparkSession, path: str) -> DataFrame:

@@ -33,44 +33,72 @@ def daily_stream(obs: DataFrame, value: str = "value", late: str = "2 days", tim
     return out.select(F.to_date("w.start").alias("window_start"), F.to_date("w.end").alias("window_end"), "cell_id", "mean", "max", "min", "sum", "n")
 
 
-PIECE = 10_000
+#: Rows given out at a time, and microseconds of event time whose waiting readings one state entry holds.
+PIECE, BUCKET = 10_000, 7 * 86_400_000_000
+READING = np.dtype([("us", "<i8"), ("event", "<i8"), ("value", "<f8")])
 
 
 class LastReading(StatefulProcessor):
-    """Gives each reading the cell's last known value at its time; the state is the latest known value and its time. A
-    reading before that time takes values of its own batch only, as older ones are not kept; it never sets the state back.
-    A cell's readings of one batch are held as plain numbers (24 bytes each) and given out in pieces of PIECE."""
+    """Gives each reading the cell's last known value at its time, as the batch operator does, however readings are dealt to
+    batches. Readings wait in map state, by the week of their event time, until the watermark has passed them; then they are
+    given out in order of time and id. No reading can come any more that belongs before them, so the only other state is the
+    last known value. A cell has one timer, at its earliest waiting reading; what it gives out leaves the state. Input
+    is taken by its chunks, and output made week by week."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "value double, at timestamp")
+        self.handle = handle
+        self.last = handle.getValueState("last", "value double")
+        self.waiting = handle.getMapState("waiting", "bucket long", "readings binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [(x["ts"].to_numpy("datetime64[us]"), x["event_id"].to_numpy(np.int64), x["value"].to_numpy(float, na_value=np.nan)) for x in rows]
-        ts, event, value = (np.concatenate(x) for x in zip(*held))
-        del held
-        order = np.lexsort((event, ts))
-        ts, event, value = ts[order], event[order], value[order]
-        known = np.maximum.accumulate(np.where(np.isnan(value), -1, np.arange(len(value))))
-        filled = np.where(known >= 0, value[known], np.nan)
-        if self.last.exists():
-            before, at = self.last.get()
-            at = np.datetime64(at, "us")
-            since = ts[known] if len(ts) else ts
-            filled = np.where((ts >= at) & ((known < 0) | (since < at)), before, filled)
-        if len(known) and known[-1] >= 0 and (not self.last.exists() or ts[known[-1]] >= at):
-            self.last.update((float(value[known[-1]]), pd.Timestamp(ts[known[-1]]).to_pydatetime()))
-        for i in range(0, len(ts), PIECE):
-            own = slice(i, i + PIECE)
-            yield pd.DataFrame({"event_id": event[own], "cell_id": key[0], "ts": ts[own], "carried": filled[own]})
+        earliest = None
+        for x in rows:
+            own = np.empty(len(x), READING)
+            own["us"], own["event"], own["value"] = x["us"], x["event_id"], x["value"].to_numpy(float, na_value=np.nan)
+            bucket = own["us"] // BUCKET
+            for b in np.unique(bucket).tolist():
+                before = bytes(self.waiting.getValue((b,))[0]) if self.waiting.containsKey((b,)) else b""
+                self.waiting.updateValue((b,), (before + own[bucket == b].tobytes(),))
+            earliest = min(int(own["us"].min()), earliest if earliest is not None else np.iinfo(np.int64).max)
+        if earliest is not None:
+            self.handle.registerTimer(earliest // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000 + 999  # watermarks are whole milliseconds
+        known = self.last.get()[0] if self.last.exists() else np.nan
+        for b in sorted(k[0] for k in list(self.waiting.keys())):
+            if b * BUCKET > now:
+                self.handle.registerTimer(b * BUCKET // 1000)  # no reading of the week is earlier
+                break
+            own = np.frombuffer(bytes(self.waiting.getValue((b,))[0]), READING)
+            ready, rest = np.sort(own[own["us"] <= now], order=("us", "event")), own[own["us"] > now]
+            at = np.maximum.accumulate(np.where(np.isnan(ready["value"]), -1, np.arange(len(ready))))
+            carried = np.where(at >= 0, ready["value"][at], known)
+            if len(carried):
+                known = float(carried[-1])
+            for i in range(0, len(ready), PIECE):
+                part = slice(i, i + PIECE)
+                yield pd.DataFrame({"event_id": ready["event"][part], "cell_id": key[0], "us": ready["us"][part], "carried": carried[part]})
+            if len(rest):
+                self.waiting.updateValue((b,), (rest.tobytes(),))
+                self.handle.registerTimer(int(rest["us"].min()) // 1000)
+                break
+            self.waiting.removeKey((b,))
+        if not np.isnan(known):
+            self.last.update((known,))
 
     def close(self) -> None:
         pass
 
 
-def carry_forward_stream(readings: DataFrame) -> DataFrame:
-    """(event_id, cell_id, ts, carried) for readings (event_id, cell_id, ts, value). Needs the RocksDB state store."""
-    keyed = timed(readings).select("event_id", "cell_id", "ts", "value").groupBy("cell_id")
-    return keyed.transformWithStateInPandas(LastReading(), "event_id long, cell_id long, ts timestamp, carried double", "append", "None")
+def carry_forward_stream(readings: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """(event_id, cell_id, ts, carried) for readings (event_id, cell_id, ts, value). A reading is given out once the watermark,
+    `late` behind the latest time seen (in whole milliseconds), has reached it, and equals the batch operator's row; one that
+    comes after that is left out, as are readings without a time. Needs the RocksDB state store."""
+    keyed = timed(readings).filter("ts IS NOT NULL").withWatermark("ts", late).select("event_id", "cell_id", "ts", F.unix_micros("ts").alias("us"), "value").groupBy("cell_id")
+    out = keyed.transformWithStateInPandas(LastReading(), "event_id long, cell_id long, us long, carried double", "append", "EventTime")
+    return out.select("event_id", "cell_id", F.timestamp_micros("us").alias("ts"), F.when(~F.isnan("carried"), F.col("carried")).alias("carried"))
 
 
 def alerts_sink(path: str, k: int = 25, day: str = "label_date") -> Callable[[DataFrame, int], None]:

@@ -1,5 +1,6 @@
 """Hand cases for the traps: ties, gaps, NaN, edges, empty splits; and checks of plans."""
 
+import json
 from datetime import date
 
 import pytest
@@ -100,7 +101,8 @@ def test_polygon_takes_edges_and_corners(spark):
     assert {r["pt_id"] for r in joins_space.in_polygon(pts, square).collect()} == {1, 2, 3}
     assert joins_space.in_polygon(pts, []).count() == 0
     geo = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [2, 1], [1, 1]]]}}]}
-    assert tables.boundary_edges(geo) == [(0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 4), (0, 4, 0, 0)]
+    text = spark.createDataFrame([(json.dumps(geo),)], "value string")
+    assert [tuple(r) for r in tables.boundary_edges(text).collect()] == [(0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 4), (0, 4, 0, 0)]
 
 
 def test_interval_that_ends_before_it_starts(spark):

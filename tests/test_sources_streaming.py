@@ -10,7 +10,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from emberframe.operators import labels
+from emberframe.operators import labels, weather
 from emberframe.plans.views import view
 from emberframe.sources import tables
 from emberframe.streaming import jobs
@@ -39,7 +39,12 @@ def test_perimeter_file(spark, tmp_path):
 
 def test_boundary_file(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [0, 0]]], [[[5, 5], [6, 5], [5, 5]]]]}}))
-    assert len(tables.read_boundary(spark, str(tmp_path / "b.json"))) == 4
+    edges = tables.read_boundary(spark, str(tmp_path / "b.json"))
+    assert sorted(tuple(r) for r in edges.collect()) == [(0, 0, 1, 0), (1, 0, 0, 0), (5, 5, 6, 5), (6, 5, 5, 5)]
+    ring = [[0, 0, 9], [4, 0, 9], [4, 4, 9], [0, 0, 9]]
+    for geo in ({"type": "Polygon", "coordinates": [ring, [[1, 0.5], [2, 0.5], [2, 1], [1, 0.5]]]}, {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [ring]}}]}):
+        (tmp_path / "c.json").write_text(json.dumps(geo, indent=1))
+        assert sorted(tuple(r) for r in tables.read_boundary(spark, str(tmp_path / "c.json")).collect()) == [(0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 0)]
 
 
 def test_audit(spark, tmp_path):
@@ -118,19 +123,40 @@ def test_audit_names_and_sizes(spark, tmp_path, monkeypatch):
     assert ask()["k=1/part.csv"] == "oversize" and ask()["k=2/part.csv"] == "verified"
 
 
-def test_carry_stream_over_batches_with_late_rows(spark, tmp_path, monkeypatch):
-    """Readings in time order carry as in one batch; a late one neither takes a later value nor sets the state back."""
+@pytest.mark.parametrize(("seed", "parts"), [(1, 1), (2, 4), (3, 7)])
+def test_carry_stream_equals_batch_for_any_batches(spark, tmp_path, monkeypatch, seed, parts):
+    """Readings dealt to batches out of order, but never later than the bound: the same rows as the batch operator's, each
+    once, and nothing but the last values left in wait when the watermark has passed all."""
+    import random
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    monkeypatch.setattr(jobs, "PIECE", 3)
+    rng = random.Random(seed)
+    minutes = sorted(rng.randrange(3000) for _ in range(240))
+    rows = [(i, rng.choice([7, 7, 7, 8, 9]), m, None if rng.random() < 0.4 else round(rng.random(), 3)) for i, m in enumerate(minutes)]
+    held = sorted(rows, key=lambda r: r[2] + rng.randrange(110))  # up to 110 minutes late
+    cuts = [0, *sorted(rng.sample(range(1, len(held)), parts - 1)), len(held)]
+    batches = [held[a:b] for a, b in zip(cuts, cuts[1:])] + [[(1000 + k, k, 99_999, None) for k in (7, 8, 9)], [(2000, 7, 200_000, None)]]
+    schema = "event_id long, cell_id long, minute long, value double"
+    timed = lambda df: df.selectExpr("event_id", "cell_id", "timestamp_seconds(1704067200 + 60 * minute) as ts", "value")
+    for i, own in enumerate(batches):
+        timed(spark.createDataFrame(own, schema)).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+        src = spark.readStream.schema("event_id long, cell_id long, ts timestamp, value double").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        jobs.run_available(jobs.carry_forward_stream(src, "2 hours"), str(tmp_path / "out"), str(tmp_path / "check"))
+    batch = weather.carry_forward(timed(spark.createDataFrame(rows, schema)).withColumn("at", F.struct("ts", "event_id")), "cell_id", "at", "value", "carried")
+    want = sorted((r["event_id"], r["cell_id"], r["ts"], r["carried"]) for r in batch.collect())
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [g for g in got if g[0] < 1000] == want
+    assert {g[0] for g in got} == {r[0] for own in batches[:-1] for r in own}
+
+
+def test_carry_stream_drops_what_is_too_late(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    monkeypatch.setattr(jobs, "PIECE", 2)
     t = lambda h: f"2024-01-01 {h:02d}:00:00"
-    batches = [
-        [(1, 7, t(1), 1.0), (2, 7, t(3), None), (3, 7, t(4), 4.0), (4, 8, t(2), None)],
-        [(5, 7, t(2), None), (6, 7, t(3), 3.0), (7, 7, t(3), None), (8, 7, t(5), None), (9, 8, t(3), 9.0)],
-        [(10, 7, t(6), None), (11, 8, t(2), None), (12, 8, t(4), None), (13, 7, t(7), 7.0), (14, 7, t(8), None)],
-    ]
+    batches = [[(1, 7, t(1), 1.0), (2, 7, t(3), None), (3, 8, t(3), None)], [(4, 7, t(2), 5.0), (5, 7, t(4), None), (6, 7, None, 3.0)], [(7, 7, t(4), 9.0), (8, 7, t(5), None)]]
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, "event_id long, cell_id long, ts string, value double").selectExpr("event_id", "cell_id", "cast(ts as timestamp_ntz) as ts", "value").write.parquet(str(tmp_path / "in" / str(i)))
         src = spark.readStream.schema("event_id long, cell_id long, ts timestamp_ntz, value double").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
         jobs.run_available(jobs.carry_forward_stream(src), str(tmp_path / "out"), str(tmp_path / "check"))
     got = {r["event_id"]: r["carried"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: 1.0, 2: 1.0, 3: 4.0, 4: None, 5: None, 6: 3.0, 7: 3.0, 8: 4.0, 9: 9.0, 10: 4.0, 11: None, 12: 9.0, 13: 7.0, 14: 7.0}
+    assert got == {1: 1.0, 2: 1.0, 3: None, 5: 1.0, 8: 1.0}

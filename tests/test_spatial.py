@@ -1,5 +1,6 @@
 """Nearest points by a pyramid of boxes, clusters by runs: brute force on small grids, and how much they compare."""
 
+import math
 import random
 
 import pytest
@@ -82,3 +83,49 @@ def test_clusters_of_a_dense_mask_have_few_edges(spark):
     assert raster.touching_runs(runs, 512).count() <= 0.5 * pixels
     assert raster.fire_clusters(pix, 600, 512, 8, None).collect() == raster.fire_clusters(pix, 600, 512, 9, None).collect()
     assert raster.fire_clusters(pix.filter("fire = 2"), 600, 512).count() == 0
+
+
+def slow_inside(x, y, edges):
+    odd = False
+    for x1, y1, x2, y2 in edges:
+        if abs((x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)) < 1e-12 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+            return True
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            odd = not odd
+    return odd
+
+
+def ring(*corners):
+    return [(*a, *b) for a, b in zip(corners, (*corners[1:], corners[0]))]
+
+
+def test_polygon_equals_crossing_parity(spark):
+    rng = random.Random(9)
+    star = []
+    for k in range(400):
+        r, a = 3 + rng.random() * 2, k * 6.283185307179586 / 400
+        star.append((round(r * math.cos(a), 4), round(r * math.sin(a), 4)))
+    shapes = {
+        "star": ring(*star),
+        "square with a hole": ring((0, 0), (8, 0), (8, 8), (0, 8)) + ring((2, 2), (6, 2), (6, 6), (2, 6)),
+        "comb": ring(*((x, y) for k in range(40) for x, y in ((k / 5 - 4, -4), (k / 5 - 4, 4), (k / 5 - 3.9, 4), (k / 5 - 3.9, -3.99))), (4, -4)),
+        "two far ones": ring((-5, -5), (-4, -5), (-4.5, -4)) + ring((5, 5), (5.5, 5), (5.25, 5.25)),
+        "needle": ring((-5, 0), (5, 1e-6), (5, -1e-6)),
+    }
+    pts = [(i, rng.uniform(-6, 9), rng.uniform(-6, 9)) for i in range(800)]
+    pts += [(1000 + i, float(rng.randrange(-5, 9)), float(rng.randrange(-5, 9))) for i in range(300)]  # on corners and edges
+    pts += [(2000 + i, star[i][1], star[i][0] - 0.5) for i in range(100)] + [(3000, None, 1.0), (3001, 1.0, None)]  # at a corner's height
+    df = spark.createDataFrame(pts, "pt_id long, lat double, lon double")
+    for name, edges in shapes.items():
+        want = {i for i, y, x in pts if x is not None and y is not None and slow_inside(x, y, edges)}
+        assert {r["pt_id"] for r in joins_space.in_polygon(df, edges).collect()} == want, name
+
+
+def test_a_cell_of_a_long_boundary_holds_few_edges(spark):
+    n = 50_000
+    a = F.col("id") * (2 * math.pi / n)
+    at = lambda k, f: ((5 + 2 * F.sin(7 * (a + k * 2 * math.pi / n)) + F.sin(300 * (a + k * 2 * math.pi / n)) / 9) * f(a + k * 2 * math.pi / n))
+    edges = spark.range(n).select(at(0, F.cos).alias("x1"), at(0, F.sin).alias("y1"), at(1, F.cos).alias("x2"), at(1, F.sin).alias("y2"))
+    cells, grid = joins_space.polygon_index(edges)
+    size = cells.agg(F.max(F.size("edges")), F.avg(F.size("edges")), F.count("*")).first()
+    assert size[0] < 300 and size[1] < 50 and size[2] < grid["n"] ** 2 <= 1030**2
