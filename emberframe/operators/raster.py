@@ -5,6 +5,8 @@ Neighbourhoods are windows along rows and columns, or equal joins on shifted int
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,9 +14,6 @@ from pyspark.sql import functions as F
 from emberframe.operators.graph import components
 from emberframe.sources.shared import stored
 
-EIGHT = tuple((dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc)
-
-
 def _gradient(value: str, along: str, across: list[str], step: float) -> Column:
     """Central difference, one-sided at the ends of the line; null if a neighbour that is used is missing."""
     w = Window.partitionBy(*across).orderBy(along)
@@ -45,17 +44,35 @@ def hillshade(pix: DataFrame, dx: float, dy: float, azimuth: float = 315.0, alti
     return g.withColumn("hillshade", F.when(F.col(value).isNotNull() & shade.isNotNull(), F.greatest(F.least(shade * 255.0, F.lit(255.0)), F.lit(0.0)))).drop("dz_dx", "dz_dy")
 
 
+def _beside(value: str, along: str, across: str, step: int, size: int | None) -> Column:
+    """The value of the pixel one step further along a line, null if there is none; with a size, lines are closed."""
+    line = Window.partitionBy(across).orderBy(along)
+    ends = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pixel = F.struct(F.col(along).alias("at"), F.col(value).alias("v"))
+    next_one, first = (F.lead, F.first) if step > 0 else (F.lag, F.last)
+    found = next_one(pixel).over(line)
+    want = F.col(along) + step
+    if size is not None:
+        found, want = F.coalesce(found, first(pixel).over(ends)), F.pmod(want, F.lit(size))
+    return F.when(found["at"] == want, found["v"])
+
+
 def tri(pix: DataFrame, height: int, width: int, edge: str = "wrap", value: str = "value", row: str = "row", col: str = "col") -> DataFrame:
     """Root mean square difference to the eight neighbours. edge='wrap' joins opposite edges and takes missing as 0;
-    edge='drop' leaves out neighbours that are missing or outside."""
-    v = F.coalesce(value, F.lit(0.0)) if edge == "wrap" else F.col(value)
-    shifted = pix.select(F.explode(F.array(*(F.struct((F.col(row) + a).alias("r"), (F.col(col) + b).alias("c")) for a, b in EIGHT))).alias("k"), v.alias("__n"))
-    r, c = F.col("k.r"), F.col("k.c")
-    keyed = shifted.select((F.pmod(r, F.lit(height)) if edge == "wrap" else r).cast("int").alias(row), (F.pmod(c, F.lit(width)) if edge == "wrap" else c).cast("int").alias(col), "__n")
-    own = pix.filter(F.col(value).isNotNull())
-    square = (F.col(value) - F.col("__n")) ** 2
-    rms = F.sqrt(F.sum(square) / 8.0) if edge == "wrap" else F.sqrt(F.avg(square))
-    return own.join(keyed, [row, col], "left").groupBy(row, col).agg(rms.alias("tri"))
+    edge='drop' leaves out neighbours that are missing or outside. A pixel that the table doesn't hold is missing. Pixels get
+    their neighbours of the row by one window, and those of the rows above and below, with their neighbours, by another:
+    each is shuffled a few times, not eight."""
+    wrap = edge == "wrap"
+    grid = pix.sparkSession.range(height * width).select(F.floor(F.col("id") / width).cast(pix.schema[row].dataType).alias(row), (F.col("id") % width).cast(pix.schema[col].dataType).alias(col))
+    own = grid.join(pix.select(row, col, value), [row, col], "left").select(row, col, F.col(value).alias("__v"), (F.coalesce(value, F.lit(0.0)) if wrap else F.col(value)).alias("__n"))
+    near = own.withColumns({"__a": _beside("__n", col, row, -1, width if wrap else None), "__b": _beside("__n", col, row, 1, width if wrap else None)})
+    three = near.withColumn("__three", F.array("__a", "__n", "__b")).select(row, col, "__v", "__a", "__b", "__three")
+    tall = three.withColumns({"__up": _beside("__three", row, col, -1, height if wrap else None), "__down": _beside("__three", row, col, 1, height if wrap else None)})
+    none = F.array().cast("array<double>")
+    eight = F.filter(F.concat(F.coalesce("__up", none), F.array("__a", "__b"), F.coalesce("__down", none)), lambda x: x.isNotNull())
+    total = F.aggregate(eight, F.lit(0.0), lambda s, x: s + (F.col("__v") - x) ** 2)
+    rms = F.sqrt(total / 8.0) if wrap else F.sqrt(F.try_divide(total, F.size(eight).cast("double")))
+    return tall.filter("__v IS NOT NULL").select(row, col, rms.alias("tri"))
 
 
 def tpi(pix: DataFrame, radius: int = 1, value: str = "value", by: tuple[str, ...] = (), row: str = "row", col: str = "col") -> DataFrame:
@@ -203,22 +220,33 @@ def fire_clusters(pix: DataFrame, height: int, width: int, steps: int = 8, k: in
     return out if k is None else out.orderBy(F.col("size").desc(), "first_pixel").limit(k)
 
 
+def _spread(runs: DataFrame, reach: dict[int, tuple[int, int]]) -> DataFrame:
+    """Runs spread to other rows: for each offset of the row, the columns that are added before and after."""
+    rows = F.array(*(F.struct((F.col("row") + k).alias("row"), (F.col("first") - a).alias("first"), (F.col("last") + b).alias("last")) for k, (a, b) in reach.items()))
+    return merged_runs(runs.select(F.inline(rows)))
+
+
 def background(cands: DataFrame, fire: DataFrame, centres: DataFrame, min_dist: float = 32.0, size: int = 64, n: int = 1, seed: int = 42) -> DataFrame:
     """Candidate origins (top, left) whose square has no fire pixel and whose middle is at least min_dist from every
-    centre (centre_row, centre_col); the first n by hash. If none is far enough, the first without fire."""
+    centre (centre_row, centre_col); the first n by hash. If none is far enough, the first without fire.
+
+    The origins whose square meets a run of fire are runs themselves: they are spread along the row first, after which they are at least
+    `size` long, and then to `size` rows, so there are about as many as origins even if everything burns. Around
+    centres, runs are spread to the rows of a disk. A candidate looks up the last run of its row that starts at or before it."""
     from emberframe.functions import hash_int
 
-    step = max(size, int(min_dist))
-    b = lambda x: F.floor(x / step).cast("int")
-    blocks = F.array_distinct(F.array(*(F.struct(b(F.col("top") + a).alias("br"), b(F.col("left") + c).alias("bc")) for a in (0, size - 1) for c in (0, size - 1))))
-    f = fire.select("row", "col", b(F.col("row")).alias("br"), b(F.col("col")).alias("bc"))
-    burnt = cands.select("top", "left", F.inline(blocks)).join(f, ["br", "bc"]).filter(F.col("row").between(F.col("top"), F.col("top") + size - 1) & F.col("col").between(F.col("left"), F.col("left") + size - 1)).select("top", "left").distinct()
-    clean = cands.join(burnt, ["top", "left"], "left_anti")
-    mr, mc = F.col("top") + size // 2, F.col("left") + size // 2
-    around = F.array(*(F.struct((b(mr) + a).alias("br"), (b(mc) + c).alias("bc")) for a in (-1, 0, 1) for c in (-1, 0, 1)))
-    keyed = centres.select("centre_row", "centre_col", b(F.col("centre_row")).alias("br"), b(F.col("centre_col")).alias("bc"))
-    close = clean.select("top", "left", F.inline(around)).join(keyed, ["br", "bc"]).filter(F.hypot(mr - F.col("centre_row"), mc - F.col("centre_col")) < min_dist).select("top", "left", F.lit(1).alias("near")).distinct()
-    ranked = clean.join(close, ["top", "left"], "left").orderBy(F.coalesce("near", F.lit(0)), hash_int(F.col("top"), F.col("left"), seed=seed), "top", "left")
+    wide = _spread(fire_runs(fire), {0: (size - 1, 0)})
+    burnt = _spread(wide, {-k: (0, 0) for k in range(size)}).withColumn("root", F.lit(1))
+    clean = label_pixels(cands, burnt, "top", "left").filter("root IS NULL").drop("root")
+    disk, far = {}, math.ceil(min_dist)
+    for k in range(-far, far + 1):
+        width = max((x for x in range(far + 1) if math.sqrt(k * k + x * x) < min_dist), default=None)
+        if width is not None:
+            disk[k] = (width, width)
+    middle = clean.withColumns({"__r": F.col("top") + size // 2, "__c": F.col("left") + size // 2})
+    around = fire_runs(centres, "centre_row", "centre_col")
+    near = label_pixels(middle, _spread(around, disk).withColumn("root", F.lit(1)), "__r", "__c") if disk else middle.withColumn("root", F.lit(None))
+    ranked = near.orderBy(F.when(F.col("root").isNull(), 0).otherwise(1), hash_int(F.col("top"), F.col("left"), seed=seed), "top", "left")
     return ranked.limit(n).select("top", "left")
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import math
+import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Bytes of the largest file whose content one row can hold.
-WHOLE = (1 << 31) - (1 << 20)
+#: Bytes of the largest file whose content one row can hold, and of the pieces in which larger ones are read.
+WHOLE, PIECE = (1 << 31) - (1 << 20), 1 << 20
 
 
 def read_feature_windows(spark: SparkSession, path: str, values: list[str], years: list[int] | None = None, months: list[int] | None = None, keys: tuple[str, ...] = ("grid_id", "latitude", "longitude")) -> DataFrame:
@@ -127,24 +132,40 @@ def file_name(path: str = "path", depth: int = 1) -> Column:
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - depth + 1, F.lit(1)), F.lit(depth)), "/")
 
 
+def streamed_md5(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, __md5): base64 md5 of whole files, read by pieces. Takes what Arrow's file systems open: local, hdfs, s3, gs."""
+    from pyarrow import fs
+
+    for pdf in batches:
+        for path in pdf["path"]:
+            local = re.sub("^file:/+", "/", path)
+            system, at = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+            digest = hashlib.md5()
+            with system.open_input_stream(at) as f:
+                while piece := f.read(PIECE):
+                    digest.update(piece)
+            yield pd.DataFrame({"path": [path], "__md5": [base64.b64encode(digest.digest()).decode()]})
+
+
 def audit_files(spark: SparkSession, path: str, manifest: DataFrame, depth: int = 1) -> DataFrame:
-    """(name, status): verified, mismatched (size or md5), missing, unlisted, or oversize. manifest: name, size, md5 (base64);
-    names are the last `depth` elements of a path, one row each.
+    """(name, status): verified, mismatched (size or md5), missing or unlisted. manifest: name, size, md5 (base64); names are
+    the last `depth` elements of a path, one row each.
 
-    Sizes come from the listing. Only files with a matching size and an md5 to compare are opened, and none of over
-    WHOLE bytes, which no row could hold: such a file with an md5 and a matching size is told as oversize."""
+    Sizes come from the listing. Only files with a matching size and an md5 to compare are opened: by Spark's reader up to
+    WHOLE bytes, which a row can hold, larger ones by pieces of PIECE bytes, each file in one task, as an md5 is one pass."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     seen = files.select("path", file_name("path", depth).alias("name"), F.col("length").alias("__n"))
     j = manifest.withColumn("__listed", F.lit(True)).join(seen, "name", "full_outer")
     sized = F.col("size").isNull() | (F.col("size") == F.col("__n"))
-    wanted = j.filter(sized & F.col("md5").isNotNull() & F.col("path").isNotNull()).select("path").distinct()
-    opened = files.filter(F.col("length") <= WHOLE).join(wanted, "path", "left_semi").select("path", F.base64(F.unhex(F.md5("content"))).alias("__md5"))
+    wanted = j.filter(sized & F.col("md5").isNotNull() & F.col("path").isNotNull()).select("path", "__n").distinct()
+    opened = files.filter(F.col("length") <= WHOLE).join(wanted.select("path"), "path", "left_semi").select("path", F.base64(F.unhex(F.md5("content"))).alias("__md5"))
+    large = wanted.filter(F.col("__n") > WHOLE).select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    opened = opened.unionByName(large.mapInPandas(streamed_md5, "path string, __md5 string"))
     status = (
         F.when(F.col("__listed").isNull(), "unlisted")
         .when(F.col("__n").isNull(), "missing")
         .when(~sized, "mismatched")
         .when(F.col("md5").isNull() | (F.col("md5") == F.col("__md5")), "verified")
-        .when(F.col("__n") > WHOLE, "oversize")
         .otherwise("mismatched")
     )
     return j.join(opened, "path", "left").select("name", status.alias("status"))

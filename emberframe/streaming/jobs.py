@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberframe.operators.filters import hot_cell
+from emberframe.sources.shared import stored
 
 
 def timed(df: DataFrame, time: str = "ts") -> DataFrame:
@@ -101,14 +103,29 @@ def carry_forward_stream(readings: DataFrame, late: str = "0 seconds") -> DataFr
     return out.select("event_id", "cell_id", F.timestamp_micros("us").alias("ts"), F.when(~F.isnan("carried"), F.col("carried")).alias("carried"))
 
 
-def alerts_sink(path: str, k: int = 25, day: str = "label_date") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the top k cells of each day of the batch replace that day's partition, so a batch that runs
-    again leaves the same files. A day must come whole in one batch, as daily_stream and cell_labels_stream give it."""
+def alerts_sink(path: str, k: int = 25, day: str = "label_date", cell: str = "cell_id") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: keeps the top k cells of each day over all batches, however a day's cells are dealt to them.
+
+    A batch's rows join the days' rows that the table has, each with the number of its batch; of a cell that comes again
+    the later batch counts. The merged days are written to the shared folder first, then replace their partitions. A batch
+    that runs again, whole or after a failure between the two, finds its own rows and changes nothing. The table holds
+    k rows a day and no more: if a later batch lowers a cell, cells that it had displaced don't come back. `score` is the
+    probability before it is cut to a float, by which rows of all batches are ranked."""
     from emberframe.operators.metrics import alerts
     from emberframe.sources.tables import write_table
 
-    def write(batch: DataFrame, _: int) -> None:
-        write_table(alerts(batch, k, day=day), path, [day])
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = stored(batch.withColumn("batch_id", F.lit(number).cast("long")).withColumn("score", F.col("p_fire").cast("double")), "alert-batch")
+        try:
+            before = spark.read.schema(alerts(rows, k, day=day).schema).parquet(path)
+        except AnalysisException:  # the first batch: there is no table yet
+            before = None
+        if before is not None:
+            kept = before.join(rows.select(day).distinct(), day, "left_semi").withColumn("p_fire", F.col("score").cast(rows.schema["p_fire"].dataType)).select(*rows.columns)
+            last = Window.partitionBy(day, cell).orderBy(F.col("batch_id").desc(), F.col("score").desc())
+            rows = rows.unionByName(kept).withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
+        write_table(stored(alerts(rows, k, day=day), "alerts"), path, [day])
 
     return write
 

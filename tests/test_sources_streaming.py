@@ -111,6 +111,20 @@ def test_alerts_sink_can_run_again(spark, tmp_path):
     assert sorted(r["cell_id"] for r in spark.read.parquet(str(tmp_path / "a")).collect()) == [4, 5]
 
 
+def test_alerts_of_a_day_over_three_batches(spark, tmp_path):
+    rows = [(f"2024-01-0{1 + i % 2}", i, ((i * 37) % 101) / 101) for i in range(60)]
+    df = spark.createDataFrame(rows, "label_date string, cell_id int, p_fire double")
+    write = jobs.alerts_sink(str(tmp_path / "a"), 5)
+    for number in (0, 1, 1, 2, 0, 2):  # some run again
+        write(df.filter(f"cell_id % 3 = {number}"), number)
+    got = sorted((str(r["label_date"]), r["rank"], r["cell_id"]) for r in spark.read.parquet(str(tmp_path / "a")).collect())
+    want = [(d, n + 1, c) for d in ("2024-01-01", "2024-01-02") for n, (c, _) in enumerate(sorted(((c, p) for x, c, p in rows if x == d), key=lambda r: (-r[1], r[0]))[:5])]
+    assert got == want
+    write(spark.createDataFrame([("2024-01-01", got[0][2], 0.0), ("2024-01-01", 99, 1.0)], df.schema), 3)  # the later batch counts
+    top = spark.read.parquet(str(tmp_path / "a")).filter("label_date = '2024-01-01'").collect()
+    assert {r["cell_id"] for r in top if r["rank"] == 1} == {99} and all(r["p_fire"] == 0 for r in top if r["cell_id"] == got[0][2])
+
+
 def test_audit_names_and_sizes(spark, tmp_path, monkeypatch):
     for k in (1, 2, 3):
         (tmp_path / f"k={k}").mkdir()
@@ -120,7 +134,21 @@ def test_audit_names_and_sizes(spark, tmp_path, monkeypatch):
     ask = lambda: {r["name"]: r["status"] for r in tables.audit_files(spark, str(tmp_path), manifest, 2).collect()}
     assert ask() == {"k=1/part.csv": "verified", "k=2/part.csv": "verified", "k=3/part.csv": "unlisted", "k=9/part.csv": "missing"}
     monkeypatch.setattr(tables, "WHOLE", 0)
-    assert ask()["k=1/part.csv"] == "oversize" and ask()["k=2/part.csv"] == "verified"
+    assert ask()["k=1/part.csv"] == "verified" and ask()["k=2/part.csv"] == "verified"
+
+
+def test_audit_of_a_file_that_no_row_can_hold(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    with open(tmp_path / "in" / "large one.bin", "wb") as f:
+        f.truncate(3 << 30)
+        f.write(b"")
+    (tmp_path / "in" / "bad.bin").write_bytes(b"abc")
+    digest = hashlib.md5()
+    for _ in range(3 << 6):
+        digest.update(bytes(1 << 24))
+    rows = [("large one.bin", 3 << 30, base64.b64encode(digest.digest()).decode()), ("bad.bin", 3, "AAAA")]
+    got = {r["name"]: r["status"] for r in tables.audit_files(spark, str(tmp_path / "in"), spark.createDataFrame(rows, "name string, size long, md5 string")).collect()}
+    assert got == {"large one.bin": "verified", "bad.bin": "mismatched"}
 
 
 @pytest.mark.parametrize(("seed", "parts"), [(1, 1), (2, 4), (3, 7)])

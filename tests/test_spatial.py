@@ -129,3 +129,42 @@ def test_a_cell_of_a_long_boundary_holds_few_edges(spark):
     cells, grid = joins_space.polygon_index(edges)
     size = cells.agg(F.max(F.size("edges")), F.avg(F.size("edges")), F.count("*")).first()
     assert size[0] < 300 and size[1] < 50 and size[2] < grid["n"] ** 2 <= 1030**2
+
+
+@pytest.mark.parametrize(("fires", "size", "dist"), [(0.01, 5, 4.0), (0.004, 8, 6.5), (0.3, 3, 2.0), (0.0, 4, 0.0)])
+def test_background_equals_brute_force(spark, fires, size, dist):
+    rng, height, width = random.Random(size), 30, 34
+    fire = [(r, c) for r in range(height) for c in range(width) if rng.random() < fires]
+    centres = [(r, c) for r in range(height) for c in range(width) if rng.random() < 0.01] + [(3, 3), (3, 3)]
+    cands = [(t, c) for t in range(height - size) for c in range(width - size)]
+    table = lambda rows, names: spark.createDataFrame(rows, names)
+    got = raster.background(table(cands, "top int, left int"), table(fire, "row int, col int"), table(centres, "centre_row int, centre_col int"), dist, size, len(cands))
+    clean = {(t, c) for t, c in cands if not any(t <= r < t + size and c <= x < c + size for r, x in fire)}
+    near = {(t, c) for t, c in clean if any(math.hypot(t + size // 2 - r, c + size // 2 - x) < dist for r, x in centres)}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(clean) and set(rows) == clean and set(rows[: len(clean) - len(near)]) == clean - near
+
+
+def test_background_of_a_burning_grid_is_linear(spark):
+    """Everything burns: runs, not pixels times squares."""
+    height, width, size = 300, 400, 64
+    pix = spark.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"))
+    wide = raster._spread(raster.fire_runs(pix), {0: (size - 1, 0)})
+    assert wide.count() * size <= 10 * (height - size) * (width - size)
+    checker = raster._spread(raster.fire_runs(pix.filter("(row + col) % 2 = 0")), {0: (size - 1, 0)})
+    assert checker.count() == height
+    assert raster.background(pix.select(F.col("row").alias("top"), F.col("col").alias("left")).filter(f"top < {height - size} AND left < {width - size}"), pix, pix.limit(1).select(F.col("row").alias("centre_row"), F.col("col").alias("centre_col"))).count() == 0
+
+
+@pytest.mark.parametrize("edge", ["wrap", "drop"])
+def test_ruggedness_equals_brute_force(spark, edge):
+    rng, height, width = random.Random(3), 7, 9
+    full = {(r, c): None if rng.random() < 0.2 else round(rng.uniform(-5, 9), 2) for r in range(height) for c in range(width)}
+    for held in (full, {k: v for k, v in full.items() if rng.random() < 0.8}):
+        got = {(r["row"], r["col"]): r["tri"] for r in raster.tri(spark.createDataFrame([(*k, v) for k, v in held.items()], "row int, col int, value double"), height, width, edge).collect()}
+        assert got.keys() == {k for k, v in held.items() if v is not None}
+        for (r, c), tri in got.items():
+            near = [((r + a) % height, (c + b) % width) if edge == "wrap" else (r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+            x = [(held.get(k) or 0.0) if edge == "wrap" else held[k] for k in near if edge == "wrap" or held.get(k) is not None]
+            want = math.sqrt(sum((held[r, c] - v) ** 2 for v in x) / len(x)) if x else None
+            assert (tri is None) == (want is None) and (want is None or abs(tri - want) < 1e-9)
