@@ -6,7 +6,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,23 @@ def score_trees(df: DataFrame, model, out: str = "p_raw") -> DataFrame:
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(out))
 
 
+def tree_nodes(spark: SparkSession, model) -> DataFrame:
+    """(tree, node, feature, threshold, prediction, gain) of a model's trees: children of node n are 2n (values up to the
+    threshold) and 2n + 1; leaves have no feature. As many rows as the model has nodes."""
+    cols, _, gbt = model
+    rows = []
+    for t, tree in enumerate(gbt.trees):
+        todo = [(1, tree._java_obj.rootNode())]
+        while todo:
+            n, node = todo.pop()
+            if node.subtreeDepth() == 0:
+                rows.append((t, n, None, None, float(node.prediction()), None))
+                continue
+            rows.append((t, n, cols[node.split().featureIndex()], float(node.split().threshold()), float(node.prediction()), float(node.gain())))
+            todo += [(2 * n, node.leftChild()), (2 * n + 1, node.rightChild())]
+    return spark.createDataFrame(rows, "tree int, node long, feature string, threshold double, prediction double, gain double")
+
+
 def calibrate(val: DataFrame, df: DataFrame, p: str = "p_raw", y: str = "y_fire", out: str = "p_fire") -> DataFrame:
     """Rising fit on `val`, applied to `df`; scores beyond the fitted range take its ends."""
     v = val.select(F.col(p).alias("__f"), F.col(y).cast("double").alias("__y"))

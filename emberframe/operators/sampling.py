@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions import hash_int
-from emberframe.operators.ordered import percentiles, ranked, running_sums
+from emberframe.operators.ordered import first_rows, percentiles, running_sums
+from emberframe.sources.shared import stored
 
 
 def pct_rank(df: DataFrame, col: str, part: list[str], out: str, fill: float = 0.5) -> DataFrame:
@@ -31,10 +32,12 @@ def _uniform(key: str, seed: int) -> Column:
     return (hash_int(F.col(key), seed=seed) + 0.5) / float(1 << 32)
 
 
-def _first_by_hash(df: DataFrame, n: Column, part: list[str], key: list[Column]) -> DataFrame:
-    """The first n rows of each part; the order's columns are dealt by ranges, so no task sees a whole part."""
+def _first_by_hash(df: DataFrame, want: dict[tuple, int], part: list[str], key: list[Column]) -> DataFrame:
+    """The first rows of each part, by a cut through the counts of the order's values: nothing is sorted. A missing value comes
+    first."""
     names = [f"__k{i}" for i in range(len(key))]
-    return ranked(df.withColumns(dict(zip(names, key))), part, names, "__rn").filter(F.col("__rn") <= n).select(*df.columns)
+    numbers = [F.coalesce(k.cast("double"), F.lit(-1e300)) for k in key[:-1]]
+    return first_rows(df.withColumns(dict(zip(names, [*numbers, key[-1]]))), part, names, want).select(*df.columns)
 
 
 def balanced_sample(df: DataFrame, ratio: float = 4.0, seed: int = 42, caps: dict[str, int] | None = None, hard: tuple[str, str] | None = None, key: str = "sample_id", y: str = "y_fire", split: str = "split") -> DataFrame:
@@ -47,29 +50,30 @@ def balanced_sample(df: DataFrame, ratio: float = 4.0, seed: int = 42, caps: dic
     y1 = F.col(y) == 1
     sizes = df.groupBy(split).agg(F.count_if(y1).alias("__pos"), F.count_if(~y1).alias("__neg"))
     target = F.least(F.col("__neg"), F.floor(F.greatest(F.col("__pos") * ratio, F.col("__pos").cast("double")))).cast("long")
-    sizes = sizes.select(split, "__pos", target.alias("__take"))  # a row a split
+    want = {(r[split],): r["__take"] for r in sizes.select(split, target.alias("__take")).collect()}  # a row a split
     neg = df.filter(~y1)
     u = _uniform(key, seed)
     if hard:
         high, low = hard
-        neg = pct_rank(pct_rank(neg, high, [split], "__a"), low, [split], "__b")
+        neg = stored(pct_rank(pct_rank(neg, high, [split], "__a"), low, [split], "__b"), "ranked-negatives")
         order = [-F.log(u) / F.greatest(F.col("__a") + 1.0 - F.col("__b"), F.lit(1e-6)), F.col(key)]
     else:
         order = [u, F.col(key)]
-    drawn = _first_by_hash(neg.join(F.broadcast(sizes), split), F.col("__take"), [split], order).select(*df.columns)
+    drawn = _first_by_hash(neg, want, [split], order).select(*df.columns)
     out = df.filter(y1).unionByName(drawn)
     return cap_per_split(out, caps, seed + 1, key, y, split) if caps else out
 
 
 def cap_per_split(df: DataFrame, caps: dict[str, int], seed: int = 43, key: str = "sample_id", y: str = "y_fire", split: str = "split") -> DataFrame:
     """At most caps[split] rows of each split, positives first, then by hash; splits without a cap stay whole."""
-    cap = F.create_map(*(F.lit(x) for kv in caps.items() for x in kv))[F.col(split)]
-    return _first_by_hash(df, F.coalesce(cap, F.lit(1 << 62)), [split], [-F.col(y), _uniform(key, seed), F.col(key)])
+    order = [-F.col(y), _uniform(key, seed), F.col(key)]
+    capped = F.col(split).isin(*caps)
+    return df.filter(~capped | F.col(split).isNull()).unionByName(_first_by_hash(df.filter(capped), {(k,): n for k, n in caps.items()}, [split], order))
 
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows, the same whenever the keys and the seed are: an aligned sample of whole rows."""
-    return _first_by_hash(df, F.lit(n), [], [hash_int(F.col(key), seed=seed), F.col(key)])
+    return _first_by_hash(df, {(): n}, [], [hash_int(F.col(key), seed=seed), F.col(key)])
 
 
 def cap_negatives(df: DataFrame, n: int, key: str, y: str = "y_fire", seed: int = 42) -> DataFrame:

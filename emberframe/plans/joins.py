@@ -83,6 +83,25 @@ def trees(s, d):
     return ml.calibrate(scored.filter("split = 'val'"), scored.filter("split = 'test'")).select("sample_id", "p_raw", "p_fire", "y_fire")
 
 
+COARSE = ("t_max", "t_min", "t_mean")
+
+
+def first_split(s, d):
+    """The first tree's root over values in steps of 20, few enough for every cut to be tried: its feature and threshold,
+    and the mean of the weighted labels (-1 and 1) on each side."""
+    x = tree_samples(s, d).select("split", "y_fire", *(F.floor(F.col(c) / 20).cast("double").alias(c) for c in COARSE))
+    nodes = ml.tree_nodes(s, ml.train_trees(x, list(COARSE), iterations=1, depth=1)).filter("tree = 0")
+    side = lambda n: F.max(F.when(F.col("node") == n, F.col("prediction")))
+    return nodes.agg(F.max("feature").alias("feature"), F.max("threshold").alias("threshold"), side(2).alias("low"), side(3).alias("high"))
+
+
+#: The cut with the largest gain in variance: the sum of squared weighted sums over weights of its sides.
+FIRST_SPLIT = """WITH t AS (SELECT 2 * y_fire - 1 AS l, CASE WHEN y_fire = 1 THEN (SELECT greatest(1.0, sum(1 - y_fire) / greatest(1, sum(y_fire))) FROM v_smp WHERE split = 'train') ELSE 1 END AS w, t_max, t_min, t_mean FROM v_smp WHERE split = 'train'),
+ x AS (SELECT l, w, unnest(['t_max', 't_min', 't_mean']) AS feature, coalesce(floor(unnest([t_max, t_min, t_mean]) / 20), -1e9) AS v FROM t), g AS (SELECT feature, v, sum(w) AS w, sum(w * l) AS s FROM x GROUP BY feature, v),
+ c AS (SELECT feature, v, lead(v) OVER o AS v2, sum(w) OVER o AS wl, sum(s) OVER o AS sl, sum(w) OVER (PARTITION BY feature) AS wt, sum(s) OVER (PARTITION BY feature) AS st FROM g WINDOW o AS (PARTITION BY feature ORDER BY v))
+ SELECT feature, (v + v2) / 2 AS threshold, round(sl / wl, 6) AS low, round((st - sl) / (wt - wl), 6) AS high FROM c WHERE v2 IS NOT NULL ORDER BY sl * sl / wl + (st - sl) * (st - sl) / (wt - wl) DESC, feature, v LIMIT 1"""
+
+
 def isotonic(s, d):
     """Fitted on all scores and applied to all of them, stretched so that they lie between and beyond the fitted ones."""
     v = view(s, d, "v_score").select((F.col("p") / 10).alias("p_raw"), F.col("y").alias("y_fire"))
@@ -122,5 +141,6 @@ QUERIES = {
     "w5_sequences": (seqs, "WITH f AS (SELECT cell_id, day, t_max, p_sum FROM v_day WHERE cell_id % 11 <> 0), e AS (SELECT v_smp.sample_id, CAST(2 - date_diff('day', f.day, v_smp.day) AS INT) AS t, f.t_max, f.p_sum, elevation, slope, count(*) OVER (PARTITION BY v_smp.sample_id) AS n FROM v_smp JOIN f ON f.cell_id = v_smp.cell_id AND f.day BETWEEN v_smp.day - 2 AND v_smp.day JOIN v_static ON v_static.cell_id = v_smp.cell_id AND v_static.cell_id % 5 <> 0) SELECT sample_id, t, round(CAST(CAST(t_max AS FLOAT) AS DOUBLE), 2) AS x0, round(CAST(CAST(p_sum AS FLOAT) AS DOUBLE), 2) AS x1, round(CAST(CAST(elevation AS FLOAT) AS DOUBLE), 2) AS x2, round(CAST(CAST(slope AS FLOAT) AS DOUBLE), 2) AS x3 FROM e WHERE n = 3"),
     "w5_sequence_stats": (sequence_stats, "WITH e AS (SELECT v_smp.sample_id, f.t_max, f.p_sum, slope, count(*) OVER (PARTITION BY v_smp.sample_id) AS n FROM v_smp JOIN v_day f ON f.cell_id = v_smp.cell_id AND f.day BETWEEN v_smp.day - 2 AND v_smp.day JOIN v_static ON v_static.cell_id = v_smp.cell_id), a AS (SELECT unnest([0, 1, 2]) AS feature, unnest([CAST(CAST(t_max AS FLOAT) AS DOUBLE), CAST(CAST(p_sum AS FLOAT) AS DOUBLE), CAST(CAST(slope AS FLOAT) AS DOUBLE)]) AS x FROM e WHERE n = 3) SELECT CAST(feature AS INT) AS feature, round(avg(x), 3) AS mean, round(CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END, 3) AS std FROM a GROUP BY feature"),
     "m1_trees": (trees, None),
+    "m1_first_split": (first_split, FIRST_SPLIT),
     "m2_isotonic": (isotonic, ISOTONIC),
 }

@@ -305,3 +305,47 @@ def test_no_local_folder_on_a_cluster(spark):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             shared.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)), "x")
     assert shared.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]")), "x")
+
+
+def test_stored_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    from itertools import count
+
+    from emberframe.sources import shared
+
+    n = count()
+    monkeypatch.setattr(shared, "shared_dir", lambda spark, name: f"file://{tmp_path}/shared/{name}-{next(n)}")
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8)], "a long, b long")
+    with shared.dropped_after(spark):
+        graph.components(edges).write.parquet(str(tmp_path / "out"))
+        assert any((tmp_path / "shared").iterdir())
+    assert not any((tmp_path / "shared").iterdir())
+    kept = shared.stored(edges, "kept")
+    assert kept.count() == 3 and any((tmp_path / "shared").iterdir())
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
+
+
+def test_first_rows_equal_a_sort(spark, monkeypatch):
+    """Cuts through counts: ties, parts of one value, null parts, values far apart, more wanted than there are."""
+    import random
+
+    from emberframe.operators import ordered
+
+    monkeypatch.setattr(ordered, "BUCKETS", 8)
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None, "c"]), rng.choice([0.0, 1.0, -5.5, 1e300, rng.random(), rng.random() * 1e-9]), float(rng.randrange(3)), f"k{i % 350}") for i in range(700)]
+    rows += [("d", 2.0, 1.0, f"d{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "part string, x double, y double, k string")
+    for want in ({("a",): 17, (None,): 60, ("c",): 10_000, ("d",): 7, ("e",): 3}, {("a",): 1, ("b",): 0}, {("b",): 90, ("d",): 40}):
+        got = [tuple(r) for r in ordered.first_rows(df, ["part"], ["x", "y", "k"], want).collect()]
+        expect = [r for (p,), n in want.items() for r in sorted((r for r in rows if r[0] == p), key=lambda r: r[1:])[:n]]
+        assert sorted(map(str, got)) == sorted(map(str, expect))
+    cuts = ordered.cut_values(df, ["part"], "x", {("a",): 17, ("d",): 7})
+    own = sorted(r[1] for r in rows if r[0] == "a")
+    assert cuts[("a",)] == (own[16], sum(v < own[16] for v in own), own.count(own[16])) and cuts[("d",)] == (2.0, 0, 40)
+    assert ordered.cut_values(df, [], "x", {(): 350})[()][0] == sorted(r[1] for r in rows)[349]
+
+
+def test_samples_sort_nothing(spark):
+    df = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("sample_id"), F.when(F.col("id") % 3 == 0, "train").otherwise("val").alias("split"), (F.col("id") % 10 == 0).cast("int").alias("y_fire"))
+    for out in (sampling.hash_sample(df, 100, "sample_id"), sampling.balanced_sample(df, 2.0, caps={"train": 90}), sampling.cap_per_split(df, {"train": 50, "val": 60})):
+        assert "Sort" not in plan(out) and "Window" not in plan(out)
