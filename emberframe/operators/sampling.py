@@ -13,13 +13,22 @@ from emberframe.sources.shared import stored
 
 
 def pct_rank(df: DataFrame, col: str, part: list[str], out: str, fill: float = 0.5) -> DataFrame:
-    """Rank among known values, ties averaged, over their number; `fill` where missing.
+    """Rank among known values, ties averaged, over their number; `fill` where missing."""
+    return pct_ranks(df, {out: col}, part, fill)
 
-    Counts per distinct value come first, and add up by ranges of values."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*part, col).agg(F.count("*").alias("__n"))
-    s = running_sums(counts, part, [col], {"__upto": "__n"})
-    ranks = s.select(*part, col, ((F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2) / F.col("__upto_total")).alias(out))
-    return df.join(ranks, [*part, col], "left").withColumn(out, F.coalesce(out, F.lit(fill)))
+
+def pct_ranks(df: DataFrame, cols: dict[str, str], part: list[str], fill: float = 0.5) -> DataFrame:
+    """`pct_rank` of several columns (out: column) in one pass. Counts per distinct value come first, and add up by ranges of
+    values; columns of different types are compared as doubles."""
+    one_type = len({df.schema[c].dataType for c in cols.values()}) == 1
+    value = lambda c: F.col(c) if one_type else F.col(c).cast("double")
+    known = df.select(*part, F.inline(F.array(*(F.struct(F.lit(o).alias("__of"), value(c).alias("__v")) for o, c in cols.items())))).filter("__v IS NOT NULL")
+    s = running_sums(known.groupBy(*part, "__of", "__v").agg(F.count("*").alias("__n")), [*part, "__of"], ["__v"], {"__upto": "__n"})
+    ranks = s.select(*part, "__of", "__v", ((F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2) / F.col("__upto_total")).alias("__rank"))
+    for out, col in cols.items():
+        own = ranks.filter(F.col("__of") == out).select(*part, "__v", F.col("__rank").alias(out))
+        df = df.withColumn("__v", value(col)).join(own, [*part, "__v"], "left").withColumn(out, F.coalesce(out, F.lit(fill))).drop("__v")
+    return df
 
 
 def top_k(df: DataFrame, k: int, by: str, part: str, tie: str) -> DataFrame:
@@ -55,7 +64,7 @@ def balanced_sample(df: DataFrame, ratio: float = 4.0, seed: int = 42, caps: dic
     u = _uniform(key, seed)
     if hard:
         high, low = hard
-        neg = stored(pct_rank(pct_rank(neg, high, [split], "__a"), low, [split], "__b"), "ranked-negatives")
+        neg = stored(pct_ranks(neg, {"__a": high, "__b": low}, [split]), "ranked-negatives")
         order = [-F.log(u) / F.greatest(F.col("__a") + 1.0 - F.col("__b"), F.lit(1e-6)), F.col(key)]
     else:
         order = [u, F.col(key)]
@@ -66,7 +75,7 @@ def balanced_sample(df: DataFrame, ratio: float = 4.0, seed: int = 42, caps: dic
 
 def cap_per_split(df: DataFrame, caps: dict[str, int], seed: int = 43, key: str = "sample_id", y: str = "y_fire", split: str = "split") -> DataFrame:
     """At most caps[split] rows of each split, positives first, then by hash; splits without a cap stay whole."""
-    order = [-F.col(y), _uniform(key, seed), F.col(key)]
+    order = [_uniform(key, seed) - 2 * F.coalesce(F.col(y), F.lit(9)), F.col(key)]  # a share below one each: the label decides first
     capped = F.col(split).isin(*caps)
     return df.filter(~capped | F.col(split).isNull()).unionByName(_first_by_hash(df.filter(capped), {(k,): n for k, n in caps.items()}, [split], order))
 
