@@ -161,5 +161,21 @@ FROM c JOIN v USING (r)
 """
 
 
+#: k is the table of crc32, h a run's crc32, d the words without one of their letters: words are near if one is the other's d,
+#: or both have the same d at the same place.
+OP13_SQL = r"""
+WITH RECURSIVE k AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) a(i)) b),
+r AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents) t WHERE length(w) >= 7 GROUP BY doc_id, w),
+h AS MATERIALIZED (SELECT w, n, xor(list_reduce(list_concat([4294967295], list_transform(range(length(b) // 2), lambda i: CAST('0x' || substr(b, 2 * i + 1, 2) AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM (SELECT w, n, hex(encode(doc_id || ':' || w)) AS b FROM r) s, k),
+v AS MATERIALIZED (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS w FROM h) s WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+d AS MATERIALIZED (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS x FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v) s),
+p AS MATERIALIZED (SELECT DISTINCT a.w, b.w AS near, b.n FROM d a JOIN d b ON a.x = b.x AND a.i = b.i AND a.w <> b.w UNION SELECT d.w, v.w, v.n FROM d JOIN v ON v.w = d.x UNION SELECT v.w, d.w, d.n FROM d JOIN v ON v.w = d.x),
+f AS MATERIALIZED (SELECT v.w AS word, CASE WHEN b.n >= 10 * v.n THEN b.near END AS form, v.n, coalesce(k, 0) AS n_near, CASE WHEN b.n >= 10 * v.n THEN b.n END AS form_n FROM v LEFT JOIN (SELECT w, near, n, count(*) OVER (PARTITION BY w) AS k, row_number() OVER (PARTITION BY w ORDER BY n DESC, encode(near)) AS rn FROM p) b ON b.w = v.w AND rn = 1),
+g AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL),
+z AS (SELECT word, arg_max(root, f.n) AS root FROM (SELECT g.word, g.root, f.n FROM g JOIN f ON f.word = g.root) f GROUP BY word)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN z ON z.word = f.word
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_vector_codes": OP11_SQL, "op7_suffix_dedup": OP7_SQL, "op4_decontaminate": OP4_SQL, "op9_pivot_topk": OP9_SQL}
+    return {"op13_spelling_variants": OP13_SQL, "op11_vector_codes": OP11_SQL, "op7_suffix_dedup": OP7_SQL, "op4_decontaminate": OP4_SQL, "op9_pivot_topk": OP9_SQL}
