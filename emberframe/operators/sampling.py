@@ -70,7 +70,7 @@ def balanced_sample(df: DataFrame, ratio: float = 4.0, seed: int = 42, caps: dic
         order = [u, F.col(key)]
     drawn = _first_by_hash(neg, want, [split], order).select(*df.columns)
     out = df.filter(y1).unionByName(drawn)
-    return cap_per_split(out, caps, seed + 1, key, y, split) if caps else out
+    return cap_per_split(stored(out, "balanced"), caps, seed + 1, key, y, split) if caps else out  # a sample is small, its source isn't
 
 
 def cap_per_split(df: DataFrame, caps: dict[str, int], seed: int = 43, key: str = "sample_id", y: str = "y_fire", split: str = "split") -> DataFrame:
