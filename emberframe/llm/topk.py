@@ -223,7 +223,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_
     top = None
     first, after = 0, RING
     while first < len(names):
-        met = queries.mapInPandas(ring(first, after), "slice long, pack long, at binary, query_ids binary, queries binary, bounds binary").join(index, "slice")
+        met = queries.mapInPandas(ring(first, after), "slice long, pack long, at binary, query_ids binary, queries binary, bounds binary")
+        met = met.hint("merge").join(index, "slice")  # no broadcast: a pack goes to many slices, which its table's size doesn't tell
         found = met.mapInPandas(walk, FOUND)
         found = found if top is None else found.unionByName(top.drop("rank"))
         top = stored(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "pivot-best")

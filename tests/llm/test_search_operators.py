@@ -212,3 +212,12 @@ def test_topk_deals_a_shell_over_many_keys(spark, monkeypatch):
     x = np.random.default_rng(1).normal(size=(4000, 3)) * 0.01 + 5
     topk.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
     assert sum(names) >= 40
+
+
+def test_topk_broadcasts_no_pack(spark, monkeypatch):
+    plans, stored = [], topk.stored
+    monkeypatch.setattr(topk, "stored", lambda df, name: (plans.append((name, df._jdf.queryExecution().sparkPlan().toString())), stored(df, name))[1])
+    rows = [(i, [float((i * 7919 + 31 * j) % 97) for j in range(6)]) for i in range(300)]
+    assert topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 5 == 0).count() == 300
+    met = [plan for name, plan in plans if name == "pivot-best"]
+    assert met and all("SortMergeJoin" in plan and "BroadcastHashJoin" not in plan for plan in met)
