@@ -207,13 +207,15 @@ def near_pairs(words: DataFrame, hot: int = HOT) -> DataFrame:
 
     sizes = vocabulary.groupBy("key").agg(F.count("*").alias("held"))
     often = stored(sizes.filter(F.col("held") > hot).select("key"), "variant-hot")
-    around = words.select("word", F.explode(keys("word")).alias("key"))
+    # the planner takes the keys for no larger than the words, and would broadcast them: they are many times as large
+    around = words.select("word", F.explode(keys("word")).alias("key")).hint("merge")
     near: Column = F.levenshtein("word", "near", 1) == 1
     if often.isEmpty():
         return around.join(vocabulary, "key").filter(near).select("word", "near", "n")
     plain = around.join(vocabulary.join(often, "key", "left_anti"), "key").select("word", "near", "n")
     held = vocabulary.join(often, "key", "left_semi").select("near", "n", whole_key("near").alias("full"))
-    exact = around.join(often, "key", "left_semi").select("word", F.explode(finer("word", "key")).alias("full")).join(held, "full").select("word", "near", "n")
+    reached = around.join(often, "key", "left_semi").select("word", F.explode(finer("word", "key")).alias("full")).hint("merge")
+    exact = reached.join(held, "full").select("word", "near", "n")
     return plain.unionByName(exact).filter(near)
 
 

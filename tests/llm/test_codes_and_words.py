@@ -230,6 +230,14 @@ def test_variants_odd_rows(spark):
     assert variants.grouped(variants.word_counts(df.limit(0)).filter("n >= 2")).collect() == []
 
 
+@pytest.mark.parametrize("hot", [0, 1000])
+def test_variants_broadcast_no_keys(spark, hot):
+    """The keys of a word's neighbourhood are about 156 rows a word: only the joins with the table of frequent keys may broadcast."""
+    words = variants.stored(spark.createDataFrame([(f"w{'abcdefghij'[i % 10]}rd{'klmnopqrst'[i // 10]}s", i + 1) for i in range(100)], "word string, n long"), "words")
+    plan = variants.near_pairs(words, hot)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Inner, Build" not in plan
+
+
 def test_neighbourhoods_are_complete():
     rng = random.Random(2)
     for _ in range(300):
