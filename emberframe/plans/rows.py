@@ -17,6 +17,8 @@ U = "((" + H + " + 0.5) / 4294967296)"
 #: A triangle in the area of interest.
 TRIANGLE = [(-124.0, 33.0, -115.0, 34.0), (-115.0, 34.0, -119.0, 41.5), (-119.0, 41.5, -124.0, 33.0)]
 _CROSS = " + ".join(f"CAST((({y1} > lat) <> ({y2} > lat)) AND lon < ({x2} - ({x1})) * (lat - {y1}) / ({y2} - {y1}) + ({x1}) AS INT)" for x1, y1, x2, y2 in TRIANGLE)
+#: A point on an edge is inside, too, as the operator says.
+_ON = " OR ".join(f"abs((lon - ({x1})) * ({y2} - {y1}) - (lat - {y1}) * ({x2} - ({x1}))) < 1e-12 AND lon BETWEEN {min(x1, x2)} AND {max(x1, x2)} AND lat BETWEEN {min(y1, y2)} AND {max(y1, y2)}" for x1, y1, x2, y2 in TRIANGLE)
 PATHS = "SELECT o_orderkey AS id, concat('x/s2_', lpad(CAST(year(o_orderdate) AS VARCHAR(4)), 4, '0'), '_', lpad(CAST(month(o_orderdate) AS VARCHAR(2)), 2, '0'), lpad(CAST((o_orderkey % 2) * 9472 AS VARCHAR(10)), 10, '0'), '-', lpad(CAST((o_custkey % 2) * 9472 AS VARCHAR(10)), 10, '0'), CASE WHEN o_orderkey % 5 = 0 THEN '.txt.s2' ELSE '.tif' END) AS path FROM {}"
 
 
@@ -117,6 +119,6 @@ QUERIES = {
     "l7_distinct": (lambda s, d: filters.distinct_keys(view(s, d, "v_obs"), ["cell_id", "event_type"]), "SELECT DISTINCT cell_id, event_type FROM v_obs"),
     "l8_date_sets": (lambda s, d: view(s, d, "v_day").select("day").intersect(view(s, d, "v_win").select(F.col("window_start").alias("day"))).withColumn("in_both", F.lit(1)).unionByName(view(s, d, "v_day").select("day").subtract(view(s, d, "v_win").select(F.col("window_start").alias("day"))).withColumn("in_both", F.lit(0))), "SELECT DISTINCT day, CAST(day IN (SELECT window_start FROM v_win) AS INT) AS in_both FROM v_day"),
     "j21_overlapping_dates": (lambda s, d: sampling.overlapping_dates(view(s, d, "v_smp").withColumn("split", F.when(F.col("cell_id") % 50 == 0, "val").otherwise(F.col("split")))), "SELECT day, count(DISTINCT CASE WHEN cell_id % 50 = 0 THEN 'val' ELSE split END) AS n_splits FROM v_smp GROUP BY day HAVING count(DISTINCT CASE WHEN cell_id % 50 = 0 THEN 'val' ELSE split END) > 1"),
-    "p2_polygon": (lambda s, d: joins_space.in_polygon(view(s, d, "v_pts"), TRIANGLE).select("pt_id"), f"SELECT pt_id FROM v_pts WHERE ({_CROSS}) % 2 = 1"),
+    "p2_polygon": (lambda s, d: joins_space.in_polygon(view(s, d, "v_pts"), TRIANGLE).select("pt_id"), f"SELECT pt_id FROM v_pts WHERE ({_CROSS}) % 2 = 1 OR {_ON}"),
     "r11_make_cells": (lambda s, d: view(s, d, "v_pts").join(joins_space.make_cells(s, TRIANGLE).select("cell_id"), fn.cell_id(fn.snap(F.col("lat")), fn.snap(F.col("lon"))) == F.col("cell_id")).select("pt_id", "cell_id"), f"WITH g AS (SELECT pt_id, round_even(lat / 0.25, 0) * 0.25 AS lat, round_even(lon / 0.25, 0) * 0.25 AS lon FROM v_pts) SELECT pt_id, printf('%.2f_%.2f', lat, lon) AS cell_id FROM g WHERE ({_CROSS}) % 2 = 1 OR (lat = 33 AND lon = -124) OR (lat = 34 AND lon = -115) OR (lat = 41.5 AND lon = -119) OR abs((lon + 124) * (34 - 33) - (lat - 33) * 9) < 1e-12 AND lon BETWEEN -124 AND -115 OR abs((lon + 115) * 7.5 - (lat - 34) * -4) < 1e-12 AND lon BETWEEN -119 AND -115 OR abs((lon + 119) * -8.5 - (lat - 41.5) * -5) < 1e-12 AND lon BETWEEN -124 AND -119"),
 }

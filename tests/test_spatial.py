@@ -3,10 +3,12 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from emberframe.operators import joins_space, raster
+from emberframe.plans import catalog
 
 CELLS, POINTS = "cell_id string, lat double, lon double", "pt_id long, lat double, lon double"
 
@@ -168,3 +170,11 @@ def test_ruggedness_equals_brute_force(spark, edge):
             x = [(held.get(k) or 0.0) if edge == "wrap" else held[k] for k in near if edge == "wrap" or held.get(k) is not None]
             want = math.sqrt(sum((held[r, c] - v) ** 2 for v in x) / len(x)) if x else None
             assert (tri is None) == (want is None) and (want is None or abs(tri - want) < 1e-9)
+
+
+def test_polygon_query_and_its_sql_take_points_on_edges(spark):
+    data = "/root/testdata/sf0.1"  # four of its points lie on edges
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{data}/customer.parquet'")
+    want = {r[0] for r in con.execute(catalog.oracle_sql()["p2_polygon"]).fetchall()}
+    assert {r["pt_id"] for r in catalog.queries()["p2_polygon"](spark, data).collect()} == want >= {3669, 5493, 7545, 14673}
