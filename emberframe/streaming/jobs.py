@@ -35,27 +35,30 @@ def daily_stream(obs: DataFrame, value: str = "value", late: str = "2 days", tim
     return out.select(F.to_date("w.start").alias("window_start"), F.to_date("w.end").alias("window_end"), "cell_id", "mean", "max", "min", "sum", "n")
 
 
-#: Rows given out at a time, and microseconds of event time whose waiting readings one state entry holds.
-PIECE, BUCKET = 10_000, 7 * 86_400_000_000
-READING = np.dtype([("us", "<i8"), ("event", "<i8"), ("value", "<f8")])
+#: Rows given out at a time, microseconds of event time whose waiting readings one state entry holds, and groups of cells.
+PIECE, BUCKET, GROUPS = 10_000, 7 * 86_400_000_000, 1024
+READING = np.dtype([("cell", "<i8"), ("us", "<i8"), ("event", "<i8"), ("value", "<f8")])
+LAST = np.dtype([("cell", "<i8"), ("value", "<f8")])
 
 
 class LastReading(StatefulProcessor):
-    """Gives each reading the cell's last known value at its time, as the batch operator does, however readings are dealt to
+    """Gives each reading its cell's last known value at its time, as the batch operator does, however readings are dealt to
     batches. Readings wait in map state, by the week of their event time, until the watermark has passed them; then they are
-    given out in order of time and id. No reading can come any more that belongs before them, so the only other state is the
-    last known value. A cell has one timer, at its earliest waiting reading; what it gives out leaves the state. Input
+    given out in order of time and id. No reading can come any more that belongs before them, so the only other state are the
+    last known values. State is kept for groups of cells (by hash; rows without a cell are group -1), as each use of it has
+    its price. A group has one timer, at its earliest waiting reading; what it gives out leaves the state. Input
     is taken by its chunks, and output made week by week."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "value double")
+        self.last = handle.getValueState("last", "cells binary")
         self.waiting = handle.getMapState("waiting", "bucket long", "readings binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         for x in rows:
             own = np.empty(len(x), READING)
+            own["cell"] = 0 if key[0] < 0 else x["cell_id"]
             own["us"], own["event"], own["value"] = x["us"], x["event_id"], x["value"].to_numpy(float, na_value=np.nan)
             bucket = own["us"] // BUCKET
             for b in np.unique(bucket).tolist():
@@ -68,37 +71,51 @@ class LastReading(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000 + 999  # watermarks are whole milliseconds
-        known = self.last.get()[0] if self.last.exists() else np.nan
+        known = np.frombuffer(bytes(self.last.get()[0]), LAST) if self.last.exists() else np.empty(0, LAST)
         for b in sorted(k[0] for k in list(self.waiting.keys())):
             if b * BUCKET > now:
                 self.handle.registerTimer(b * BUCKET // 1000)  # no reading of the week is earlier
                 break
             own = np.frombuffer(bytes(self.waiting.getValue((b,))[0]), READING)
-            ready, rest = np.sort(own[own["us"] <= now], order=("us", "event")), own[own["us"] > now]
-            at = np.maximum.accumulate(np.where(np.isnan(ready["value"]), -1, np.arange(len(ready))))
-            carried = np.where(at >= 0, ready["value"][at], known)
-            if len(carried):
-                known = float(carried[-1])
+            ready, rest = np.sort(own[own["us"] <= now], order=("cell", "us", "event")), own[own["us"] > now]
+            carried, known = carried_on(ready, known)
             for i in range(0, len(ready), PIECE):
                 part = slice(i, i + PIECE)
-                yield pd.DataFrame({"event_id": ready["event"][part], "cell_id": key[0], "us": ready["us"][part], "carried": carried[part]})
+                cells = pd.array([None] * len(ready[part]) if key[0] < 0 else ready["cell"][part], dtype="Int64")
+                yield pd.DataFrame({"event_id": ready["event"][part], "cell_id": cells, "us": ready["us"][part], "carried": carried[part]})
             if len(rest):
                 self.waiting.updateValue((b,), (rest.tobytes(),))
                 self.handle.registerTimer(int(rest["us"].min()) // 1000)
                 break
             self.waiting.removeKey((b,))
-        if not np.isnan(known):
-            self.last.update((known,))
+        if len(known):
+            self.last.update((known.tobytes(),))
 
     def close(self) -> None:
         pass
 
 
+def carried_on(ready: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Last known values at readings sorted by cell, time and id, and those of all cells after them. known: one row a cell, sorted."""
+    cells, start, n = np.unique(ready["cell"], return_index=True, return_counts=True)
+    before = np.full(len(cells), np.nan)
+    if len(known):
+        place = np.minimum(np.searchsorted(known["cell"], cells), len(known) - 1)
+        before = np.where(known["cell"][place] == cells, known["value"][place], np.nan)
+    at = np.maximum.accumulate(np.where(np.isnan(ready["value"]), -1, np.arange(len(ready))))
+    carried = np.where(at >= np.repeat(start, n), ready["value"][at], np.repeat(before, n))
+    after = np.empty(len(cells), LAST)
+    after["cell"], after["value"] = cells, carried[start + n - 1]
+    after = np.concatenate([known[~np.isin(known["cell"], cells)], after[~np.isnan(after["value"])]])
+    return carried, np.sort(after, order="cell")
+
+
 def carry_forward_stream(readings: DataFrame, late: str = "0 seconds") -> DataFrame:
     """(event_id, cell_id, ts, carried) for readings (event_id, cell_id, ts, value). A reading is given out once the watermark,
     `late` behind the latest time seen (in whole milliseconds), has reached it, and equals the batch operator's row; one that
     comes after that is left out, as are readings without a time. Needs the RocksDB state store."""
-    keyed = timed(readings).filter("ts IS NOT NULL").withWatermark("ts", late).select("event_id", "cell_id", "ts", F.unix_micros("ts").alias("us"), "value").groupBy("cell_id")
+    group = F.when(F.col("cell_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("cell_id"), F.lit(GROUPS))).cast("long").alias("group")
+    keyed = timed(readings).filter("ts IS NOT NULL").withWatermark("ts", late).select(group, "event_id", F.col("cell_id").cast("long"), "ts", F.unix_micros("ts").alias("us"), "value").groupBy("group")
     out = keyed.transformWithStateInPandas(LastReading(), "event_id long, cell_id long, us long, carried double", "append", "EventTime")
     return out.select("event_id", "cell_id", F.timestamp_micros("us").alias("ts"), F.when(~F.isnan("carried"), F.col("carried")).alias("carried"))
 

@@ -188,3 +188,21 @@ def test_carry_stream_drops_what_is_too_late(spark, tmp_path):
         jobs.run_available(jobs.carry_forward_stream(src), str(tmp_path / "out"), str(tmp_path / "check"))
     got = {r["event_id"]: r["carried"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: None, 5: 1.0, 8: 1.0}
+
+
+def test_carry_stream_keeps_state_by_groups(spark, tmp_path, monkeypatch):
+    """Uses of the state grow with the groups, not with the cells; cells of a group, and rows without a cell, stay apart."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    monkeypatch.setattr(jobs, "GROUPS", 2, raising=False)
+    schema = "event_id long, cell_id long, ts timestamp_ntz, value double"
+    row = lambda i, c, h, v: (i, c, f"2024-01-01 {h:02d}:00:00", v)
+    rows = [row(i, c, i // 9, None if i % 3 else float(i)) for i in range(90) for c in [(None, 1, 2, 3, 4, 5, 6, 7, 8)[i % 9]]] + [row(90, 1, 20, None)]
+    table = spark.createDataFrame(rows, "event_id long, cell_id long, ts string, value double").selectExpr("event_id", "cell_id", "cast(ts as timestamp_ntz) as ts", "value")
+    table.write.parquet(str(tmp_path / "in"))
+    jobs.run_available(jobs.carry_forward_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "check"))
+    want, last = {}, {}
+    for i, c, _, v in rows:
+        last[c] = want[i] = last.get(c) if v is None else v
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r["event_id"]: r["carried"] for r in got} == want and {r["event_id"]: r["cell_id"] for r in got} == {r[0]: r[1] for r in rows}
+    assert spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "check")).count() <= 3
