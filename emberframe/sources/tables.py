@@ -7,12 +7,14 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberframe.sources.shared import stored
 
 #: Bytes of the largest file whose content one row can hold, and of the pieces in which larger ones are read.
 WHOLE, PIECE = (1 << 31) - (1 << 20), 1 << 20
@@ -147,18 +149,40 @@ def streamed_md5(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"path": [path], "__md5": [base64.b64encode(digest.digest()).decode()]})
 
 
+#: Bytes that opening a file counts as where there are many small ones, and the most tasks that list folders.
+OPEN_COST, LISTERS = "65536", "256"
+
+
+@contextmanager
+def many_files(spark: SparkSession) -> Iterator[None]:
+    """Lists and reads files inside the block in tasks of up to some 2,000 small files, instead of 32, and folders by up to
+    LISTERS tasks instead of 10,000. Both take place where a reader is made and where its table is stored."""
+    wanted = {"spark.sql.files.openCostInBytes": OPEN_COST, "spark.sql.sources.parallelPartitionDiscovery.parallelism": LISTERS}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def audit_files(spark: SparkSession, path: str, manifest: DataFrame, depth: int = 1) -> DataFrame:
     """(name, status): verified, mismatched (size or md5), missing or unlisted. manifest: name, size, md5 (base64); names are
     the last `depth` elements of a path, one row each.
 
-    Sizes come from the listing. Only files with a matching size and an md5 to compare are opened: by Spark's reader up to
-    WHOLE bytes, which a row can hold, larger ones by pieces of PIECE bytes, each file in one task, as an md5 is one pass."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    seen = files.select("path", file_name("path", depth).alias("name"), F.col("length").alias("__n"))
-    j = manifest.withColumn("__listed", F.lit(True)).join(seen, "name", "full_outer")
-    sized = F.col("size").isNull() | (F.col("size") == F.col("__n"))
-    wanted = j.filter(sized & F.col("md5").isNotNull() & F.col("path").isNotNull()).select("path", "__n").distinct()
-    opened = files.filter(F.col("length") <= WHOLE).join(wanted.select("path"), "path", "left_semi").select("path", F.base64(F.unhex(F.md5("content"))).alias("__md5"))
+    Sizes come from the listing, whose join with the manifest is stored. Contents are read once, and each becomes its digest
+    before anything is joined: by Spark's reader up to WHOLE bytes, which a row can hold; larger files, only those with a
+    matching size and an md5 to compare, by pieces of PIECE bytes, each file in one task, as an md5 is one pass."""
+    with many_files(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        seen = files.select("path", file_name("path", depth).alias("name"), F.col("length").alias("__n"))
+        j = stored(manifest.withColumn("__listed", F.lit(True)).join(seen, "name", "full_outer"), "audit-names")
+        sized = F.col("size").isNull() | (F.col("size") == F.col("__n"))
+        wanted = j.filter(sized & F.col("md5").isNotNull() & F.col("path").isNotNull()).select("path", "__n").distinct()
+        digests = files.filter(F.col("length") <= WHOLE).select("path", F.base64(F.unhex(F.md5("content"))).alias("__md5"))
+        opened = stored(digests.join(wanted.select("path"), "path", "left_semi"), "audit-digests")
     large = wanted.filter(F.col("__n") > WHOLE).select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     opened = opened.unionByName(large.mapInPandas(streamed_md5, "path string, __md5 string"))
     status = (

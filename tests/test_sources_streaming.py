@@ -206,3 +206,14 @@ def test_carry_stream_keeps_state_by_groups(spark, tmp_path, monkeypatch):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {r["event_id"]: r["carried"] for r in got} == want and {r["event_id"]: r["cell_id"] for r in got} == {r[0]: r[1] for r in rows}
     assert spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "check")).count() <= 3
+
+
+def test_audit_joins_digests_not_contents(spark, tmp_path, monkeypatch):
+    plans, stored = {}, getattr(tables, "stored", lambda df, name: df)
+    monkeypatch.setattr(tables, "stored", lambda df, name: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), stored(df, name))[1], raising=False)
+    (tmp_path / "a").write_bytes(b"xyz")
+    kept = spark.conf.get("spark.sql.files.openCostInBytes")
+    manifest = spark.createDataFrame([("a", 3, base64.b64encode(hashlib.md5(b"xyz").digest()).decode())], "name string, size long, md5 string")
+    assert [tuple(r) for r in tables.audit_files(spark, str(tmp_path), manifest).collect()] == [("a", "verified")]
+    at = plans["audit-digests"].splitlines()
+    assert "LeftSemi" in at[0] and "md5(content" in at[1] and spark.conf.get("spark.sql.files.openCostInBytes") == kept
