@@ -56,17 +56,15 @@ def file_audit(s, d):
     """V_day as one file a cell; a manifest of them in which some sizes and digests are wrong, some files are not listed,
     and some listed ones do not exist."""
     path = shared_dir(s, "audited")
-    # a fixed number of tasks: rows are few, but files many; tasks put their files in place themselves, as the path is new
-    day = view(s, d, "v_day").select("cell_id", "day", "n").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "cell_id")
-    day.write.partitionBy("cell_id").option("mapreduce.fileoutputcommitter.algorithm.version", 2).csv(path)
+    tables.write_csv_by(view(s, d, "v_day").select("cell_id", "day", "n"), path, "cell_id")
     cell = F.regexp_extract("path", "cell_id=([0-9]+)", 1).cast("long")
     with tables.many_files(s):
-        files = s.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        files = tables.with_content(tables.list_files(s, path))
         seen = stored(files.select(cell.alias("cell_id"), tables.file_name("path", 2).alias("name"), "length", F.base64(F.unhex(F.md5("content"))).alias("md5")), "audit-files")
     kind = F.col("cell_id") % 5
     listed = seen.filter(kind != 3).select("name", F.when(kind == 1, F.col("length") + 1).when(kind != 4, F.col("length")).alias("size"), F.when(kind == 2, "no such digest").when(kind != 4, F.col("md5")).alias("md5"))
     gone = seen.filter(kind == 0).select(F.concat(F.lit("gone-"), F.col("cell_id").cast("string")).alias("name"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("string").alias("md5"))
-    got = tables.audit_files(s, path, listed.unionByName(gone), 2).join(seen.select("name", "cell_id"), "name", "left")
+    got = tables.audit_files(s, path, listed.unionByName(gone), 2).join(seen.select("name", "cell_id").hint("merge"), "name", "left")
     return got.select(F.coalesce("cell_id", F.regexp_extract("name", "gone-([0-9]+)", 1).cast("long")).alias("cell_id"), "status")
 
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import itertools
 import math
+import os
 import re
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +24,9 @@ from emberframe.sources.shared import stored
 #: Bytes of the largest file whose content one row can hold, and of the pieces in which larger ones are read.
 WHOLE, PIECE = (1 << 31) - (1 << 20), 1 << 20
 
+#: Bytes of the largest file that a task reads whole from a local folder, and about those it hands on at once.
+SMALL = 1 << 24
+
 
 def read_feature_windows(spark: SparkSession, path: str, values: list[str], years: list[int] | None = None, months: list[int] | None = None, keys: tuple[str, ...] = ("grid_id", "latitude", "longitude")) -> DataFrame:
     """Columns of year=/month=/window=/ CSV files. Partition filters reach the listing, unread columns are pruned."""
@@ -124,6 +132,45 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path in a file system that all machines mount; None for other systems and for patterns, which Spark opens."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    return uri.getPath() if uri.getScheme() == "file" and not re.search(r"[*?{}\[\]\\]", path) else None
+
+
+def tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def escaped(name: str) -> str:
+    """A key or a value as Spark writes it in names of folders."""
+    return re.sub(r"""["#%'*/:=?\\{\[\]^\x00-\x1f\x7f]""", lambda m: f"%{ord(m[0]):02X}", name)
+
+
+def write_csv_by(df: DataFrame, path: str, key: str) -> None:
+    """CSV in a new folder, one file a value of `key`, in Spark's folders key=value. Rows are few, but files many, so the
+    tasks are of a fixed number. For a local file Spark's writer starts processes that set permissions, which take most of its
+    time; there, tasks write the files themselves, and put each in place when it is whole, so that they can run again."""
+    parts = df.withColumn(key, F.nullif(F.col(key).cast("string"), F.lit(""))).repartition(tasks(df.sparkSession), key)
+    if (root := local_path(df.sparkSession, path)) is None:  # tasks put their files in place themselves, as the path is new
+        parts.write.partitionBy(key).option("mapreduce.fileoutputcommitter.algorithm.version", 2).csv(path)
+        return
+
+    def write(rows: Iterator[Row]) -> None:
+        for value, own in itertools.groupby(rows, key=lambda r: r[0]):
+            folder = f"{root}/{escaped(key)}={'__HIVE_DEFAULT_PARTITION__' if value is None else escaped(value)}"
+            os.makedirs(folder, exist_ok=True)
+            hidden = f"{folder}/.{uuid.uuid4().hex}"
+            with open(hidden, "w", encoding="utf-8", newline="") as f:
+                f.writelines(f"{r[1]}\n" for r in own)
+            os.replace(hidden, f"{folder}/part.csv")
+
+    line = F.to_csv(F.struct(*(c for c in df.columns if c != key))).alias("line")
+    os.makedirs(root)
+    parts.select(key, line).sortWithinPartitions(key, "line").foreachPartition(write)
+
+
 def write_metadata(meta: DataFrame, path: str) -> None:
     meta.write.mode("overwrite").json(path)
 
@@ -149,6 +196,52 @@ def streamed_md5(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"path": [path], "__md5": [base64.b64encode(digest.digest()).decode()]})
 
 
+def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, length): what local folders hold, without what Spark's readers hide; folders have no length."""
+
+    def entries(folder: str) -> Iterator[tuple[str, int | None]]:
+        with os.scandir(folder) as found:
+            for e in found:
+                if e.name[0] == "." or e.name[0] == "_" and "=" not in e.name or e.name.endswith("._COPYING_"):
+                    continue
+                try:
+                    yield e.path, None if e.is_dir() else e.stat().st_size
+                except FileNotFoundError:  # a link to nothing
+                    continue
+
+    rows = (row for pdf in batches for folder in pdf["path"] for row in entries(folder))
+    while some := list(itertools.islice(rows, 10_000)):
+        yield pd.DataFrame({"path": [p for p, _ in some], "length": pd.array([n for _, n in some], dtype="Int64")})
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files in a folder and all below it. Local folders are listed in tasks, those of a level at once,
+    and stored, so that the driver holds no file's name; others by Spark's reader, whose rows have their content, too, and
+    which leaves out empty files."""
+    if (root := local_path(spark, path)) is None or not os.path.isdir(root):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files, folders = [], spark.createDataFrame([(root,)], "path string")
+    while not files or not folders.isEmpty():
+        level = stored(folders.repartition(tasks(spark), "path").mapInPandas(listed, "path string, length long"), "file-names")
+        files.append(level.filter("length IS NOT NULL"))
+        folders = level.filter("length IS NULL").select("path")
+    return functools.reduce(DataFrame.unionByName, files)
+
+
+def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, length, content) of whole local files, some SMALL bytes at a time."""
+    for pdf in batches:
+        for _, some in pdf.groupby((pdf["length"].cumsum() // SMALL).to_numpy()):
+            yield some.assign(content=[Path(p).read_bytes() for p in some["path"]])
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """Rows of `list_files` with the files' content."""
+    if "content" in files.columns:
+        return files
+    return files.repartition(tasks(files.sparkSession), "path").mapInPandas(contents, "path string, length long, content binary")
+
+
 #: Bytes that opening a file counts as where there are many small ones, and the most tasks that list folders.
 OPEN_COST, LISTERS = "65536", "256"
 
@@ -173,17 +266,19 @@ def audit_files(spark: SparkSession, path: str, manifest: DataFrame, depth: int
     the last `depth` elements of a path, one row each.
 
     Sizes come from the listing, whose join with the manifest is stored. Contents are read once, and each becomes its digest
-    before anything is joined: by Spark's reader up to WHOLE bytes, which a row can hold; larger files, only those with a
-    matching size and an md5 to compare, by pieces of PIECE bytes, each file in one task, as an md5 is one pass."""
+    before anything is joined: whole up to WHOLE bytes, which a row can hold (SMALL in local folders); larger files, only those
+    with a matching size and an md5 to compare, by pieces of PIECE bytes, each file in one task, as an md5 is one pass.
+    Joins merge, as stored names are so compressible that tables of any number of files would be broadcast."""
     with many_files(spark):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        files = list_files(spark, path)
+        whole = WHOLE if "content" in files.columns else min(WHOLE, SMALL)
         seen = files.select("path", file_name("path", depth).alias("name"), F.col("length").alias("__n"))
         j = stored(manifest.withColumn("__listed", F.lit(True)).join(seen, "name", "full_outer"), "audit-names")
         sized = F.col("size").isNull() | (F.col("size") == F.col("__n"))
         wanted = j.filter(sized & F.col("md5").isNotNull() & F.col("path").isNotNull()).select("path", "__n").distinct()
-        digests = files.filter(F.col("length") <= WHOLE).select("path", F.base64(F.unhex(F.md5("content"))).alias("__md5"))
-        opened = stored(digests.join(wanted.select("path"), "path", "left_semi"), "audit-digests")
-    large = wanted.filter(F.col("__n") > WHOLE).select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+        digests = with_content(files.filter(F.col("length") <= whole)).select("path", F.base64(F.unhex(F.md5("content"))).alias("__md5"))
+        opened = stored(digests.join(wanted.select("path").hint("merge"), "path", "left_semi"), "audit-digests")
+    large = wanted.filter(F.col("__n") > whole).select("path").repartition(tasks(spark), "path")
     opened = opened.unionByName(large.mapInPandas(streamed_md5, "path string, __md5 string"))
     status = (
         F.when(F.col("__listed").isNull(), "unlisted")
@@ -192,7 +287,7 @@ def audit_files(spark: SparkSession, path: str, manifest: DataFrame, depth: int
         .when(F.col("md5").isNull() | (F.col("md5") == F.col("__md5")), "verified")
         .otherwise("mismatched")
     )
-    return j.join(opened, "path", "left").select("name", status.alias("status"))
+    return j.join(opened.hint("merge"), "path", "left").select("name", status.alias("status"))
 
 
 def grid(west: float, south: float, east: float, north: float, step: float) -> dict:

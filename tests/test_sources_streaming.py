@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberframe.operators import labels, weather
+from emberframe.plans import stores
 from emberframe.plans.views import view
 from emberframe.sources import tables
 from emberframe.streaming import jobs
@@ -218,3 +219,56 @@ def test_audit_joins_digests_not_contents(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in tables.audit_files(spark, str(tmp_path), manifest).collect()] == [("a", "verified")]
     at = plans["audit-digests"].splitlines()
     assert "LeftSemi" in at[0] and "md5(content" in at[1] and spark.conf.get("spark.sql.files.openCostInBytes") == kept
+
+
+def test_csv_by_key_as_spark_writes_it(spark, tmp_path, monkeypatch):
+    """The tasks' own files hold what Spark's writer writes, in the same folders: null, empty and odd keys, quotes, line ends."""
+    rows = [(k, d, v) for k in (None, "", "a", "b/c=d", "é x%") for d, v in (("2024-01-02", None), ("2024-01-01", 'say "x",\nor y'), (None, ""))]
+    df = spark.createDataFrame(rows, "key string, day string, v string").withColumn("day", F.to_date("day"))
+    tables.write_csv_by(df, str(tmp_path / "own"), "key")
+    with monkeypatch.context() as m:
+        m.setattr(tables, "local_path", lambda s, path: None)
+        tables.write_csv_by(df, str(tmp_path / "spark"), "key")
+    got, want = (sorted((tuple(r) for r in spark.read.schema("day date, v string, key string").option("multiLine", True).csv(str(tmp_path / n)).collect()), key=str) for n in ("own", "spark"))
+    assert got == want and len(got) == 15
+    folders = lambda n: sorted(p.name for p in (tmp_path / n).iterdir() if p.is_dir())
+    assert folders("own") == folders("spark") and len(folders("own")) == 4
+    assert all([p.name for p in f.iterdir()] == ["part.csv"] for f in (tmp_path / "own").iterdir())
+
+
+def test_file_audit_makes_one_file_a_cell_and_broadcasts_none(spark, tmp_path, monkeypatch):
+    """One file a cell and none beside it (Spark's local writer adds a .crc, and starts a process for either); no name goes
+    through the driver."""
+    monkeypatch.setattr(stores, "shared_dir", lambda s, name: str(tmp_path / name))
+    got = stores.file_audit(spark, SF)
+    statuses = {(r["cell_id"], r["status"]) for r in got.collect()}
+    cells = {r[0] for r in view(spark, SF, "v_day").select("cell_id").distinct().collect()}
+    status = {1: "mismatched", 2: "mismatched", 3: "unlisted"}
+    assert statuses == {(c, status.get(c % 5, "verified")) for c in cells} | {(c, "missing") for c in cells if c % 5 == 0}
+    assert sorted(p.parent.name for p in (tmp_path / "audited").rglob("*") if p.is_file()) == sorted(f"cell_id={c}" for c in cells)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "binaryFile" not in plan
+
+
+@pytest.mark.parametrize("small", [1 << 24, 4, 0])
+def test_local_files_are_listed_in_tasks(spark, tmp_path, monkeypatch, small):
+    """Folders of all levels, empty files, links; hidden names are left out. The driver makes no index of the files."""
+    plans, stored = [], tables.stored
+    monkeypatch.setattr(tables, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df, name))[1])
+    monkeypatch.setattr(tables, "SMALL", small, raising=False)
+    root = tmp_path / "in"
+    texts = {"a/b/c/deep one.csv": b"12345678", "a/top": b"abc", "e/empty": b"", "_k=1/x": b"q"}
+    for name, text in {**texts, ".hidden/x": b"1", "_logs/x": b"1", "a/.x.crc": b"1", "a/y._COPYING_": b"1"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(text)
+    (root / "none").mkdir()
+    (root / "link").symlink_to(root / "a/top")
+    (root / "broken").symlink_to(root / "gone")
+    texts["link"] = b"abc"
+    ends = {n.split("/")[-1]: b for n, b in texts.items()}
+    manifest = spark.createDataFrame([(n, len(b), base64.b64encode(hashlib.md5(b).digest()).decode()) for n, b in ends.items()], "name string, size long, md5 string")
+    got = {r["name"]: r["status"] for r in tables.audit_files(spark, str(root), manifest).collect()}
+    assert got == dict.fromkeys(ends, "verified") and not any("binaryFile" in p for p in plans)
+    one = tables.audit_files(spark, str(root / "a/top"), manifest.filter("name = 'top'")).collect()  # a file, and a pattern: by Spark's reader
+    assert [tuple(r) for r in one] == [("top", "verified")]
+    assert {r["name"]: r["status"] for r in tables.audit_files(spark, str(root / "a/t*"), manifest).collect()}["top"] == "verified"
